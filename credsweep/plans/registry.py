@@ -450,6 +450,147 @@ def q_scan_table(spark, sf):
     return scan(pages(spark, sf).unionByName(conversations(spark, sf)))
 
 
+# ---------------------------------------------------------------- C11, E: reports
+def _findings(spark, sf):
+    return scan(corpus(spark, sf))
+
+
+RANKED = "SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"
+
+
+@register("C11_rank_corpus", W("SELECT doc_id, file, line, rule, confidence, row_number() OVER "
+                               "(ORDER BY confidence DESC, file, doc_id, rank) AS corpus_rank FROM ranked"))
+def q_rank_corpus(spark, sf):
+    from ..operators.report import rank_corpus
+    return rank_corpus(_findings(spark, sf)).select("doc_id", "file", "line", "rule", "confidence", "corpus_rank")
+
+
+_E1_SQL = ("SELECT doc_id, line_num, kind, pos, round(e, 6) AS entropy, length(value)::INTEGER AS length, score, "
+           f"{O.severity('score')} AS severity, "
+           "(SELECT concat(provider, ' ', type) FROM prefixes_t WHERE ord = (SELECT min(ord) FROM prefixes_t "
+           "WHERE starts_with(value, prefix))) AS prefix_match, "
+           f"{O.mask('value')} AS masked, CASE WHEN score >= 70 THEN 'Very likely a secret. Do not commit.' "
+           "WHEN score >= 50 THEN 'Possibly a secret. Review before committing.' "
+           "WHEN score >= 30 THEN 'Low probability of being a secret.' ELSE 'Unlikely to be a secret.' END AS verdict "
+           "FROM (SELECT *, (CASE WHEN e >= 5.0 AND length(value) >= 32 THEN 95 WHEN e >= 4.5 AND length(value) >= 24 THEN 80 "
+           "WHEN e >= 4.0 AND length(value) >= 16 THEN 60 WHEN e >= 3.5 AND length(value) >= 12 THEN 40 "
+           "WHEN e >= 3.0 THEN 20 ELSE 5 END)::INTEGER AS score FROM (SELECT *, "
+           f"{O.entropy('value')} AS e FROM ({CAND_SQL})))")
+
+
+@register("E1_check_entropy", W(_E1_SQL))
+def q_check_entropy(spark, sf):
+    from ..operators.report import check_entropy
+    return check_entropy(_cand_values(spark, sf))
+
+
+@register("E2_split_confirmed", W("SELECT doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
+                                  "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked GROUP BY doc_id"))
+def q_split_confirmed(spark, sf):
+    from ..operators.report import split_confirmed
+    return split_confirmed(_findings(spark, sf))
+
+
+_SECTION = "CASE WHEN category = 'candidate' THEN 'candidates' ELSE 'confirmed' END"
+
+
+@register("E3_file_report", W(f"SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY rank)::INTEGER AS n, "
+                              "severity, confidence, file, line, source, rule, match, fix FROM "
+                              f"(SELECT *, {_SECTION} AS section FROM ranked)"))
+def q_file_report(spark, sf):
+    from ..operators.report import file_report
+    return file_report(_findings(spark, sf))
+
+
+@register("E4_corpus_report", W(f"SELECT section, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, file, doc_id, rank) AS n, "
+                                "severity, confidence, file, doc_id, line, source, rule, match, fix FROM "
+                                f"(SELECT *, {_SECTION} AS section FROM ranked)"))
+def q_corpus_report(spark, sf):
+    from ..operators.report import corpus_report
+    return corpus_report(_findings(spark, sf))
+
+
+@register("E4_corpus_summary", W("SELECT (SELECT count(DISTINCT doc_id) FROM corpus) AS files_scanned, "
+                                 "count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
+                                 "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked"))
+def q_corpus_summary(spark, sf):
+    from ..operators.report import corpus_summary
+    return corpus_summary(corpus(spark, sf), _findings(spark, sf))
+
+
+@register("E5_clean_docs", W("SELECT doc_id, filename FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ranked)"))
+def q_clean_docs(spark, sf):
+    from ..operators.report import clean_docs
+    return clean_docs(corpus(spark, sf), _findings(spark, sf))
+
+
+# ---------------------------------------------------------------- S2-S7: directory trees
+def _planted(spark, sf):
+    from ..sources.planted import planted_docs
+    return planted_docs(spark, sf)
+
+
+_PLANTED_PATHS = "SELECT doc_id, path FROM (" + __import__("credsweep.sources.planted", fromlist=["x"]).planted_sql() + ")"
+_BASENAME = "regexp_extract(path, '([^/]*)$', 1)"
+_EXT = f"regexp_extract({_BASENAME}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
+S4_EXTENSIONS = ".py,java"
+
+
+@register("S3_filter_skip_dirs", W("SELECT doc_id, path, list_has_any(p[1:len(p) - 1], [" +
+                                   ", ".join(O.q(d) for d in __import__("credsweep.sources.files", fromlist=["x"]).SKIP_DIRS) +
+                                   "]) AS skipped FROM (SELECT doc_id, path, string_split(path, '/') AS p FROM (" + _PLANTED_PATHS + "))"))
+def q_skip_dirs(spark, sf):
+    from ..sources.files import in_skipped_dir
+    return _planted(spark, sf).select("doc_id", "path", in_skipped_dir(F.col("path")).alias("skipped"))
+
+
+@register("S4_filter_extensions", W(f"SELECT doc_id, path, (ends_with({_BASENAME}, '.java') OR ends_with({_BASENAME}, '.py')) AS kept "
+                                    f"FROM ({_PLANTED_PATHS})"))
+def q_extensions(spark, sf):
+    from ..sources.files import basename, has_extension
+    return _planted(spark, sf).select("doc_id", "path", has_extension(basename(F.col("path")), S4_EXTENSIONS).alias("kept"))
+
+
+@register("S5_filter_binary_ext", W(f"SELECT doc_id, path, {_EXT} AS ext, lower({_EXT}) IN (" +
+                                    ", ".join(O.q(e) for e in __import__("credsweep.sources.files", fromlist=["x"]).BINARY_EXTS) +
+                                    f") AS is_binary FROM ({_PLANTED_PATHS})"))
+def q_binary(spark, sf):
+    from ..sources.files import extension, is_binary
+    return _planted(spark, sf).select("doc_id", "path", extension(F.col("path")).alias("ext"),
+                                      is_binary(F.col("path")).alias("is_binary"))
+
+
+def _tree(spark, sf):
+    import uuid
+    from ..sources.files import write_tree
+    root = checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}"
+    write_tree(_planted(spark, sf), root)
+    return root
+
+
+@register("S7_files_scanned")
+def q_files_scanned(spark, sf):
+    """Files kept by the directory walk of the planted tree (no SQL: it reads the written files)."""
+    from ..sources.files import read_tree
+    return read_tree(spark, _tree(spark, sf)).agg(F.count_distinct("doc_id").alias("files_scanned"))
+
+
+@register("S6_tolerant_read")
+def q_tolerant_read(spark, sf):
+    """Planted tree read back: invalid UTF-8 bytes dropped, text otherwise unchanged."""
+    from ..sources.files import read_tree
+    t = read_tree(spark, _tree(spark, sf))
+    return t.select("file", F.length("text").alias("chars"))
+
+
+@register("S2_scan_corpus")
+def q_scan_corpus(spark, sf):
+    """Directory scan of the planted tree -> findings with relative paths."""
+    from ..sources.files import read_tree
+    from .scan import scan_files
+    return scan_files(read_tree(spark, _tree(spark, sf)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -169,3 +169,10 @@ def scan(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: b
     found = with_severity(rank_findings(dedup_findings(scored)))
     cols = FINDING_COLUMNS + (["key"] if keep_key else [])
     return found.select(*cols)
+
+
+def scan_files(tree: DataFrame, **kw) -> DataFrame:
+    """Scan rows from ``sources.files.read_tree``; ``file`` is the relative path."""
+    found = scan(tree.select("doc_id", "filename", "text"), keep_key=True, **kw)
+    paths = tree.select("doc_id", F.col("file").alias("_path"))
+    return found.join(paths, "doc_id").withColumn("file", F.col("_path")).drop("_path", "key")

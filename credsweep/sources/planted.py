@@ -266,7 +266,7 @@ SUFFIXES = ["", ".png", ".PNG", ".gz", ".txt"]
 TEXT = lines_of(Case(CONTEXT_LINES), Case(RULE_LINES), Case(PREFIX_LINES),
                 Case(STRUCTURE_LINES), Case(CONTEXT_LINES, offset=3))
 FILENAME = Case(FILENAMES)
-PATH = Cat(Case(DIRS), FILENAME, Case(SUFFIXES, offset=1))
+PATH = Cat(Case(DIRS), "k", KeyStr(), "/", FILENAME, Case(SUFFIXES, offset=1))
 
 
 def planted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
