@@ -1,0 +1,78 @@
+"""Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
+
+Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
+Setup (not timed): the scan input -- ``documents`` plus the planted corpus
+derived from ``orders`` -- is written once as a parquet table into the
+session's checkpoint folder, and a small warm-up scan runs.  Each timed query
+runs to completion through the ``noop`` sink (no collect to the driver).
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import time
+import uuid
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from credsweep.operators.report import check_entropy, corpus_report, file_report  # noqa: E402
+from credsweep.operators.candidates import candidate_rows  # noqa: E402
+from credsweep.operators.lines import lines  # noqa: E402
+from credsweep.plans.scan import scan, scan_items  # noqa: E402
+from credsweep.session import checkpoint_dir, local_session  # noqa: E402
+from credsweep.sources.tables import corpus, documents  # noqa: E402
+
+
+def run(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="credsweep-bench")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(8 * 1024 * 1024))
+    base = checkpoint_dir(spark).rstrip("/") + f"/bench-{uuid.uuid4().hex}"
+
+    corpus_path = base + "/corpus"
+    corpus(spark, sf_dir).write.parquet(corpus_path)
+    docs = spark.read.parquet(corpus_path)
+    n_docs = docs.count()
+    sf_small = os.path.join(os.path.dirname(sf_dir), "sf0.001")
+    if os.path.isdir(sf_small):
+        run(scan(corpus(spark, sf_small)))   # warm-up: codegen and JIT
+
+    timings: dict[str, float] = {}
+
+    def timed(name, fn):
+        t = time.time()
+        fn()
+        timings[name] = round(time.time() - t, 3)
+
+    timed("scan_corpus", lambda: run(scan(docs)))
+    timed("scan_documents", lambda: run(scan(documents(spark, sf_dir))))
+    timed("rule_hits", lambda: run(scan_items(docs).where(F.col("kind") == 1)))
+    timed("decode_chain", lambda: run(scan_items(docs).where(F.col("kind") == 3)))
+    timed("check_entropy", lambda: run(check_entropy(candidate_rows(lines(docs)))))
+
+    def reports():
+        found = scan(docs).persist()
+        run(file_report(found))
+        run(corpus_report(found))
+        found.unpersist()
+    timed("reports", reports)
+
+    total = round(sum(timings.values()), 3)
+    print(json.dumps({
+        "metric": "total_query_time", "value": total, "unit": "sec", "queries": timings,
+        "sf": os.path.basename(sf_dir).replace("sf", ""), "docs": n_docs,
+        "docs_per_sec_scan": round(n_docs / timings["scan_corpus"], 1), "cpus": int(cpus),
+    }))
+
+
+if __name__ == "__main__":
+    main()

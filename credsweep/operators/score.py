@@ -149,14 +149,26 @@ def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
         rule.alias("rule"), category.alias("category"), conf.cast("int").alias("confidence"),
         tx.clip_match(raw_match).alias("match"), fix.alias("fix"), source.alias("source"))
     # Regex and prefix findings below 15 are dropped; no score -> no finding.
-    return scored.where(F.col("confidence").isNotNull()
-                        & ((F.col("ev") >= EV_DECODED) | (F.col("confidence") >= SUPPRESS_BELOW)))
+    # Kept as a flag: a filter here would be pushed below this projection and
+    # re-evaluate the whole confidence expression inside the predicate.
+    keep = F.col("confidence").isNotNull() & ((F.col("ev") >= EV_DECODED) | (F.col("confidence") >= SUPPRESS_BELOW))
+    return scored.withColumn("keep", keep)
+
+
+def suppress_low(scored: DataFrame) -> DataFrame:
+    """C7 as a filter (for callers that do not de-duplicate next)."""
+    return scored.where("keep").drop("keep")
 
 
 def dedup_findings(scored: DataFrame) -> DataFrame:
-    """First finding per (doc, line, rule) in merge order, after suppression."""
-    w = Window.partitionBy("doc_id", "line", "rule").orderBy("key")
-    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """C7 + C9: first kept finding per (doc, line, rule) in merge order.
+
+    Dropped rows sort after kept ones, so "drop, then keep the first" is one
+    window followed by a filter that cannot be pushed below it.
+    """
+    w = Window.partitionBy("doc_id", "line", "rule").orderBy(F.desc("keep"), "key")
+    return (scored.withColumn("_rn", F.row_number().over(w))
+            .where((F.col("_rn") == 1) & F.col("keep")).drop("_rn", "keep"))
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:

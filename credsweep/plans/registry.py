@@ -59,7 +59,9 @@ def _evidence(spark, sf):
 
 
 def _scored(spark, sf):
-    return score_evidence(prefix_dedup(_evidence(spark, sf)))
+    """Scored evidence after C7 (suppressed rows removed)."""
+    from ..operators.score import suppress_low
+    return suppress_low(score_evidence(prefix_dedup(_evidence(spark, sf))))
 
 
 def _path_str(c):
@@ -435,7 +437,7 @@ def q_merge(spark, sf):
 
 @register("C9_dedup_findings", W(f"SELECT {FIND_COLS} FROM deduped"))
 def q_dedup(spark, sf):
-    return dedup_findings(_scored(spark, sf)).select(*FIND_COLS.split(", "))
+    return dedup_findings(score_evidence(prefix_dedup(_evidence(spark, sf)))).select(*FIND_COLS.split(", "))
 
 
 @register("C10_rank_findings", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"))

@@ -144,9 +144,24 @@ def prefix_dedup(ev: DataFrame) -> DataFrame:
             .where(F.col("_p5").isNull() | (F.col("_p5") == 1)).drop("_p5"))
 
 
-def scan_items(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: bool = True) -> DataFrame:
-    """Stages 1-5 up to the item rows (before any shuffle)."""
-    ls = split_normalize(docs, latin1_compat).drop("raw_line")
+def balance(docs: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy text work over the cluster when the input is coarse.
+
+    Text scanning costs far more CPU per byte than reading, so an input with
+    fewer partitions than the cluster has cores (one big parquet row group, a
+    table generated from one partition) is repartitioned round-robin.  A large
+    input already has many more partitions and is left alone: no shuffle.
+    """
+    target = min_partitions or 2 * docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < target:
+        return docs.repartition(target)
+    return docs
+
+
+def scan_items(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: bool = True,
+               min_partitions: int | None = None) -> DataFrame:
+    """Stages 1-5 up to the item rows (before any shuffle of findings)."""
+    ls = split_normalize(balance(docs, min_partitions), latin1_compat).drop("raw_line")
     return line_items(ls, rules, use_gates)
 
 

@@ -77,25 +77,60 @@ def keep_file(relpath: Column, extensions: str = "") -> Column:
     return ~in_skipped_dir(relpath) & has_extension(basename(relpath), extensions) & ~is_binary(relpath)
 
 
-def read_tree(spark: SparkSession, root: str, extensions: str = "") -> DataFrame:
+def read_tree(spark: SparkSession, root: str, extensions: str = "", paths=None) -> DataFrame:
     """(doc_id, filename, file, text) for every kept file under ``root``.
 
     ``filename`` is the base name (used for scoring), ``file`` the path
     relative to ``root`` (reported).  Unreadable files are skipped; invalid
     UTF-8 bytes are dropped (Spark replaces them with U+FFFD, which is then
     removed -- a literal U+FFFD in a file is removed too).
+
+    Spark's file index never lists names starting with ``.`` or ``_``
+    (``.env``, ``.npmrc``).  To include them pass ``paths``: a list or a
+    DataFrame with a ``path`` column of files under ``root`` (for example a
+    manifest table); those files are then read by the executors.
     """
     root_uri = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root_uri))
-    full = F.col("_metadata.file_path")
-    rel = F.regexp_extract(full, r"^.*?" + _root_marker(root_uri) + r"/(.*)$", 1)
+    if paths is not None:
+        df = _read_listed(spark, paths)
+    else:
+        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root_uri)
+              .select(F.col("_metadata.file_path").alias("path"), "content"))
+    rel = F.regexp_extract(F.col("path"), r"^.*?" + _root_marker(root_uri) + r"/(.*)$", 1)
     df = df.where(keep_file(rel, extensions))
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     return df.select(F.xxhash64(rel).alias("doc_id"), basename(rel).alias("filename"), rel.alias("file"),
                      text.alias("text"))
 
 
+def _read_listed(spark: SparkSession, paths) -> DataFrame:
+    """Read an explicit file list on the executors (missing or unreadable files skipped)."""
+    listing = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    n = max(1, spark.sparkContext.defaultParallelism)
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+        local = pafs.LocalFileSystem()
+        for b in batches:
+            out_p, out_c = [], []
+            for p in b.column("path").to_pylist():
+                try:
+                    if "://" in p and not p.startswith("file:"):
+                        fsys, fp = pafs.FileSystem.from_uri(p)
+                    else:
+                        fsys, fp = local, ("/" + p.split(":", 1)[1].lstrip("/")) if p.startswith("file:") else p
+                    with fsys.open_input_stream(fp, compression=None) as f:
+                        out_c.append(f.read())
+                    out_p.append(p)
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.string()), pa.array(out_c, pa.binary())],
+                                             names=["path", "content"])
+    return listing.select("path").repartition(n).mapInArrow(read, "path string, content binary")
+
+
 def _root_marker(root_uri: str) -> str:
     import re
     tail = root_uri.split("://", 1)[-1]
@@ -121,7 +156,7 @@ def write_tree(docs: DataFrame, root: str, invalid_every: int = 11) -> str:
             data = (r["text"] or "").encode("utf-8")
             if invalid_every and r["doc_id"] % invalid_every == 0:
                 data += b"\xff\xfe"
-            with filesystem.open_output_stream(target) as f:
+            with filesystem.open_output_stream(target, compression=None) as f:
                 f.write(data)
     docs.select("doc_id", "path", "text").foreachPartition(write_part)
     return root

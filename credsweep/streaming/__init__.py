@@ -1,0 +1 @@
+"""Structured Streaming: scan documents as they arrive."""
