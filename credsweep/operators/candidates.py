@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import java
 
-QUOTED_TOKEN = java(r"['\"]([^{SC}'\"]{12,})['\"]")
-ASSIGNED_TOKEN = java(r"[{WC}.]+{S}*[=:]{S}*['\"]?([^{SC}'\"]{12,})['\"]?")
-QUOTED_VALUE = java(r"['\"]([^'\"]{8,})['\"]")
-ASSIGNED_VALUE = java(r"[{WC}.]+{S}*[=:]{S}*({NS}{8,})")
+# Semantic patterns (dialect markers); the SQL oracle uses these as written.
+QUOTED_TOKEN_SPEC = r"['\"]([^{SC}'\"]{12,})['\"]"
+ASSIGNED_TOKEN_SPEC = r"[{WC}.]+{S}*[=:]{S}*['\"]?([^{SC}'\"]{12,})['\"]?"
+QUOTED_VALUE_SPEC = r"['\"]([^'\"]{8,})['\"]"
+ASSIGNED_VALUE_SPEC = r"[{WC}.]+{S}*[=:]{S}*({NS}{8,})"
+# Java forms.  A leftmost ``name =`` match always starts where a run of name
+# characters starts, and nothing after the run can be a name character, so a
+# look-behind plus possessive quantifiers give the same first match while
+# keeping the backtracking engine linear on long tokens without spaces.
+QUOTED_TOKEN = java(QUOTED_TOKEN_SPEC)
+ASSIGNED_TOKEN = java(r"(?<![{WC}.])[{WC}.]++{S}*+[=:]{S}*['\"]?([^{SC}'\"]{12,})['\"]?")
+QUOTED_VALUE = java(QUOTED_VALUE_SPEC)
+ASSIGNED_VALUE = java(r"(?<![{WC}.])[{WC}.]++{S}*+[=:]{S}*({NS}{8,})")
 
 
 def first_match(line: Column, pattern: str, group: int = 1) -> Column:

@@ -181,8 +181,8 @@ def _ctes(source: str = "corpus") -> dict[str, str]:
                   f"SELECT *, list_position(list_transform(secrets, lambda s: NOT {placeholder('s')}), true) AS idx "
                   f"FROM rmatch) WHERE idx IS NOT NULL")
     # candidates (V1-V4) on code lines
-    v1, v2 = q(re2(cd.QUOTED_TOKEN[4:])), q(re2(cd.ASSIGNED_TOKEN[4:]))
-    v3, v4 = q(re2(cd.QUOTED_VALUE[4:])), q(re2(cd.ASSIGNED_VALUE[4:]))
+    v1, v2 = q(re2(cd.QUOTED_TOKEN_SPEC)), q(re2(cd.ASSIGNED_TOKEN_SPEC))
+    v3, v4 = q(re2(cd.QUOTED_VALUE_SPEC)), q(re2(cd.ASSIGNED_VALUE_SPEC))
     c["v1"] = (f"SELECT doc_id, line_num, unnest(range(len(m)))::INTEGER AS pos, unnest(m) AS value FROM "
                f"(SELECT doc_id, line_num, regexp_extract_all(line, {v1}, 1) AS m FROM lines WHERE is_code)")
     c["v2"] = (f"SELECT doc_id, line_num, value FROM (SELECT doc_id, line_num, regexp_extract(line, {v2}, 1) AS value "

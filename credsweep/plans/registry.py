@@ -214,6 +214,21 @@ def q_drop_placeholders(spark, sf):
     return s.where(tx.is_placeholder(F.col("secret")))
 
 
+@register("X2_rule_match_table", W("SELECT doc_id, line_num, rule_id, unnest(whole) AS match FROM rmatch"))
+def q_rule_match_table(spark, sf):
+    """X2 through a broadcast rule table (the path for user-supplied rules)."""
+    from ..operators.rules import match_rules_join
+    return match_rules_join(_lines(spark, sf), rule_table(spark))
+
+
+@register("N2_decode_escapes_latin1")
+def q_escapes_latin1(spark, sf):
+    """N2 with latin1_compat=True (non-ASCII lines read as Latin-1 bytes); rows-only check."""
+    ls = line_table(corpus(spark, sf), latin1_compat=True)
+    return ls.where(F.col("raw_line").contains("\\") | F.col("raw_line").rlike("[^\\x00-\\x7f]")).select(
+        "doc_id", "line_num", "line")
+
+
 @register("X7_first_per_line_rule", W("SELECT doc_id, line_num, rule_id, match, secret FROM rhits"))
 def q_first_per_line(spark, sf):
     return (_items(spark, sf).where(F.col("kind") == K_REGEX)
@@ -528,8 +543,8 @@ def q_clean_docs(spark, sf):
 
 # ---------------------------------------------------------------- S2-S7: directory trees
 def _planted(spark, sf):
-    from ..sources.planted import planted_docs
-    return planted_docs(spark, sf)
+    from ..sources.tables import planted_table
+    return planted_table(spark, sf)
 
 
 _PLANTED_PATHS = "SELECT doc_id, path FROM (" + __import__("credsweep.sources.planted", fromlist=["x"]).planted_sql() + ")"

@@ -44,10 +44,31 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text"))
 
 
+_PLANTED_TABLES: dict[tuple[int, str], str] = {}
+
+
+def planted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted corpus, written once per session into the checkpoint folder.
+
+    Generating it is one large expression; writing it once lets every
+    query of a session read a plain table instead of re-planning it.
+    """
+    import uuid
+    from ..session import checkpoint_dir
+    key = (id(spark), sf_dir)
+    path = _PLANTED_TABLES.get(key)
+    if path is None:
+        path = checkpoint_dir(spark).rstrip("/") + f"/planted-{uuid.uuid4().hex}"
+        n = 2 * spark.sparkContext.defaultParallelism
+        planted_docs(spark, sf_dir).repartition(n).write.parquet(path)
+        _PLANTED_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default scan input: ``documents`` plus the planted corpus from ``orders``."""
     return documents(spark, sf_dir).unionByName(
-        planted_docs(spark, sf_dir).select("doc_id", "filename", "text"))
+        planted_table(spark, sf_dir).select("doc_id", "filename", "text"))
 
 
 def corpus_sql() -> str:
