@@ -325,7 +325,8 @@ def q_prefix_join(spark, sf):
     """Candidate values x prefix table: broadcast equi-join on the value's leading substrings."""
     c = _pcands(spark, sf)
     p = prefix_table(spark)
-    lengths = sorted({len(r.prefix) for r in p.select("prefix").collect()})
+    from ..operators.tables import PREFIXES
+    lengths = sorted({len(x.prefix) for x in PREFIXES})   # 2..9: one leading substring per length
     heads = c.select("*", F.explode(F.array(*[F.substring("value", 1, n) for n in lengths])).alias("head"))
     j = heads.join(F.broadcast(p), heads["head"] == p["prefix"], "inner")
     return j.select("doc_id", "line_num", "grp", "ln", "sub", "pos", _path_str(F.col("path")).alias("path"), "ord").distinct()
