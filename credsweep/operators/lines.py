@@ -86,15 +86,19 @@ def lines(docs: DataFrame, latin1_compat: bool = False, keep_text: bool = True)
 
 
 def line_features(df: DataFrame, line: str = "line") -> DataFrame:
+    """Line flags; the lower-cased line is computed once (Unicode lower-casing
+    is costly on non-ASCII text) and shared by the three keyword tests."""
     l = F.col(line)
+    staged = df.select("*", F.lower(l).alias("_lower"))
+    low = F.col("_lower")
     comment = tx.is_comment(l)
-    return df.select(
-        "*",
+    return staged.select(
+        *df.columns,
         comment.alias("is_comment"),
         (tx.is_nonblank(l) & ~comment).alias("is_code"),
         tx.is_nonblank(l).alias("nonblank"),
-        tx.has_sensitive_word(l).alias("kw"),
+        tx.contains_any(low, tx.SENSITIVE_WORDS).alias("kw"),
         tx.has_env_reference(l).alias("env_ref"),
-        tx.has_line_noise(l).alias("noise"),
-        tx.has_prefix_noise(l).alias("pnoise"),
+        tx.contains_any(low, tx.LINE_NOISE_WORDS).alias("noise"),
+        tx.contains_any(low, tx.PREFIX_NOISE_WORDS).alias("pnoise"),
     )
