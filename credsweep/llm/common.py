@@ -65,3 +65,12 @@ def running_total(df: DataFrame, groups: Sequence[str], order: Sequence[str], va
     inner = rows.withColumn(out, F.coalesce(F.sum(out).over(within), F.lit(0)))
     return inner.join(starts, same).withColumn(out, F.col(out) + F.col(start)) \
         .drop(part, start, f"{out}__p", *[f"{out}__{g}" for g in groups])
+
+
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, in a session that hands at most ``rows`` rows to Python at a time.
+
+    A batch of the default 10,000 long texts would not fit a worker's memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

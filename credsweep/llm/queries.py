@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import mixing
+from credsweep.llm import bpe, html_extract, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1,
+        "op2_html_extraction": html_extract.op2,
+        "op6_sharding": sharding.op6,
+        "op8_bpe": bpe.op8,
     }
 
 
