@@ -4,8 +4,8 @@ The rows are points: one coordinate for each metadata column.  A node with m
 shards to make is split at the weighted quantile floor(m/2)/m (the weighted
 median for even m) of its widest dimension, until every leaf is one shard.  The
 quantiles of all nodes of a level are found together by distributed histograms,
-refined until the bin that holds the quantile is light or one row wide, so the
-driver sees at most ``BINS`` sums a node and never a row.
+refined until the bin that holds the quantile is light, so the driver sees at
+most 2^15 sums a node and never a row.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from credsweep.llm.common import read, running_total, written
 
-BINS = 2048
+#: A coordinate's bits: the value, then a hash of the id that sets rows of one value apart.
+VALUE_BITS, TIE_BITS = 20, 20
+#: Bits that each histogram resolves: the first one covers all dimensions, the others the chosen one.
+ROUNDS = (11, 14, 15)
 #: A bin this light against a mean shard ends the search for a split.
-LIGHT = 0.0005
-#: Coordinates are 31 bits, above 32 bits of a hash that sets rows of one value apart.
-VALUE_BITS = 31
+LIGHT = 0.002
 
 
 @dataclass
@@ -32,89 +33,88 @@ class Node:
 
     first: int
     shards: int
-    dim: str | None = None
+    dim: int = 0
     cut: int = 0
     parts: list["Node"] = field(default_factory=list)
 
 
 def category(col: Column) -> Column:
-    """Coordinate of a categorical column: its hash, so that equal values share a place."""
+    """Value of a categorical column: its hash, so that equal values share a place."""
     return F.shiftrightunsigned(F.xxhash64(col), 64 - VALUE_BITS)
 
 
 def scaled(col: Column, low: float, high: float) -> Column:
-    """Coordinate of a numeric column: its place between the table's smallest and largest value; null at the low end."""
+    """Value of a numeric column: its place between the table's smallest and largest; null at the low end."""
     width = (high - low) or 1.0
     return F.coalesce(((col.cast("double") - F.lit(low)) / F.lit(width) * F.lit(float(2**VALUE_BITS - 1))).cast("long"), F.lit(0))
 
 
-def kd_tree(points: DataFrame, dims: list[str], weight: str, shards: int) -> Node:
-    """The tree over ``points``, whose ``dims`` are composite longs: value << 32 | tie-breaking hash."""
+def place(root: Node, dims: list[str], names: dict[int, int]) -> Column:
+    """The deepest node made so far that a row falls into, by its number in ``names`` (-1: not there)."""
+    if not root.parts:
+        return F.lit(names.get(root.first, -1))
+    return F.when(F.col(dims[root.dim]) < F.lit(root.cut), place(root.parts[0], dims, names)).otherwise(place(root.parts[1], dims, names))
+
+
+def kd_tree(points: DataFrame, dims: list[str], weight: str, shards: int, total: int) -> Node:
+    """The tree over ``points``, whose ``dims`` are longs of VALUE_BITS + TIE_BITS bits."""
     root = Node(0, shards)
     level = [root]
-    totals = points.agg(F.sum(weight)).first()[0] or 0
     while level := [n for n in level if n.shards > 1]:
-        _split(points, dims, weight, root, level, LIGHT * totals / shards)
+        _split(points, dims, weight, root, level, LIGHT * total / shards)
+        for n in level:
+            half = n.shards // 2
+            n.parts = [Node(n.first, half), Node(n.first + half, n.shards - half)]
         level = [p for n in level for p in n.parts]
     return root
 
 
-def node_id(root: Node, dims: list[str]) -> Column:
-    """The first shard of the deepest node made so far that a row falls into."""
-    if not root.parts:
-        return F.lit(root.first)
-    return F.when(F.col(root.dim) < F.lit(root.cut), node_id(root.parts[0], dims)).otherwise(node_id(root.parts[1], dims))
-
-
 def _split(points: DataFrame, dims: list[str], weight: str, root: Node, level: list[Node], light: float) -> None:
-    """Splits the nodes of one level."""
-    nodes = {n.first: n for n in level}
-    placed = points.withColumn("node", node_id(root, dims)).where(F.col("node").isin(*nodes))
-    stats = placed.groupBy("node").agg(F.sum(weight).alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
-    search = {}
-    for r in stats.collect():  # a row a node
-        n = nodes[r["node"]]
-        n.dim = max(dims, key=lambda d: ((r[f"hi_{d}"] >> 32) - (r[f"lo_{d}"] >> 32), r[f"hi_{d}"] - r[f"lo_{d}"]))
-        # [low, high) still holds the quantile; below: the weight under low; goal: the weight wanted under the cut
-        search[n.first] = {"low": r[f"lo_{n.dim}"], "high": r[f"hi_{n.dim}"] + 1, "below": 0, "goal": r["w"] * (n.shards // 2) / n.shards}
-    open_ = dict(search)
-    while open_:
-        found = _histogram(placed, weight, nodes, open_)
-        for key in list(open_):
-            s = open_[key]
-            bins, sums = found[key]
-            upto = s["below"] + np.cumsum(sums)
-            i = min(int(np.searchsorted(upto, s["goal"])), len(bins) - 1)
-            width = -(-(s["high"] - s["low"]) // BINS)
-            begin = s["low"] + int(bins[i]) * width
-            before = int(upto[i] - sums[i])
-            if sums[i] <= light or width == 1:
-                # either side of the bin, whichever comes nearer to the goal
-                nodes[key].cut = begin if s["goal"] - before <= upto[i] - s["goal"] else begin + width
-                del open_[key]
-            else:
-                s |= {"low": begin, "high": min(begin + width, s["high"]), "below": before}
-    for n in nodes.values():  # a node without rows is cut anywhere
-        n.dim = n.dim or dims[0]
-        half = n.shards // 2
-        n.parts = [Node(n.first, half), Node(n.first + half, n.shards - half)]
-
-
-def _histogram(placed: DataFrame, weight: str, nodes: dict[int, Node], open_: dict[int, dict]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Weights by bin of each open node's range: at most BINS sums a node reach the driver."""
-    cases = None
-    for key, s in open_.items():
-        x, width = F.col(nodes[key].dim), -(-(s["high"] - s["low"]) // BINS)
-        inside = (F.col("node") == key) & (x >= s["low"]) & (x < s["high"])
-        cases = (F if cases is None else cases).when(inside, F.expr(f"cast(({nodes[key].dim} - {s['low']}L) div {width}L AS int)"))
-    t = placed.withColumn("bin", cases).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum(weight).alias("w")).toArrow()
-    node, bins, w = (t.column(c).to_numpy() for c in ("node", "bin", "w"))
-    out = {}
-    for key in open_:
-        mine = node == key
-        order = np.argsort(bins[mine], kind="stable")
-        out[key] = bins[mine][order], w[mine][order].astype(np.int64)
-    return out
+    """Chooses the dimension and the cut of every node of one level."""
+    placed = points.withColumn("node", place(root, dims, {n.first: i for i, n in enumerate(level)})).where("node >= 0")
+    below = VALUE_BITS + TIE_BITS - ROUNDS[0]  # bits not yet resolved
+    first = placed.select("node", weight, F.posexplode(F.array(*[F.shiftright(d, below) for d in dims])).alias("dim", "bin"))
+    sums = _sums(first, weight)
+    open_: dict[int, tuple[int, float]] = {}  # node -> leading bits of the bin that holds the quantile, weight wanted within it
+    for i, n in enumerate(level):
+        mine = sums[sums["node"] == i]
+        if len(mine):
+            spans = [np.ptp(mine["bin"][mine["dim"] == d]) for d in range(len(dims))]
+            n.dim = int(np.argmax(spans))
+            mine = mine[mine["dim"] == n.dim]
+            _narrow(n, i, mine, mine["w"].sum() * (n.shards // 2) / n.shards, 0, below, light, open_)
+    for bits in ROUNDS[1:]:
+        if not open_:
+            break
+        lookup = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("node") + 1)
+        x = F.element_at(F.array(*map(F.col, dims)), lookup([n.dim + 1 for n in level]).cast("int"))
+        prefix = lookup([open_[i][0] if i in open_ else -1 for i in range(len(level))])
+        inside = placed.withColumn("x", x).where(F.shiftright("x", below) == prefix)
+        below -= bits
+        sums = _sums(inside.select("node", weight, F.lit(0).alias("dim"), F.shiftright("x", below).alias("bin")), weight)
+        for i, (before, goal) in list(open_.items()):
+            del open_[i]
+            _narrow(level[i], i, sums[sums["node"] == i], goal, before, below, light, open_)
+
+
+def _sums(rows: DataFrame, weight: str) -> np.ndarray:
+    """Weight by node, dimension and bin: at most 2^15 bins a node, whatever the table's size."""
+    t = rows.groupBy("node", "dim", "bin").agg(F.sum(weight).alias("w")).toArrow()
+    out = np.zeros(t.num_rows, dtype=[("node", int), ("dim", int), ("bin", int), ("w", int)])
+    for name in out.dtype.names:
+        out[name] = t.column(name).to_numpy()
+    return np.sort(out, order=["node", "dim", "bin"])
+
+
+def _narrow(n: Node, i: int, bins: np.ndarray, goal: float, before: int, below: int, light: float, open_: dict) -> None:
+    """Sets the cut if the bin that holds the quantile is light or cannot be divided; else leaves it open."""
+    upto = np.cumsum(bins["w"])
+    k = min(int(np.searchsorted(upto, goal)), len(bins) - 1)
+    rest = goal - (upto[k] - bins["w"][k])
+    if below and bins["w"][k] > light:
+        open_[i] = int(bins["bin"][k]), float(rest)
+    else:  # either side of the bin, whichever comes nearer to the goal
+        n.cut = (int(bins["bin"][k]) + (rest > bins["w"][k] - rest)) << below
 
 
 def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, id_col: str = "doc_id",
@@ -141,11 +141,11 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
     values["v_size"] = scaled(F.log2(F.col("size").cast("double")), 0.0, math.log2(seen[0] or 2))
     if seen[1] is not None:
         values["v_id"] = scaled(F.col("doc_id"), seen[1], seen[2])
-    tie = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    tie = F.col("at").bitwiseAND(F.lit(2**TIE_BITS - 1))
     dims = [v.replace("v_", "d_") for v in values]
-    points = rows.select("doc_id", "size", "text_crc32", "at", *[F.shiftleft(v, 32).bitwiseOR(tie).alias(d) for d, v in zip(dims, values.values(), strict=True)])
-    root = kd_tree(points, dims, "size", shards)
-    placed = points.withColumn("shard", node_id(root, dims).cast("int")).drop(*dims)
+    points = rows.select("doc_id", "size", "text_crc32", "at", *[F.shiftleft(v.cast("long"), TIE_BITS).bitwiseOR(tie).alias(d) for d, v in zip(dims, values.values(), strict=True)])
+    root = kd_tree(points, dims, "size", shards, seen[3] or 0)
+    placed = points.withColumn("shard", place(root, dims, {i: i for i in range(shards)}).cast("int")).drop(*dims)
     return running_total(placed, ["shard"], ["at", "doc_id", "text_crc32", "size"], F.lit(1), "slot", buckets=256).drop("at")
 
 
