@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, html_extract, mixing, sharding
+from credsweep.llm import bpe, html_extract, mixing, neighbours, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": html_extract.op2,
         "op6_sharding": sharding.op6,
         "op8_bpe": bpe.op8,
+        "op9_toxicity": toxicity.op9,
+        "op10_neighbours": neighbours.op10,
     }
 
 
