@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, html_extract, mixing, neighbours, sharding, toxicity
+from credsweep.llm import bpe, html_extract, mixing, neighbours, ngram_join, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1,
         "op2_html_extraction": html_extract.op2,
+        "op3_ngram_join": ngram_join.op3,
         "op6_sharding": sharding.op6,
         "op8_bpe": bpe.op8,
         "op9_toxicity": toxicity.op9,
