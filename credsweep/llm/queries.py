@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, html_extract, mixing, neighbours, ngram_join, sharding, toxicity
+from credsweep.llm import bpe, fingerprints, html_extract, mixing, neighbours, ngram_join, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1,
         "op2_html_extraction": html_extract.op2,
         "op3_ngram_join": ngram_join.op3,
+        "op4_fingerprints": fingerprints.op4,
         "op6_sharding": sharding.op6,
         "op8_bpe": bpe.op8,
         "op9_toxicity": toxicity.op9,
