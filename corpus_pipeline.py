@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import mixing
+from credsweep.llm import bpe, mixing, ngram_join, toxicity
 from credsweep.llm.common import read, written
 
 STAGES = [
+    ("toxicity", toxicity.stage),
+    ("near duplicates", ngram_join.stage),
     ("mix", mixing.stage),
+    ("tokens", bpe.stage),
 ]
 
 #: None: SQL can express neither the classifier nor the tokenizer.

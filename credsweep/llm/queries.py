@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, fingerprints, html_extract, mixing, neighbours, ngram_join, sharding, toxicity
+from credsweep.llm import bpe, fingerprints, html_extract, licenses, mixing, neighbours, ngram_join, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": html_extract.op2,
         "op3_ngram_join": ngram_join.op3,
         "op4_fingerprints": fingerprints.op4,
+        "op5_license_scan": licenses.op5,
         "op6_sharding": sharding.op6,
+        "op7_token_counts": token_counts.op7,
         "op8_bpe": bpe.op8,
         "op9_toxicity": toxicity.op9,
         "op10_neighbours": neighbours.op10,
