@@ -1,7 +1,8 @@
 """Scalar column functions (M1-M6, N5-N7, P2/P6 helpers).
 
 Every function maps Columns to a Column built from Spark built-ins, so it
-stays inside whole-stage codegen and runs on the executors.
+runs on the executors, without Python.  Most of it is compiled with its stage;
+the lambda functions (entropy, prefix matching) are interpreted.
 """
 
 from __future__ import annotations
@@ -130,22 +131,10 @@ def severity(score) -> Column:
 
 
 # M6 and line flags ---------------------------------------------------------
-def has_sensitive_word(line) -> Column:
-    return contains_any(F.lower(_col(line)), SENSITIVE_WORDS)
-
-
 def has_nearby_word(raw_line) -> Column:
     return contains_any(F.lower(_col(raw_line)), NEARBY_WORDS)
 
 
-def has_line_noise(line) -> Column:
-    return contains_any(F.lower(_col(line)), LINE_NOISE_WORDS)
-
-
-def has_prefix_noise(line) -> Column:
-    return contains_any(F.lower(_col(line)), PREFIX_NOISE_WORDS)
-
-
 def has_env_reference(line) -> Column:
     return _col(line).rlike(ENV_REFERENCE)
 
@@ -165,11 +154,6 @@ def is_nonblank(line) -> Column:
     return _col(line).rlike("[^" + SPACE_CHARS + "]")
 
 
-def strip_ws(line) -> Column:
-    """str.strip() with Unicode whitespace."""
-    return F.regexp_replace(_col(line), java(r"^{S}+|{S}+\z"), "")
-
-
 # P2 / P6 -------------------------------------------------------------------
 def prefix_array(prefixes=PREFIXES) -> Column:
     """The prefix table as a literal array of structs (35 rows, size fixed)."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import java
 
-# Semantic patterns (dialect markers); the SQL oracle uses these as written.
+# FIXED VALUES: what candidate values look like (dialect markers); the SQL oracle
+# uses these as written.
 QUOTED_TOKEN_SPEC = r"['\"]([^{SC}'\"]{12,})['\"]"
 ASSIGNED_TOKEN_SPEC = r"[{WC}.]+{S}*[=:]{S}*['\"]?([^{SC}'\"]{12,})['\"]?"
 QUOTED_VALUE_SPEC = r"['\"]([^'\"]{8,})['\"]"

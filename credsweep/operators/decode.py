@@ -16,7 +16,9 @@ from ..functions import text as tx
 from ..functions.codecs import decode_base64, decode_hex, decode_url
 from ..functions.dialect import java
 from .candidates import first_match
+from .tables import PREFIXES
 
+# FIXED VALUES: encodings, JSON tokens and command forms.
 ENCODINGS = ("base64", "hex", "url")
 CHAIN_SEP = "→"
 JSON_TOKEN = r"['\"]([A-Za-z0-9+/=_-]{16,})['\"]"
@@ -74,7 +76,7 @@ def add_decode_chain(df: DataFrame, values: str, out: str = "decoded") -> DataFr
     return l3.select(*cols, F.concat("_l1", "_l2", "_l2j", "_l3").alias(out))
 
 
-def cmd_decodes(line: Column) -> Column:
+def cmd_decodes(line: Column, prefixes=PREFIXES) -> Column:
     """First match of each command form in a line (comments not skipped).
 
     pos 0 ``$(echo X | base64 --decode)``, 1 the backtick form, 2 ``echo X | rev``
@@ -88,8 +90,8 @@ def cmd_decodes(line: Column) -> Column:
     arr = F.array(
         F.when(d6.isNotNull(), _emit(F.lit(0), none, x6, d6, F.lit("cmd:base64_decode"))),
         F.when(d7.isNotNull(), _emit(F.lit(1), none, x7, d7, F.lit("cmd:base64_decode"))),
-        F.when(x8.isNotNull() & (tx.has_known_prefix(r8) | (tx.entropy(r8) > 4.0)),
+        F.when(x8.isNotNull() & (tx.has_known_prefix(r8, prefixes) | (tx.entropy(r8) > 4.0)),
                _emit(F.lit(2), none, x8, r8, F.lit("cmd:reverse"))),
-        F.when(x9.isNotNull() & tx.has_known_prefix(x9), _emit(F.lit(3), none, x9, x9, F.lit("cmd:echo"))))
+        F.when(x9.isNotNull() & tx.has_known_prefix(x9, prefixes), _emit(F.lit(3), none, x9, x9, F.lit("cmd:echo"))))
     return F.when(line.contains("echo"), F.filter(arr, lambda e: e.isNotNull())).otherwise(
         F.array().cast(f"array<{EMISSION}>"))

@@ -14,18 +14,11 @@ from ..functions import text as tx
 from ..functions.escapes import normalize_line
 
 # str.splitlines() boundaries.
+#: The name of a document without one.
+UNKNOWN = "unknown"
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def split_text(text: Column) -> Column:
-    """Array of lines; a trailing break gives no empty last line, '' gives [].
-
-    Use on a column, not on a large expression: ``text`` is referenced twice.
-    """
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAKS, -1)
-    return F.filter(parts, lambda x, i: (i < F.size(parts) - 1) | (x != ""))
-
-
 def nearby_counts(flags: Column) -> Column:
     """For each line, how many of lines -2,-1,+1,+2 hold a keyword.
 
@@ -52,29 +45,34 @@ def split_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def lines(docs: DataFrame, latin1_compat: bool = False, keep_text: bool = True) -> DataFrame:
     """Stage 1: one row per line with the normalized text and line features.
 
-    Columns: doc_id, filename, is_test, line_num, raw_line, line, nearby,
-    is_comment, is_code (non-blank and not a comment), nonblank, kw
+    Columns: doc_id, doc_hash, filename, is_test, line_num, raw_line, line,
+    nearby, is_comment, is_code (non-blank and not a comment), nonblank, kw
     (sensitive word), env_ref, noise (C1 words), pnoise (C3 words).
 
+    ``doc_id`` may be of any type.  ``doc_hash`` (of name and text) keeps
+    different documents apart that share an id; rows that are equal in id, name
+    and text are one document.  A NULL name is ``unknown``, a NULL text empty.
+
     Each array is produced in its own projection; Catalyst keeps them apart
     because they are referenced more than once downstream.
     """
+    filename = F.coalesce(F.col("filename"), F.lit(UNKNOWN))
     parts = docs.select(
-        "doc_id", "filename", tx.is_test_file(F.col("filename")).alias("is_test"),
+        "doc_id", F.xxhash64(filename, "text").alias("doc_hash"), filename.alias("filename"), tx.is_test_file(filename).alias("is_test"),
         F.split(F.coalesce(F.col("text"), F.lit("")), LINE_BREAKS, -1).alias("parts"))
     raw = parts.select(
-        "doc_id", "filename", "is_test",
+        "doc_id", "doc_hash", "filename", "is_test",
         F.filter("parts", lambda x, i: (i < F.size("parts") - 1) | (x != "")).alias("raw"))
     flagged = raw.select("*", F.transform("raw", lambda l: tx.has_nearby_word(l).cast("int")).alias("flags"))
-    near = flagged.select("doc_id", "filename", "is_test", "raw", nearby_counts(F.col("flags")).alias("nearby"))
+    near = flagged.select("doc_id", "doc_hash", "filename", "is_test", "raw", nearby_counts(F.col("flags")).alias("nearby"))
     # posexplode_outer + a filter on the generated column: an inner explode
     # makes Catalyst infer size(array) > 0 and push it below, re-evaluating
     # the arrays there.
     exploded = near.select(
-        "doc_id", "filename", "is_test",
+        "doc_id", "doc_hash", "filename", "is_test",
         F.posexplode_outer(F.arrays_zip("raw", "nearby")).alias("pos", "l")).where(F.col("pos").isNotNull())
     out = exploded.select(
-        "doc_id", "filename", "is_test",
+        "doc_id", "doc_hash", "filename", "is_test",
         (F.col("pos") + 1).cast("int").alias("line_num"),
         F.col("l.raw").alias("raw_line"),
         F.col("l.nearby").cast("int").alias("nearby"))

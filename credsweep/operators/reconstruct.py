@@ -1,49 +1,57 @@
 """Stage 3: reconstruction.
 
 R1 is a projection of one line.  R2/R3 gather ``name<n> = part`` and
-``name[n] = part`` assignments over a whole document: one grouped
-aggregation keyed by (doc_id, kind, name) over the few part rows only.
+``name[n] = part`` assignments over a whole document; the grouping itself is
+in ``plans.scan.fold_parts``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.dialect import java
+from .tables import PREFIXES
 
+# FIXED VALUES: what a concatenation and a part of a split value look like.
 CONCAT = java(r"['\"]([a-zA-Z0-9_-]{3,})['\"]{S}*[\+\.]{S}*(?:['\"]([a-zA-Z0-9_-]{3,})['\"]|({W}+))")
 SPLIT_PART = java(r"^{S}*({W}+?)({D}+){S}*[=:]{S}*['\"]?({NS}+?)['\"]?{S}*\z")
 ARRAY_PART = java(r"^{S}*([{WC}.]+)\[({D}+)\]{S}*[=:]{S}*['\"]?({NS}+?)['\"]?{S}*\z")
+# SPLIT_PART in time linear in the line: the whole name first, its last digits from it.
+SPLIT_WORD = java(r"^{S}*+({W}++){S}*+[=:]{S}*['\"]?({NS}+?)['\"]?{S}*\z")
+LAST_DIGITS = java(r"(?<!{D})({D}++)\z")
+ARRAY_NAME = java(r"^{S}*+([{WC}.]++)\[({D}++)\]{S}*+[=:]{S}*['\"]?({NS}+?)['\"]?{S}*\z")
 METHODS = {1: "string_concat", 2: "split_assignment", 3: "array_split"}
 # Entropy needed to keep a group without a known prefix.
 MIN_GROUP_ENTROPY = {2: 4.0, 3: 3.5}
 
 
-def concat_literal(line: Column) -> Column:
+def concat_literal(line: Column, prefixes=PREFIXES) -> Column:
     """struct<value, prefix> for the first ``"a" + "b"`` / ``"a" . b`` when ``a`` has a known prefix."""
     g1 = F.regexp_extract(line, CONCAT, 1)
     g2 = F.regexp_extract(line, CONCAT, 2)
     g3 = F.regexp_extract(line, CONCAT, 3)
     suffix = F.when(g2 != "", g2).otherwise(F.concat(F.lit("<"), g3, F.lit(">")))
     gate = (line.contains("+") | line.contains(".")) & line.rlike("['\"]")
-    return F.when(gate & (g1 != "") & tx.has_known_prefix(g1),
+    return F.when(gate & (g1 != "") & tx.has_known_prefix(g1, prefixes),
                   F.struct(F.concat(g1, suffix).alias("value"), g1.alias("prefix")))
 
 
 def assignment_part(line: Column) -> Column:
     """R2/R3 part of one line: struct<kind (2 split, 3 array), name, idx, value> or NULL."""
     gate = line.contains("=") | line.contains(":")
-    s_name = F.regexp_extract(line, SPLIT_PART, 1)
-    a_name = F.regexp_extract(line, ARRAY_PART, 1)
-    split = F.struct(F.lit(2).alias("kind"), s_name.alias("name"),
-                     F.regexp_extract(line, SPLIT_PART, 2).alias("idx"),
-                     F.regexp_extract(line, SPLIT_PART, 3).alias("value"))
+    word = F.regexp_extract(line, SPLIT_WORD, 1)
+    tail = F.regexp_extract(word, LAST_DIGITS, 1)
+    # a name has one character at least, so of digits alone the first one is the name
+    idx = F.when(F.length(tail) < F.length(word), tail).otherwise(word.substr(F.lit(2), F.length(word)))
+    a_name = F.regexp_extract(line, ARRAY_NAME, 1)
+    split = F.struct(F.lit(2).alias("kind"), word.substr(F.lit(1), F.length(word) - F.length(idx)).alias("name"),
+                     idx.alias("idx"), F.regexp_extract(line, SPLIT_WORD, 2).alias("value"))
     arr = F.struct(F.lit(3).alias("kind"), a_name.alias("name"),
-                   F.regexp_extract(line, ARRAY_PART, 2).alias("idx"),
-                   F.regexp_extract(line, ARRAY_PART, 3).alias("value"))
-    return F.when(gate & (s_name != ""), split).when(gate & (a_name != ""), arr)
+                   F.regexp_extract(line, ARRAY_NAME, 2).alias("idx"),
+                   F.regexp_extract(line, ARRAY_NAME, 3).alias("value"))
+    return F.when(gate & (idx != ""), split).when(gate & (a_name != ""), arr)
 
 
 def index_key(idx: Column) -> Column:
@@ -52,29 +60,12 @@ def index_key(idx: Column) -> Column:
     return F.struct(F.length(digits).alias("n"), digits.alias("d"))
 
 
-def group_parts(parts: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """(doc_id, kind, name) groups of 2+ parts, in index order (ties by line).
+def joined_parts(items: Column) -> Column:
+    """Parts (items with ``label`` = index, ``value``, ``line_num``) in index order, ties by line; equal ones once."""
+    return F.array_sort(F.array_distinct(F.transform(items, lambda p: F.struct(
+        index_key(p["label"]).alias("k"), p["line_num"].alias("line_num"), p["value"].alias("value")))))
 
-    ``parts`` has doc_id, filename, is_test, kind, name, idx, value, line_num
-    and the line features.  Output: one row per kept group with
-    line_num = line of the lowest index, first_seen = first line of the
-    name, value = the joined parts, and that line's features.
-    """
-    feats = [F.col(c) for c in feature_cols]
-    packed = parts.select(
-        "doc_id", "filename", "is_test", "kind", "name",
-        F.struct(index_key(F.col("idx")).alias("k"), F.col("line_num").alias("line_num"),
-                 F.col("value").alias("value"), F.struct(*feats).alias("f")).alias("p"))
-    g = packed.groupBy("doc_id", "filename", "is_test", "kind", "name").agg(
-        F.array_sort(F.collect_list("p")).alias("ps"),
-        F.min(F.col("p.line_num")).alias("first_seen"))
-    g = g.where(F.size("ps") >= 2).select(
-        "doc_id", "filename", "is_test", "kind", "first_seen",
-        F.col("ps")[0]["line_num"].alias("line_num"), F.col("ps")[0]["f"].alias("f"),
-        F.array_join(F.transform("ps", lambda p: p["value"]), "").alias("value"))
-    g = g.select("*", tx.entropy(F.col("value")).alias("_e"))
-    keep = tx.has_known_prefix(F.col("value")) | (
-        (F.col("kind") == 2) & (F.col("_e") > MIN_GROUP_ENTROPY[2])) | (
-        (F.col("kind") == 3) & (F.col("_e") > MIN_GROUP_ENTROPY[3]))
-    return g.where(keep).select("doc_id", "filename", "is_test", "kind", "first_seen", "line_num", "value",
-                                *[F.col("f")[c].alias(c) for c in feature_cols])
+
+def keep_group(kind: Column, value: Column, entropy: Column, prefixes=PREFIXES) -> Column:
+    """A joined value counts if it has a known prefix or enough entropy for its kind."""
+    return tx.has_known_prefix(value, prefixes) | ((kind == 2) & (entropy > MIN_GROUP_ENTROPY[2])) | ((kind == 3) & (entropy > MIN_GROUP_ENTROPY[3]))

@@ -3,9 +3,8 @@
 All rules are unrolled into one projection over the line rows: a gated
 ``regexp_extract_all`` per rule, the first match whose secret is not a
 placeholder, and one array of hits per line.  Constant patterns are compiled
-once per task; there is no join and no shuffle.  ``match_rules_join`` is the
-table-driven form for user rule tables (a broadcast of the rule table, whose
-size is checked).
+once per task; there is no join and no shuffle.  A user's rule table becomes the
+same kind of projection (``rules_from_table``).
 """
 
 from __future__ import annotations
@@ -19,7 +18,11 @@ from .tables import RULES, Rule
 
 GATE_FOLD_FROM = "ſıİK"
 GATE_FOLD_TO = "siik"
-MAX_BROADCAST_RULES = 10_000
+
+
+def pattern_of(rule: Rule) -> str:
+    """The rule's Java pattern."""
+    return rule.pattern if rule.java_pattern else java(rule.pattern, True)
 
 
 def gate_text(line: Column) -> Column:
@@ -42,15 +45,91 @@ def gate_condition(rule: Rule, low: Column) -> Column:
 
 
 def rule_applies(rule: Rule, is_test: Column, filename: Column, nonblank: Column) -> Column:
-    """X3/X4 plus the blank-line skip."""
+    """X3/X4 plus the blank-line skip; a NULL file name or flag turns no rule off but those that need a name."""
     cond = nonblank
     if rule.skip_test:
-        cond = cond & ~is_test
+        cond = cond & ~F.coalesce(is_test, F.lit(False))
     if rule.file_pattern:
-        cond = cond & filename.rlike(rule.file_pattern)
+        cond = cond & F.coalesce(filename.rlike(rule.file_pattern), F.lit(False))
     return cond
 
 
+# ---------------------------------------------------------------- linear forms
+# Three patterns take time quadratic in a line's length: many places where a match
+# could begin, and from each of them a scan to the end.  The forms below give the
+# same matches and try each stretch of the line once.
+
+# JDBC: a match lies within one run without spaces and quotes, and there is at most
+# one in it: from the first URL head to the last password.  So only the run's start
+# is tried, and the head is found without going back.
+JDBC_HEAD = r"jdbc:[a-z]+://"
+JDBC_RUN = java(r"(?<![^{SC}'\"])(?>[^{SC}'\"]*?(?=" + JDBC_HEAD + r"))(" + JDBC_HEAD + r"[^{SC}'\"]*(?:password|pwd)=[^{SC}&'\"]+)", True)
+# Firebase: the same between closing braces.
+FIREBASE_HEAD = r"(?:firebase|firebaseConfig){S}*[=:]{S}*\{"
+FIREBASE_RUN = java(r"(?<![^}])(?>[^}]*?(?=" + FIREBASE_HEAD + r"))(" + FIREBASE_HEAD + r"[^}]*apiKey{S}*:)", True)
+URL_PIECE = r"[^@]*@|[^@]+\z"
+MARK = "\ue000"
+
+
+def credential_urls(line: Column, pattern: str) -> Column:
+    """Matches of the URL rule: scheme, user, first colon, password, first ``@`` after it, host.
+
+    All URLs whose first colon lies in the same piece between two ``@`` share the
+    ``@`` that ends the piece.  If no host can follow that ``@``, none of them
+    matches: their ``://`` is marked, so that the pattern doesn't scan for it from
+    each.  Only the last colon of such a piece may begin a URL whose first colon
+    comes later.
+    """
+    pieces = F.regexp_extract_all(line, F.lit("(?s)" + URL_PIECE), 0)
+    after = F.slice(F.concat(pieces, F.array(F.lit(""))), 2, F.size(pieces))
+
+    def marked(piece: Column, then: Column) -> Column:
+        last = F.length(piece) - F.locate(":", F.reverse(piece))  # characters before the last colon
+        host = piece.endswith("@") & then.rlike(java(r"^[^{SC}'\"]"))
+        return F.when(host | ~piece.contains(":"), piece).otherwise(
+            F.concat(F.replace(piece.substr(F.lit(1), last), F.lit("://"), F.lit(":" + MARK + "/")), piece.substr(last + 1, F.length(piece))))
+
+    quick = F.transform(F.regexp_extract_all(F.array_join(F.zip_with(pieces, after, marked), ""), F.lit(pattern), 1),
+                        lambda m: F.replace(m, F.lit(MARK), F.lit("/")))
+    return F.when(line.contains(MARK), F.regexp_extract_all(line, F.lit(pattern), 1)).otherwise(quick)
+
+
+#: Rules with a linear form; in all of them the secret is the whole match.
+LINEAR = {
+    "JDBC Connection with Password": lambda line, pattern: F.regexp_extract_all(line, F.lit(JDBC_RUN), 1),
+    "URL with Embedded Credentials": credential_urls,
+    "Firebase Config Inline": lambda line, pattern: F.regexp_extract_all(line, F.lit(FIREBASE_RUN), 1),
+}
+
+
+def all_matches(line: Column, rule: Rule, group: int) -> Column:
+    """Every match of a rule in a line: whole (group 0) or its secret (group 1, or the whole where the rule has none)."""
+    if rule in RULES and rule.name in LINEAR:
+        return LINEAR[rule.name](line, pattern_of(rule))
+    return F.regexp_extract_all(line, F.lit(pattern_of(rule)), group if rule.captures else 0)
+
+
+def _staged_matches(df: DataFrame, rules, use_gates: bool) -> DataFrame:
+    """Line rows with ``_m<i>``: the secrets of rule i's matches, NULL where the rule does not apply."""
+    cols = df.columns
+    staged = df.select("*", gate_text(F.col("line")).alias("_low")) if use_gates else df
+    tmp = []
+    for i, r in enumerate(rules, 1):
+        cond = rule_applies(r, F.col("is_test"), F.col("filename"), F.col("nonblank"))
+        if use_gates:
+            cond = cond & gate_condition(r, F.col("_low"))
+        tmp.append(F.when(cond, all_matches(F.col("line"), r, 1)).alias(f"_m{i}"))
+    return staged.select(*cols, *tmp)
+
+
+def add_rule_matches(df: DataFrame, rules=RULES, use_gates: bool = True, out: str = "rule_matches") -> DataFrame:
+    """Adds ``out`` = array<struct<rule_id, whole, secrets>>, one element for each rule with a match in the line."""
+    staged = _staged_matches(df, rules, use_gates)
+    found = [F.when(F.size(f"_m{i}") > 0, F.struct(F.lit(i).alias("rule_id"), all_matches(F.col("line"), r, 0).alias("whole"), F.col(f"_m{i}").alias("secrets")))
+             for i, r in enumerate(rules, 1)]
+    return staged.select(*df.columns, F.filter(F.array(*found), lambda m: m.isNotNull()).alias(out))
+
+
 def add_rule_hits(df: DataFrame, rules=RULES, use_gates: bool = True, out: str = "regex_hits") -> DataFrame:
     """Adds ``out`` = array<struct<rule_id, match, secret>> to line rows.
 
@@ -62,17 +141,7 @@ def add_rule_hits(df: DataFrame, rules=RULES, use_gates: bool = True, out: str =
     Catalyst keeps it materialized instead of re-evaluating it.
     """
     cols = df.columns
-    staged = df.select("*", gate_text(F.col("line")).alias("_low")) if use_gates else df
-    low = F.col("_low")
-    tmp = []
-    for i, r in enumerate(rules, 1):
-        cond = rule_applies(r, F.col("is_test"), F.col("filename"), F.col("nonblank"))
-        if use_gates:
-            cond = cond & gate_condition(r, low)
-        pat = java(r.pattern, True)
-        tmp.append(F.when(cond, F.regexp_extract_all(F.col("line"), F.lit(pat), 1 if r.captures else 0))
-                   .alias(f"_m{i}"))
-    staged = staged.select(*cols, *tmp)
+    staged = _staged_matches(df, rules, use_gates)
     idx = [F.array_position(F.transform(f"_m{i}", lambda s: ~tx.is_placeholder(s)), True)
            .cast("int").alias(f"_i{i}") for i in range(1, len(rules) + 1)]
     staged = staged.select("*", *idx)
@@ -82,7 +151,7 @@ def add_rule_hits(df: DataFrame, rules=RULES, use_gates: bool = True, out: str =
         m, ix = F.col(f"_m{i}"), F.col(f"_i{i}")
         secret = F.try_element_at(m, ix)
         if r.captures:
-            whole = F.try_element_at(F.regexp_extract_all(F.col("line"), F.lit(java(r.pattern, True)), 0), ix)
+            whole = F.try_element_at(all_matches(F.col("line"), r, 0), ix)
         else:
             whole = secret
         hits.append(F.when(ix > 0, F.struct(F.lit(i).alias("rule_id"), whole.alias("match"),
@@ -106,19 +175,27 @@ def rule_attr(attr: str, rule_id: Column, rules=RULES) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in vals]), rule_id)
 
 
-def match_rules_join(lines: DataFrame, rule_df: DataFrame) -> DataFrame:
-    """Table-driven X2-X5 for user-supplied rule tables: every match of every rule.
+def rules_from_table(rule_df: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a user's table (``rule_table`` shape, Java patterns), in the order of ``rule_id``.
 
-    The rule table (``rule_table`` shape, Java patterns) is broadcast; its
-    size is checked first, since a rule table is configuration.  The join is
-    a nested loop over lines x rules with per-row patterns, so the unrolled
-    ``add_rule_hits`` remains the fast path for the built-in rules.
+    A rule table is configuration: its rows become the plan, as the built-in
+    rules do, so lines are never joined with rules.  A built-in rule that comes
+    back unchanged keeps its gate and its linear form.
     """
-    n = rule_df.count()
-    if n > MAX_BROADCAST_RULES:
-        raise ValueError(f"rule table has {n} rows; at most {MAX_BROADCAST_RULES} are supported")
-    cond = F.expr("nonblank AND (NOT skip_test OR NOT is_test) "
-                  "AND (file_pattern IS NULL OR filename rlike file_pattern) AND line rlike pattern")
-    joined = lines.join(F.broadcast(rule_df), cond, "inner")
-    return joined.select("doc_id", "line_num", "rule_id",
-                         F.explode(F.expr("regexp_extract_all(line, pattern, 0)")).alias("match"))
+    own = {(r.name, pattern_of(r), r.skip_test, r.file_pattern, r.captures, r.score_fields()): r for r in RULES}
+    out = []
+    for t in sorted(rule_df.collect(), key=lambda t: t["rule_id"]):
+        made = Rule(t["rule"], t["pattern"], t["base_score"], t["category"], t["fix"], bool(t["captures"]), bool(t["needs_entropy"]),
+                    bool(t["skip_test"]), t["file_pattern"], java_pattern=True)
+        out.append(own.get((made.name, made.pattern, made.skip_test, made.file_pattern, made.captures, made.score_fields()), made))
+    return tuple(out)
+
+
+def match_rules_join(lines: DataFrame, rule_df: DataFrame) -> DataFrame:
+    """Every whole match of every rule of a user's table: (doc_id, line_num, rule_id, match)."""
+    rules = rules_from_table(rule_df)
+    found = add_rule_matches(lines, rules).select("doc_id", "line_num", F.explode_outer("rule_matches").alias("m")).where(F.col("m").isNotNull())
+    ids = [t["rule_id"] for t in sorted(rule_df.select("rule_id").collect())]
+    rule_id = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("m.rule_id"))
+    rows = found.select("doc_id", "line_num", rule_id.alias("rule_id"), F.explode_outer("m.whole").alias("match"))
+    return rows.where(F.col("match").isNotNull())

@@ -4,8 +4,9 @@ Input is the ``evidence`` table: one row per thing that may become a
 finding (regex hit, prefix hit, decoded value, reconstructed value), keyed
 by an explicit order struct ``key`` (phase, grp, ln, sub, pos, path, pord)
 that reproduces the insertion order of the sequential detector.  Scoring is
-column arithmetic; de-duplication and ranking are windows partitioned by
-``doc_id`` (the caller repartitions once by doc_id so every window reuses it).
+column arithmetic; de-duplication is a window within a document's line, so a
+document with very many hits is dealt over tasks, and only the rank of what is
+left is a window over the document.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def prefix_confidence(value: Column, e: Column, pscore: Column, plen: Column, is
 def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
     """One candidate finding per evidence row (or none).
 
-    ``ev`` columns: doc_id, filename, is_test, line_num, kw, env_ref, noise,
+    ``ev`` columns: doc_id, doc_hash, filename, is_test, line_num, kw, env_ref, noise,
     pnoise, is_comment, nearby, ev, key, rule_id, value, text, label, pord,
     provider, ptype, plen, pscore.
     """
@@ -145,7 +146,7 @@ def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
               .when(kind == EV_DECODED, F.concat(F.lit("decoded:"), enc))
               .otherwise(F.concat(F.lit("reconstructed:"), enc)))
     scored = staged.select(
-        "doc_id", F.col("filename").alias("file"), F.col("line_num").alias("line"), "ev", "key",
+        "doc_id", "doc_hash", F.col("filename").alias("file"), F.col("line_num").alias("line"), "ev", "key",
         rule.alias("rule"), category.alias("category"), conf.cast("int").alias("confidence"),
         tx.clip_match(raw_match).alias("match"), fix.alias("fix"), source.alias("source"))
     # Regex and prefix findings below 15 are dropped; no score -> no finding.
@@ -166,14 +167,14 @@ def dedup_findings(scored: DataFrame) -> DataFrame:
     Dropped rows sort after kept ones, so "drop, then keep the first" is one
     window followed by a filter that cannot be pushed below it.
     """
-    w = Window.partitionBy("doc_id", "line", "rule").orderBy(F.desc("keep"), "key")
+    w = Window.partitionBy("doc_id", "doc_hash", "line", "rule").orderBy(F.desc("keep"), "key")
     return (scored.withColumn("_rn", F.row_number().over(w))
             .where((F.col("_rn") == 1) & F.col("keep")).drop("_rn", "keep"))
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Per document, confidence descending; ties keep insertion order."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), F.asc("key"))
+    w = Window.partitionBy("doc_id", "doc_hash").orderBy(F.desc("confidence"), F.asc("key"))
     return findings.withColumn("rank", F.row_number().over(w).cast("int"))
 
 

@@ -26,6 +26,10 @@ class Rule:
     # Gate: alternatives of literals that every match contains after
     # lower-casing; a line is only matched if one alternative is present.
     gate: tuple[tuple[str, ...], ...] = field(default=())
+    java_pattern: bool = False    # the pattern comes from a table, in Java's own syntax
+
+    def score_fields(self) -> tuple:
+        return self.base_score, self.category, self.fix, self.needs_entropy
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,7 @@ RULES: tuple[Rule, ...] = (
          "Use BuildConfig from local.properties.", needs_entropy=True, file_pattern=r"AndroidManifest\.xml",
          gate=_g("android:value")),
     Rule("BuildConfig Hardcoded Secret", r"buildConfigField{S}+['\"]String['\"]{S}*,{S}*['\"].*(?:KEY|SECRET|TOKEN).*['\"]{S}*,{S}*['\"]\\\"([^\"]+)\\\"['\"]", 80, "android",
-         "Read from local.properties.", file_pattern=r"\.gradle", gate=_g("buildconfigfield")),
+         "Read from local.properties.", file_pattern=r"\.gradle", gate=_g(("buildconfigfield", '\\"'))),
     Rule("Firebase Config Inline", r"(?:firebase|firebaseConfig){S}*[=:]{S}*\{[^}]*apiKey{S}*:", 60, "android",
          "Use google-services.json.", captures=False, gate=_g(("firebase", "apikey"))),
     Rule("npm Token", r"//registry\.npmjs\.org/:_authToken=([A-Za-z0-9_-]+)", 90, "registry",
@@ -223,3 +227,9 @@ def prefix_table(spark: SparkSession, prefixes=PREFIXES) -> DataFrame:
     """The prefix table as a DataFrame with its match order ``ord``."""
     rows = [(i, p.prefix, p.provider, p.type, p.length, p.score) for i, p in enumerate(prefixes, 1)]
     return spark.createDataFrame(rows, PREFIX_SCHEMA)
+
+
+def prefixes_from_table(prefix_df: DataFrame) -> tuple[Prefix, ...]:
+    """Prefixes of a user's table (``prefix_table`` shape) in the order of ``ord``; configuration, so it is collected."""
+    return tuple(Prefix(t["prefix"], t["provider"], t["type"], t["expected_length"], t["base_score"])
+                 for t in sorted(prefix_df.collect(), key=lambda t: t["ord"]))

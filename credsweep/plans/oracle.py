@@ -98,8 +98,16 @@ def code_point(hexdigits: str) -> str:
     return f"(CASE WHEN {cp} BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(TRY_CAST({cp} AS INTEGER)) END)"
 
 
-def normalize(raw: str) -> str:
-    """N2 -> N3 -> N4 (intent mode)."""
+def latin1(v: str) -> str:
+    """The UTF-8 bytes of a text read as Latin-1."""
+    return (f"array_to_string(list_transform(range(length(hex(encode({v}))) // 2), "
+            f"lambda i: chr(TRY_CAST('0x' || substr(hex(encode({v})), 2 * i::INTEGER + 1, 2) AS INTEGER))), '')")
+
+
+def normalize(raw: str, compat: bool = False) -> str:
+    """N2 -> N3 -> N4; ``compat`` reads what is no escape as Latin-1."""
+    plain = latin1("t") if compat else "t"
+    whole = f"CASE WHEN regexp_matches({raw}, '[^\\x00-\\x7f]') THEN {latin1(raw)} ELSE {raw} END" if compat else raw
     tok = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|N\{[^}]*\}|[0-7]{1,3}|(?s:.))|\\|[^\\]+"
     k = "substr(t, 2, 1)"
     octal = ("(CASE length(t) WHEN 2 THEN ascii(substr(t,2,1)) - 48 "
@@ -109,18 +117,18 @@ def normalize(raw: str) -> str:
                       (("\\", "\\"), ("'", "'"), ('"', '"'), ("n", "\n"), ("t", "\t"), ("r", "\r")))
     simple += " WHEN " + k + " = 'a' THEN chr(7) WHEN " + k + " = 'b' THEN chr(8) WHEN " + k + \
               " = 'f' THEN chr(12) WHEN " + k + " = 'v' THEN chr(11)"
-    dec_tok = (f"CASE WHEN substr(t, 1, 1) <> '\\' THEN t "
+    dec_tok = (f"CASE WHEN substr(t, 1, 1) <> '\\' THEN {plain} "
                f"WHEN {k} = 'x' AND length(t) = 4 THEN {code_point('substr(t, 3, 2)')} "
                f"WHEN {k} = 'u' AND length(t) = 6 THEN {code_point('substr(t, 3, 4)')} "
                f"WHEN {k} = 'U' AND length(t) = 10 THEN {code_point('substr(t, 3, 8)')} "
                f"WHEN regexp_matches({k}, '^[0-7]$') THEN chr(TRY_CAST({octal} AS INTEGER)) "
-               f"{simple} ELSE t END")
+               f"{simple} ELSE {plain} END")
     bad = (f"t = '\\' OR ({k} IN ('x', 'u', 'U', 'N') AND length(t) = 2) OR "
            f"({k} = 'U' AND length(t) = 10 AND coalesce(TRY_CAST('0x' || substr(t, 3, 8) AS BIGINT), 0) > 1114111)")
     toks = f"regexp_extract_all({raw}, {q(tok)})"
     n2 = (f"(CASE WHEN contains({raw}, '\\') THEN list_transform([{toks}], lambda ts: "
           f"CASE WHEN coalesce(list_bool_or(list_transform(ts, lambda t: {bad})), false) THEN {raw} "
-          f"ELSE array_to_string(list_transform(ts, lambda t: {dec_tok}), '') END)[1] ELSE {raw} END)")
+          f"ELSE array_to_string(list_transform(ts, lambda t: {dec_tok}), '') END)[1] ELSE {whole} END)")
     tok3 = r"\\x[0-9a-fA-F]{2}|[^\\]+|\\"
     n3 = (f"list_transform([{n2}], lambda s: CASE WHEN contains(s, '\\x') THEN array_to_string(list_transform("
           f"regexp_extract_all(s, {q(tok3)}), lambda t: CASE WHEN regexp_matches(t, '^\\\\x[0-9a-fA-F]{{2}}$') "
@@ -157,12 +165,12 @@ def rule_branch(i: int, r) -> str:
             f"regexp_extract_all(l.line, {pat}, {g}) AS secrets FROM lines l WHERE {' AND '.join(cond)}")
 
 
-def _ctes(source: str = "corpus") -> dict[str, str]:
+def _ctes(source: str = "corpus", compat: bool = False) -> dict[str, str]:
     kwn = any_contains("lower(raw_line)", tx.NEARBY_WORDS) + "::INT"
     comment = re2(r"^{S}*(?://|#|\*|/\*|<!--|--|REM {S}*{NS})")
     c = {}
     c["corpus"] = corpus_sql()
-    c["split"] = (f"SELECT doc_id, filename, string_split_regex(coalesce(text, ''), {q(LB)}) AS p0 FROM {source}")
+    c["split"] = (f"SELECT doc_id, coalesce(filename, 'unknown') AS filename, string_split_regex(coalesce(text, ''), {q(LB)}) AS p0 FROM {source}")
     c["raw_lines"] = ("SELECT doc_id, filename, unnest(range(1, len(p) + 1))::INTEGER AS line_num, unnest(p) AS raw_line "
                       "FROM (SELECT doc_id, filename, CASE WHEN p0[len(p0)] = '' THEN p0[1:len(p0) - 1] ELSE p0 END AS p "
                       "FROM split)")
@@ -173,7 +181,7 @@ def _ctes(source: str = "corpus") -> dict[str, str]:
         f"regexp_matches(line, {q('[^' + SPACE_CHARS + ']')}) AND NOT regexp_matches(line, {q(comment)}) AS is_code, "
         f"{any_contains('lower(line)', tx.SENSITIVE_WORDS)} AS kw, regexp_matches(line, {q(tx.ENV_REFERENCE)}) AS env_ref, "
         f"{any_contains('lower(line)', tx.LINE_NOISE_WORDS)} AS noise, {any_contains('lower(line)', tx.PREFIX_NOISE_WORDS)} AS pnoise "
-        f"FROM (SELECT *, {normalize('raw_line')} AS line, {kwn} AS kwn FROM raw_lines)")
+        f"FROM (SELECT *, {normalize('raw_line', compat)} AS line, {kwn} AS kwn FROM raw_lines)")
     c["rules_t"] = rules_values()
     c["prefixes_t"] = prefixes_values()
     c["rmatch"] = " UNION ALL ".join(rule_branch(i, r) for i, r in enumerate(RULES, 1))
@@ -226,7 +234,7 @@ def _ctes(source: str = "corpus") -> dict[str, str]:
         f"UNION ALL SELECT doc_id, line_num, 3, x9, x9, 'cmd:echo' FROM cmd_x WHERE x9 <> '' AND {known_prefix('x9')}")
     # reconstruction
     cc, sp, ap = q(re2(rc.CONCAT[4:])), q(re2(rc.SPLIT_PART[4:])), q(re2(rc.ARRAY_PART[4:]))
-    c["r1"] = (f"SELECT doc_id, line_num, concat(g1, CASE WHEN g2 <> '' THEN g2 ELSE concat('<', g3, '>') END) AS value "
+    c["r1"] = (f"SELECT doc_id, line_num, g1, concat(g1, CASE WHEN g2 <> '' THEN g2 ELSE concat('<', g3, '>') END) AS value "
                f"FROM (SELECT doc_id, line_num, regexp_extract(line, {cc}, 1) AS g1, regexp_extract(line, {cc}, 2) AS g2, "
                f"regexp_extract(line, {cc}, 3) AS g3 FROM lines) WHERE g1 <> '' AND {known_prefix('g1')}")
     c["parts"] = (f"SELECT doc_id, line_num, 2 AS kind, regexp_extract(line, {sp}, 1) AS name, regexp_extract(line, {sp}, 2) AS idx, "
@@ -335,9 +343,9 @@ def _scoring_ctes() -> dict[str, str]:
     return c
 
 
-def with_ctes(select: str, source_sql: str | None = None) -> str:
+def with_ctes(select: str, source_sql: str | None = None, latin1: bool = False) -> str:
     """Prefix ``select`` with every CTE it needs (unused ones are pruned by DuckDB)."""
-    c = _ctes()
+    c = _ctes(compat=latin1)
     c.update(_scoring_ctes())
     if source_sql is not None:
         c["corpus"] = source_sql

@@ -7,6 +7,7 @@ whole content.  Keys start with the inventory ID.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,19 @@ from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators.lines import lines as line_table
 from ..operators.lines import split_lines
-from ..operators.rules import add_rule_hits, rule_attr
-from ..operators.score import EV_PREFIX, EV_REGEX, dedup_findings, rank_findings, score_evidence, with_severity
-from ..operators.tables import prefix_table, rule_table
-from ..sources.tables import conversations, conversations_sql, corpus, pages, pages_sql
+from ..functions.codecs import is_printable
+from ..operators.report import (VERDICT_REST, VERDICTS, check_entropy, clean_docs, corpus_report, corpus_summary,
+                                file_report, rank_corpus, split_confirmed)
+from ..operators.rules import add_rule_matches, match_rules_join
+from ..operators.score import EV_PREFIX, EV_REGEX, dedup_findings, prefix_confidence, regex_confidence, score_evidence, suppress_low
+from ..operators.tables import PREFIXES, prefix_table, rule_table
 from ..session import checkpoint_dir
+from ..sources import files
+from ..sources.planted import planted_sql
+from ..sources.tables import conversations, conversations_sql, corpus, documents, pages, pages_sql, planted_table
 from . import oracle as O
-from .scan import (FEATURES, K_CAND, K_DECODED, K_PART, K_RECON, K_REGEX, evidence, line_items,
-                   prefix_dedup, reconstructed_groups, scan)
+from .scan import (FAMILIES, K_CAND, K_DECODED, K_RECON, K_REGEX, VALUES, evidence, fold_parts, line_items,
+                   prefix_dedup, scan, scan_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,25 +49,23 @@ def _lines(spark, sf):
     return line_table(corpus(spark, sf))
 
 
-def _items(spark, sf):
-    """Item rows, checkpointed: several branches read them."""
-    checkpoint_dir(spark)
-    return line_items(_lines(spark, sf)).checkpoint(eager=True)
+def _items(spark, sf, *families):
+    """Item rows of some families; the plan holds nothing of the others."""
+    return line_items(_lines(spark, sf), families=families or FAMILIES)
 
 
-def _all_items(spark, sf):
-    it = _items(spark, sf)
-    return it.where(F.col("kind") != K_PART).unionByName(reconstructed_groups(it))
+def _values(spark, sf):
+    """Items that the prefix table is matched with, split values joined."""
+    return fold_parts(_items(spark, sf, *VALUES))
 
 
-def _evidence(spark, sf):
-    return evidence(_all_items(spark, sf))
+def _regex_evidence(spark, sf):
+    return evidence(_items(spark, sf, "rules"))
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, *families):
     """Scored evidence after C7 (suppressed rows removed)."""
-    from ..operators.score import suppress_low
-    return suppress_low(score_evidence(prefix_dedup(_evidence(spark, sf))))
+    return suppress_low(score_evidence(prefix_dedup(evidence(fold_parts(_items(spark, sf, *families))))))
 
 
 def _path_str(c):
@@ -157,50 +161,43 @@ def q_confusables(spark, sf):
 
 
 # ---------------------------------------------------------------- X: rules
-@register("X1_rule_table", W("SELECT rule_id, rule, category, base_score, needs_entropy, skip_test, file_pattern, captures, fix FROM rules_t"))
+@register("X1_rule_table", W("SELECT r.rule_id, rule, category, base_score, needs_entropy, skip_test, file_pattern, captures, fix, "
+                             "count(h.doc_id) AS hits, count(DISTINCT h.doc_id) AS docs FROM rules_t r LEFT JOIN rhits h USING (rule_id) GROUP BY ALL"))
 def q_rule_table(spark, sf):
-    return rule_table(spark).drop("pattern")
+    """The rule table with what each rule hits in the corpus."""
+    h = _items(spark, sf, "rules").groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"))
+    return rule_table(spark).drop("pattern").join(h, "rule_id", "left").fillna(0, ["hits", "docs"])
 
 
-def _rule_arrays(spark, sf):
-    """All matches per applicable (line, rule): X2-X6 inputs."""
-    from ..functions.dialect import java
-    from ..operators.rules import rule_applies
-    from ..operators.tables import RULES
-    ls = _lines(spark, sf)
-    arr = F.array(*[F.struct(F.lit(i).alias("rule_id"),
-                             F.regexp_extract_all("line", F.lit(java(r.pattern, True)), 0).alias("whole"),
-                             F.regexp_extract_all("line", F.lit(java(r.pattern, True)), 1 if r.captures else 0).alias("secrets"),
-                             rule_applies(r, F.col("is_test"), F.col("filename"), F.col("nonblank")).alias("ok"))
-                    for i, r in enumerate(RULES, 1)])
-    rows = ls.select("doc_id", "line_num", F.explode_outer(arr).alias("m")).where(F.col("m.ok"))
-    return rows.select("doc_id", "line_num", "m.rule_id", "m.whole", "m.secrets")
+def _rule_matches(spark, sf):
+    """(doc_id, line_num, rule_id, whole, secrets) of every (line, rule) with a match."""
+    m = add_rule_matches(_lines(spark, sf)).select("doc_id", "line_num", F.explode_outer("rule_matches").alias("m")).where(F.col("m").isNotNull())
+    return m.select("doc_id", "line_num", "m.rule_id", "m.whole", "m.secrets")
 
 
 @register("X2_rule_match", W("SELECT doc_id, line_num, rule_id, len(whole)::INTEGER AS matches FROM rmatch WHERE len(whole) > 0"))
 def q_rule_match(spark, sf):
-    r = _rule_arrays(spark, sf)
-    return r.where(F.size("whole") > 0).select("doc_id", "line_num", "rule_id", F.size("whole").cast("int").alias("matches"))
+    return _rule_matches(spark, sf).select("doc_id", "line_num", "rule_id", F.size("secrets").cast("int").alias("matches"))
 
 
 @register("X3_skip_test_rules", W("SELECT h.rule_id, count(*) AS hits_in_test_files FROM rhits h JOIN lines l USING (doc_id, line_num) "
                                   "WHERE l.is_test GROUP BY h.rule_id"))
 def q_skip_test(spark, sf):
-    h = _items(spark, sf).where((F.col("kind") == K_REGEX) & F.col("is_test"))
+    h = _items(spark, sf, "rules").where("is_test")
     return h.groupBy("rule_id").agg(F.count("*").alias("hits_in_test_files"))
 
 
 @register("X4_file_pattern_rules", W("SELECT h.doc_id, l.filename, h.line_num, h.rule_id FROM rhits h JOIN lines l USING (doc_id, line_num) "
                                      "WHERE h.rule_id IN (41, 42)"))
 def q_file_pattern(spark, sf):
-    return (_items(spark, sf).where((F.col("kind") == K_REGEX) & F.col("rule_id").isin(41, 42))
+    return (_items(spark, sf, "rules").where(F.col("rule_id").isin(41, 42))
             .select("doc_id", "filename", "line_num", "rule_id"))
 
 
 @register("X5_secret_value", W("SELECT doc_id, line_num, rule_id, unnest(range(len(whole)))::INTEGER AS pos, unnest(whole) AS match, "
                                "unnest(secrets) AS secret FROM rmatch"))
 def q_secret_value(spark, sf):
-    r = _rule_arrays(spark, sf)
+    r = _rule_matches(spark, sf)
     z = r.select("doc_id", "line_num", "rule_id", F.posexplode_outer(F.arrays_zip("whole", "secrets")).alias("pos", "z"))
     return z.where(F.col("z").isNotNull()).select("doc_id", "line_num", "rule_id", F.col("pos").cast("int").alias("pos"),
                                                   F.col("z.whole").alias("match"), F.col("z.secrets").alias("secret"))
@@ -209,21 +206,21 @@ def q_secret_value(spark, sf):
 @register("X6_drop_placeholders", W(f"SELECT * FROM (SELECT doc_id, line_num, rule_id, unnest(secrets) AS secret FROM rmatch) "
                                     f"WHERE {O.placeholder('secret')}"))
 def q_drop_placeholders(spark, sf):
-    r = _rule_arrays(spark, sf)
+    r = _rule_matches(spark, sf)
     s = r.select("doc_id", "line_num", "rule_id", F.explode_outer("secrets").alias("secret")).where(F.col("secret").isNotNull())
     return s.where(tx.is_placeholder(F.col("secret")))
 
 
 @register("X2_rule_match_table", W("SELECT doc_id, line_num, rule_id, unnest(whole) AS match FROM rmatch"))
 def q_rule_match_table(spark, sf):
-    """X2 through a broadcast rule table (the path for user-supplied rules)."""
-    from ..operators.rules import match_rules_join
+    """X2 with the rules read from a table (the path for user-supplied rules)."""
     return match_rules_join(_lines(spark, sf), rule_table(spark))
 
 
-@register("N2_decode_escapes_latin1")
+@register("N2_decode_escapes_latin1", W("SELECT doc_id, line_num, line FROM lines WHERE contains(raw_line, '\\') "
+                                        "OR regexp_matches(raw_line, '[^\\x00-\\x7f]')", latin1=True))
 def q_escapes_latin1(spark, sf):
-    """N2 with latin1_compat=True (non-ASCII lines read as Latin-1 bytes); rows-only check."""
+    """N2 with latin1_compat=True (non-ASCII lines read as Latin-1 bytes)."""
     ls = line_table(corpus(spark, sf), latin1_compat=True)
     return ls.where(F.col("raw_line").contains("\\") | F.col("raw_line").rlike("[^\\x00-\\x7f]")).select(
         "doc_id", "line_num", "line")
@@ -231,14 +228,14 @@ def q_escapes_latin1(spark, sf):
 
 @register("X7_first_per_line_rule", W("SELECT doc_id, line_num, rule_id, match, secret FROM rhits"))
 def q_first_per_line(spark, sf):
-    return (_items(spark, sf).where(F.col("kind") == K_REGEX)
+    return (_items(spark, sf, "rules")
             .select("doc_id", "line_num", "rule_id", F.col("text").alias("match"), F.col("value").alias("secret")))
 
 
 @register("X_rule_hits_by_rule", W("SELECT rule_id, rule, count(h.doc_id) AS hits FROM rules_t LEFT JOIN rhits h USING (rule_id) "
                                    "GROUP BY rule_id, rule"))
 def q_hits_by_rule(spark, sf):
-    h = _items(spark, sf).where(F.col("kind") == K_REGEX).groupBy("rule_id").agg(F.count("*").alias("hits"))
+    h = _items(spark, sf, "rules").groupBy("rule_id").agg(F.count("*").alias("hits"))
     return (rule_table(spark).select("rule_id", "rule").join(h, "rule_id", "left")
             .select("rule_id", "rule", F.coalesce("hits", F.lit(0)).alias("hits")))
 
@@ -246,8 +243,7 @@ def q_hits_by_rule(spark, sf):
 # ---------------------------------------------------------------- C1, C2, C7
 @register("C1_score_regex", W("SELECT doc_id, line_num, rule_id, confidence FROM rscored"))
 def q_score_regex(spark, sf):
-    from ..operators.score import regex_confidence
-    ev = _evidence(spark, sf).where(F.col("ev") == EV_REGEX)
+    ev = _regex_evidence(spark, sf)
     e = ev.select("*", tx.entropy(F.col("value")).alias("_e"))
     return e.select("doc_id", "line_num", "rule_id", regex_confidence(
         F.col("value"), F.col("_e"), F.col("rule_id"), F.col("is_test"), F.col("kw"), F.col("is_comment"),
@@ -275,9 +271,14 @@ def q_suppress(spark, sf):
 
 
 # ---------------------------------------------------------------- P, V: prefixes and candidates
-@register("P1_prefix_table", W("SELECT ord, prefix, provider, type, expected_length, base_score FROM prefixes_t"))
+@register("P1_prefix_table", W("SELECT p.ord, prefix, provider, type, expected_length, base_score, count(c.value) AS hits, "
+                               "coalesce(max(length(c.value)), 0)::INTEGER AS longest FROM prefixes_t p LEFT JOIN pcands c "
+                               "ON starts_with(c.value, p.prefix) GROUP BY ALL"))
 def q_prefix_table(spark, sf):
-    return prefix_table(spark)
+    """The prefix table with how many candidate values of the corpus begin so."""
+    m = _pcands(spark, sf).select("value", F.explode(tx.matching_prefixes(F.col("value"))).alias("p")).groupBy(F.col("p.ord").alias("ord")) \
+        .agg(F.count(F.lit(1)).alias("hits"), F.max(F.length("value")).alias("longest"))
+    return prefix_table(spark).join(m, "ord", "left").fillna(0, ["hits", "longest"])
 
 
 @register("V5_code_line_filter", W("SELECT doc_id, count(*) FILTER (WHERE is_code) AS code_lines, "
@@ -308,7 +309,7 @@ def q_v4(spark, sf):
 
 
 def _pcands(spark, sf):
-    it = _all_items(spark, sf).where(F.col("kind").isin(K_CAND, K_DECODED, K_RECON))
+    it = _values(spark, sf)
     src = (F.when(F.col("kind") == K_CAND, F.col("label"))
            .when(F.col("kind") == K_DECODED, F.concat(F.lit("decoded:"), F.col("label")))
            .otherwise(F.concat(F.lit("reconstructed:"), F.col("label"))))
@@ -325,16 +326,15 @@ def q_prefix_join(spark, sf):
     """Candidate values x prefix table: broadcast equi-join on the value's leading substrings."""
     c = _pcands(spark, sf)
     p = prefix_table(spark)
-    from ..operators.tables import PREFIXES
     lengths = sorted({len(x.prefix) for x in PREFIXES})   # 2..9: one leading substring per length
-    heads = c.select("*", F.explode(F.array(*[F.substring("value", 1, n) for n in lengths])).alias("head"))
-    j = heads.join(F.broadcast(p), heads["head"] == p["prefix"], "inner")
-    return j.select("doc_id", "line_num", "grp", "ln", "sub", "pos", _path_str(F.col("path")).alias("path"), "ord").distinct()
+    heads = c.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("value", 1, n).alias("head")) for n in lengths])).alias("h"))
+    j = heads.join(F.broadcast(p), (F.col("h.head") == p["prefix"]) & (F.col("h.n") == F.length(p["prefix"])), "inner")
+    return j.select("doc_id", "line_num", "grp", "ln", "sub", "pos", _path_str(F.col("path")).alias("path"), "ord")
 
 
 @register("P5_prefix_dedup", W("SELECT doc_id, line_num, ord, value, src FROM phits"))
 def q_prefix_dedup(spark, sf):
-    ev = prefix_dedup(_evidence(spark, sf)).where(F.col("ev") == EV_PREFIX)
+    ev = prefix_dedup(evidence(_values(spark, sf))).where(F.col("ev") == EV_PREFIX)
     src = (F.when(F.col("key.grp") == 0, F.col("label"))
            .when(F.col("key.grp") <= 2, F.concat(F.lit("decoded:"), F.col("label")))
            .otherwise(F.concat(F.lit("reconstructed:"), F.col("label"))))
@@ -359,8 +359,8 @@ def q_has_prefix(spark, sf):
 
 
 # ---------------------------------------------------------------- D: decoding
-def _decoded(spark, sf, grp):
-    return (_items(spark, sf).where((F.col("kind") == K_DECODED) & (F.col("grp") == grp))
+def _decoded(spark, sf, family):
+    return (_items(spark, sf, family)
             .select("doc_id", "line_num", "pos", _path_str(F.col("path")).alias("path"),
                     F.col("text").alias("original"), F.col("value").alias("decoded"), F.col("label").alias("encoding")))
 
@@ -370,59 +370,60 @@ CHAIN_SQL = "SELECT doc_id, line_num, pos, array_to_string(path, '.') AS path, o
 
 @register("D4_decode_chain", W(CHAIN_SQL))
 def q_chain(spark, sf):
-    return _decoded(spark, sf, 1)
+    return _decoded(spark, sf, "chain")
 
 
 @register("D5_extract_json_tokens", W(CHAIN_SQL + " WHERE contains(encoding, 'json_extract')"))
 def q_json(spark, sf):
-    return _decoded(spark, sf, 1).where(F.col("encoding").contains("json_extract"))
+    return _decoded(spark, sf, "chain").where(F.col("encoding").contains("json_extract"))
 
 
 for _key, _enc in (("D1_decode_base64", "base64"), ("D2_decode_hex", "hex"), ("D3_decode_url", "url")):
     def _mk(enc):
         def fn(spark, sf):
-            return _decoded(spark, sf, 1).where(F.col("encoding") == enc).select("doc_id", "line_num", "pos", "original", "decoded")
+            return _decoded(spark, sf, "chain").where(F.col("encoding") == enc).select("doc_id", "line_num", "pos", "original", "decoded")
         return fn
     register(_key, W(f"SELECT doc_id, line_num, pos, original, decoded FROM chain WHERE encoding = '{_enc}'"))(_mk(_enc))
 
 
 @register("D10_printable_filter", W(f"SELECT doc_id, line_num FROM lines WHERE NOT {O.printable('line')}"))
 def q_printable(spark, sf):
-    from ..functions.codecs import is_printable
     return _lines(spark, sf).where(~is_printable(F.col("line"))).select("doc_id", "line_num")
 
 
 for _key, _pos in (("D6_cmd_base64_subshell", 0), ("D7_cmd_base64_backtick", 1), ("D8_cmd_reverse", 2), ("D9_cmd_echo", 3)):
     def _mkc(pos):
         def fn(spark, sf):
-            return _decoded(spark, sf, 2).where(F.col("pos") == pos).select("doc_id", "line_num", "original", "decoded", "encoding")
+            return _decoded(spark, sf, "commands").where(F.col("pos") == pos).select("doc_id", "line_num", "original", "decoded", "encoding")
         return fn
     register(_key, W(f"SELECT doc_id, line_num, original, decoded, encoding FROM cmd WHERE pos = {_pos}"))(_mkc(_pos))
 
 
 # ---------------------------------------------------------------- R: reconstruction
-@register("R1_concat_literals", W("SELECT doc_id, line_num, value FROM r1"))
+@register("R1_concat_literals", W("SELECT doc_id, line_num, value, g1 AS prefix FROM r1"))
 def q_concat(spark, sf):
-    return _items(spark, sf).where(F.col("kind") == K_RECON).select("doc_id", "line_num", "value")
+    return _items(spark, sf, "concat").select("doc_id", "line_num", "value", F.col("text").alias("prefix"))
 
 
-@register("R2_split_assignments", W("SELECT doc_id, line_num, first_seen, value FROM groups WHERE kind = 2"))
+def _joined(spark, sf, grp):
+    g = fold_parts(_items(spark, sf, "parts")).where(F.col("grp") == grp)
+    return g.select("doc_id", "line_num", F.col("ln").alias("first_seen"), "value", F.col("text").alias("prefix"))
+
+
+@register("R2_split_assignments", W("SELECT doc_id, line_num, first_seen, value, substr(value, 1, 10) AS prefix FROM groups WHERE kind = 2"))
 def q_split(spark, sf):
-    g = reconstructed_groups(_items(spark, sf)).where(F.col("grp") == 4)
-    return g.select("doc_id", "line_num", F.col("ln").alias("first_seen"), "value")
+    return _joined(spark, sf, 4)
 
 
-@register("R3_array_parts", W("SELECT doc_id, line_num, first_seen, value FROM groups WHERE kind = 3"))
+@register("R3_array_parts", W("SELECT doc_id, line_num, first_seen, value, substr(value, 1, 10) AS prefix FROM groups WHERE kind = 3"))
 def q_array(spark, sf):
-    g = reconstructed_groups(_items(spark, sf)).where(F.col("grp") == 5)
-    return g.select("doc_id", "line_num", F.col("ln").alias("first_seen"), "value")
+    return _joined(spark, sf, 5)
 
 
 # ---------------------------------------------------------------- C3-C11: merge and rank
 @register("C3_score_prefix", W("SELECT doc_id, line_num, ord, confidence FROM pscored"))
 def q_score_prefix(spark, sf):
-    from ..operators.score import prefix_confidence
-    ev = prefix_dedup(_evidence(spark, sf)).where(F.col("ev") == EV_PREFIX)
+    ev = prefix_dedup(evidence(_values(spark, sf))).where(F.col("ev") == EV_PREFIX)
     e = ev.select("*", tx.entropy(F.col("value")).alias("_e"))
     return e.select("doc_id", "line_num", F.col("pord").alias("ord"), prefix_confidence(
         F.col("value"), F.col("_e"), F.col("pscore"), F.col("plen"), F.col("is_test"), F.col("pnoise")).cast("int").alias("confidence"))
@@ -433,17 +434,17 @@ FIND_COLS = "doc_id, file, line, rule, category, confidence, match, fix, source"
 
 @register("C4_label_prefix", W(f"SELECT {FIND_COLS} FROM merged WHERE phase = 1"))
 def q_label_prefix(spark, sf):
-    return _scored(spark, sf).where(F.col("ev") == EV_PREFIX).select(*FIND_COLS.split(", "))
+    return _scored(spark, sf, *VALUES).where(F.col("ev") == EV_PREFIX).select(*FIND_COLS.split(", "))
 
 
 @register("C5_score_decoded", W(f"SELECT {FIND_COLS} FROM merged WHERE phase = 2"))
 def q_score_decoded(spark, sf):
-    return _scored(spark, sf).where(F.col("ev") == 3).select(*FIND_COLS.split(", "))
+    return _scored(spark, sf, "chain", "commands").where(F.col("ev") == 3).select(*FIND_COLS.split(", "))
 
 
 @register("C6_score_reconstructed", W(f"SELECT {FIND_COLS} FROM merged WHERE phase = 3"))
 def q_score_recon(spark, sf):
-    return _scored(spark, sf).where(F.col("ev") == 4).select(*FIND_COLS.split(", "))
+    return _scored(spark, sf, "concat", "parts").where(F.col("ev") == 4).select(*FIND_COLS.split(", "))
 
 
 @register("C8_merge_findings", W(f"SELECT {FIND_COLS} FROM merged"))
@@ -453,7 +454,7 @@ def q_merge(spark, sf):
 
 @register("C9_dedup_findings", W(f"SELECT {FIND_COLS} FROM deduped"))
 def q_dedup(spark, sf):
-    return dedup_findings(score_evidence(prefix_dedup(_evidence(spark, sf)))).select(*FIND_COLS.split(", "))
+    return dedup_findings(score_evidence(prefix_dedup(evidence(fold_parts(_items(spark, sf)))))).select(*FIND_COLS.split(", "))
 
 
 @register("C10_rank_findings", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"))
@@ -461,11 +462,20 @@ def q_rank(spark, sf):
     return scan(corpus(spark, sf))
 
 
+@register("C10_user_tables", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"))
+def q_user_tables(spark, sf):
+    """The scan with its rules and prefixes read from tables."""
+    return scan(corpus(spark, sf), rules=rule_table(spark), prefixes=prefix_table(spark))
+
+
 # ---------------------------------------------------------------- flagship and S1
 @register("S1_scan_table", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked",
-                             source_sql=f"{pages_sql()} UNION ALL {conversations_sql()}"))
+                             source_sql="SELECT concat('document/', cast(doc_id as varchar)) AS doc_id, source AS filename, text FROM documents "
+                                        f"UNION ALL {pages_sql()} UNION ALL {conversations_sql()}"))
 def q_scan_table(spark, sf):
-    return scan(pages(spark, sf).unionByName(conversations(spark, sf)))
+    """Three tables with ids of their own in one scan."""
+    docs = documents(spark, sf).withColumn("doc_id", F.concat(F.lit("document/"), F.col("doc_id").cast("string")))
+    return scan(docs.unionByName(pages(spark, sf)).unionByName(conversations(spark, sf)))
 
 
 # ---------------------------------------------------------------- C11, E: reports
@@ -479,7 +489,6 @@ RANKED = "SELECT doc_id, file, line, rule, category, severity, confidence, match
 @register("C11_rank_corpus", W("SELECT doc_id, file, line, rule, confidence, row_number() OVER "
                                "(ORDER BY confidence DESC, file, doc_id, rank) AS corpus_rank FROM ranked"))
 def q_rank_corpus(spark, sf):
-    from ..operators.report import rank_corpus
     return rank_corpus(_findings(spark, sf)).select("doc_id", "file", "line", "rule", "confidence", "corpus_rank")
 
 
@@ -487,9 +496,8 @@ _E1_SQL = ("SELECT doc_id, line_num, kind, pos, round(e, 6) AS entropy, length(v
            f"{O.severity('score')} AS severity, "
            "(SELECT concat(provider, ' ', type) FROM prefixes_t WHERE ord = (SELECT min(ord) FROM prefixes_t "
            "WHERE starts_with(value, prefix))) AS prefix_match, "
-           f"{O.mask('value')} AS masked, CASE WHEN score >= 70 THEN 'Very likely a secret. Do not commit.' "
-           "WHEN score >= 50 THEN 'Possibly a secret. Review before committing.' "
-           "WHEN score >= 30 THEN 'Low probability of being a secret.' ELSE 'Unlikely to be a secret.' END AS verdict "
+           f"{O.mask('value')} AS masked, CASE " + " ".join(f"WHEN score >= {cut} THEN {O.q(t)}" for cut, t in VERDICTS) +
+           f" ELSE {O.q(VERDICT_REST)} END AS verdict "
            "FROM (SELECT *, (CASE WHEN e >= 5.0 AND length(value) >= 32 THEN 95 WHEN e >= 4.5 AND length(value) >= 24 THEN 80 "
            "WHEN e >= 4.0 AND length(value) >= 16 THEN 60 WHEN e >= 3.5 AND length(value) >= 12 THEN 40 "
            "WHEN e >= 3.0 THEN 20 ELSE 5 END)::INTEGER AS score FROM (SELECT *, "
@@ -498,14 +506,12 @@ _E1_SQL = ("SELECT doc_id, line_num, kind, pos, round(e, 6) AS entropy, length(v
 
 @register("E1_check_entropy", W(_E1_SQL))
 def q_check_entropy(spark, sf):
-    from ..operators.report import check_entropy
     return check_entropy(_cand_values(spark, sf))
 
 
 @register("E2_split_confirmed", W("SELECT doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
                                   "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked GROUP BY doc_id"))
 def q_split_confirmed(spark, sf):
-    from ..operators.report import split_confirmed
     return split_confirmed(_findings(spark, sf))
 
 
@@ -516,7 +522,6 @@ _SECTION = "CASE WHEN category = 'candidate' THEN 'candidates' ELSE 'confirmed'
                               "severity, confidence, file, line, source, rule, match, fix FROM "
                               f"(SELECT *, {_SECTION} AS section FROM ranked)"))
 def q_file_report(spark, sf):
-    from ..operators.report import file_report
     return file_report(_findings(spark, sf))
 
 
@@ -524,7 +529,6 @@ def q_file_report(spark, sf):
                                 "severity, confidence, file, doc_id, line, source, rule, match, fix FROM "
                                 f"(SELECT *, {_SECTION} AS section FROM ranked)"))
 def q_corpus_report(spark, sf):
-    from ..operators.report import corpus_report
     return corpus_report(_findings(spark, sf))
 
 
@@ -532,81 +536,72 @@ def q_corpus_report(spark, sf):
                                  "count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
                                  "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked"))
 def q_corpus_summary(spark, sf):
-    from ..operators.report import corpus_summary
     return corpus_summary(corpus(spark, sf), _findings(spark, sf))
 
 
 @register("E5_clean_docs", W("SELECT doc_id, filename FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ranked)"))
 def q_clean_docs(spark, sf):
-    from ..operators.report import clean_docs
     return clean_docs(corpus(spark, sf), _findings(spark, sf))
 
 
 # ---------------------------------------------------------------- S2-S7: directory trees
-def _planted(spark, sf):
-    from ..sources.tables import planted_table
-    return planted_table(spark, sf)
-
-
-_PLANTED_PATHS = "SELECT doc_id, path FROM (" + __import__("credsweep.sources.planted", fromlist=["x"]).planted_sql() + ")"
+_PLANTED_PATHS = f"SELECT doc_id, path, text FROM ({planted_sql()})"
 _BASENAME = "regexp_extract(path, '([^/]*)$', 1)"
 _EXT = f"regexp_extract({_BASENAME}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
+_DIRS = "string_split(path, '/')"
+_SKIPPED = f"list_has_any({_DIRS}[1:len({_DIRS}) - 1], [" + ", ".join(O.q(d) for d in files.SKIP_DIRS) + "])"
+_BINARY = f"lower({_EXT}) IN (" + ", ".join(O.q(e) for e in files.BINARY_EXTS) + ")"
+_KEPT = f"SELECT path AS doc_id, {_BASENAME} AS filename, text FROM ({_PLANTED_PATHS}) WHERE NOT {_SKIPPED} AND NOT {_BINARY}"
 S4_EXTENSIONS = ".py,java"
 
 
-@register("S3_filter_skip_dirs", W("SELECT doc_id, path, list_has_any(p[1:len(p) - 1], [" +
-                                   ", ".join(O.q(d) for d in __import__("credsweep.sources.files", fromlist=["x"]).SKIP_DIRS) +
-                                   "]) AS skipped FROM (SELECT doc_id, path, string_split(path, '/') AS p FROM (" + _PLANTED_PATHS + "))"))
+@register("S3_filter_skip_dirs", W(f"SELECT doc_id, path, {_SKIPPED} AS skipped FROM ({_PLANTED_PATHS})"))
 def q_skip_dirs(spark, sf):
-    from ..sources.files import in_skipped_dir
-    return _planted(spark, sf).select("doc_id", "path", in_skipped_dir(F.col("path")).alias("skipped"))
+    return planted_table(spark, sf).select("doc_id", "path", files.in_skipped_dir(F.col("path")).alias("skipped"))
 
 
 @register("S4_filter_extensions", W(f"SELECT doc_id, path, (ends_with({_BASENAME}, '.java') OR ends_with({_BASENAME}, '.py')) AS kept "
                                     f"FROM ({_PLANTED_PATHS})"))
 def q_extensions(spark, sf):
-    from ..sources.files import basename, has_extension
-    return _planted(spark, sf).select("doc_id", "path", has_extension(basename(F.col("path")), S4_EXTENSIONS).alias("kept"))
+    return planted_table(spark, sf).select("doc_id", "path", files.has_extension(files.basename(F.col("path")), S4_EXTENSIONS).alias("kept"))
 
 
-@register("S5_filter_binary_ext", W(f"SELECT doc_id, path, {_EXT} AS ext, lower({_EXT}) IN (" +
-                                    ", ".join(O.q(e) for e in __import__("credsweep.sources.files", fromlist=["x"]).BINARY_EXTS) +
-                                    f") AS is_binary FROM ({_PLANTED_PATHS})"))
+@register("S5_filter_binary_ext", W(f"SELECT doc_id, path, {_EXT} AS ext, {_BINARY} AS is_binary FROM ({_PLANTED_PATHS})"))
 def q_binary(spark, sf):
-    from ..sources.files import extension, is_binary
-    return _planted(spark, sf).select("doc_id", "path", extension(F.col("path")).alias("ext"),
-                                      is_binary(F.col("path")).alias("is_binary"))
+    return planted_table(spark, sf).select("doc_id", "path", files.extension(F.col("path")).alias("ext"),
+                                           files.is_binary(F.col("path")).alias("is_binary"))
+
+
+_TREES: dict[tuple[str, str], str] = {}
 
 
 def _tree(spark, sf):
-    import uuid
-    from ..sources.files import write_tree
-    root = checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}"
-    write_tree(_planted(spark, sf), root)
-    return root
+    """The planted corpus as a tree of files, written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TREES:
+        root = checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}"
+        files.write_tree(planted_table(spark, sf), root)
+        files.delete_on_exit(spark, root)
+        _TREES[key] = root
+    return files.read_tree(spark, _TREES[key])
 
 
-@register("S7_files_scanned")
+@register("S7_files_scanned", W(f"SELECT count(*) AS files_scanned FROM ({_KEPT})"))
 def q_files_scanned(spark, sf):
-    """Files kept by the directory walk of the planted tree (no SQL: it reads the written files)."""
-    from ..sources.files import read_tree
-    return read_tree(spark, _tree(spark, sf)).agg(F.count_distinct("doc_id").alias("files_scanned"))
+    """Files kept by the directory walk of the planted tree."""
+    return _tree(spark, sf).agg(F.count(F.lit(1)).alias("files_scanned"))
 
 
-@register("S6_tolerant_read")
+@register("S6_tolerant_read", W(f"SELECT doc_id AS file, length(text)::INTEGER AS chars, md5(text) AS digest FROM ({_KEPT})"))
 def q_tolerant_read(spark, sf):
     """Planted tree read back: invalid UTF-8 bytes dropped, text otherwise unchanged."""
-    from ..sources.files import read_tree
-    t = read_tree(spark, _tree(spark, sf))
-    return t.select("file", F.length("text").alias("chars"))
+    return _tree(spark, sf).select("file", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@register("S2_scan_corpus")
+@register("S2_scan_corpus", W("SELECT doc_id, doc_id AS file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked", source_sql=_KEPT))
 def q_scan_corpus(spark, sf):
     """Directory scan of the planted tree -> findings with relative paths."""
-    from ..sources.files import read_tree
-    from .scan import scan_files
-    return scan_files(read_tree(spark, _tree(spark, sf)))
+    return scan_files(_tree(spark, sf))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,16 +5,14 @@ Plan shape (see README "Plan"):
 1. narrow: split lines, per-document neighbour keywords (C2), normalize,
    line features; per line one projection computes rule hits, candidate
    values, the decode chain, command forms, concatenations and split-value
-   parts; one ``explode`` turns them into ``items`` (only lines with
-   something to report produce rows).
-2. ``items`` is checkpointed into the session's checkpoint folder: it is
-   read by two branches, and the cut keeps a lost executor from replaying
-   the text scan.
-3. split-value parts: one grouped aggregation on (doc_id, kind, name) over
-   part rows only (small shuffle).
-4. evidence rows (regex, prefix, decoded, reconstructed) are repartitioned
-   once by doc_id; the prefix de-dup, the finding de-dup and the per-document
-   rank are windows over that one partitioning (no further exchange).
+   parts -- only the families asked for; one ``explode`` turns them into
+   ``items`` (only lines with something to report produce rows).
+2. one grouped aggregation over the items: those of one line stay together,
+   and the parts of one split value, wherever its lines are, become one item.
+   The text is read once, nothing runs while the plan is built.
+3. evidence rows (regex, prefix, decoded, reconstructed) are dealt by document
+   and line; the prefix de-dup and the finding de-dup are windows over that one
+   partitioning; the rank is a window over a document's findings.
 """
 
 from __future__ import annotations
@@ -25,18 +23,19 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators.candidates import assigned_token, prefix_line_candidates, quoted_tokens, raw_values
-from ..operators.decode import EMISSION, add_decode_chain, cmd_decodes
+from ..operators.decode import add_decode_chain, cmd_decodes
 from ..operators.lines import lines as split_normalize
-from ..operators.reconstruct import METHODS, assignment_part, concat_literal, group_parts
-from ..operators.rules import add_rule_hits
+from ..operators.reconstruct import METHODS, assignment_part, concat_literal, joined_parts, keep_group
+from ..operators.rules import add_rule_hits, rules_from_table
 from ..operators.score import (EV_DECODED, EV_PREFIX, EV_RECON, EV_REGEX, dedup_findings,
                                rank_findings, score_evidence, with_severity)
-from ..operators.tables import RULES
-from ..session import checkpoint_dir
+from ..operators.tables import PREFIXES, RULES, prefixes_from_table
 
 FEATURES = ["kw", "env_ref", "noise", "pnoise", "is_comment", "nearby"]
 ITEM = ("struct<kind:int,grp:int,ln:int,sub:int,pos:int,path:array<int>,"
         "value:string,text:string,label:string,rule_id:int>")
+#: Characters of a joined value that are reported as its prefix.
+HEAD = 10
 K_REGEX, K_CAND, K_DECODED, K_RECON, K_PART = 1, 2, 3, 4, 5
 # Order groups (grp) of the sequential detector's insertion order.
 G_LINE_CAND, G_CHAIN, G_CMD, G_CONCAT, G_SPLIT, G_ARRAY = 0, 1, 2, 3, 4, 5
@@ -58,60 +57,89 @@ def _empty(t: str) -> Column:
     return F.array().cast(f"array<{t}>")
 
 
-def line_items(ls: DataFrame, rules=RULES, use_gates: bool = True) -> DataFrame:
-    """Per line: everything that may become a finding, as item rows."""
+#: What ``line_items`` can report; a plan for some of them holds nothing of the others.
+FAMILIES = ("rules", "candidates", "chain", "commands", "concat", "parts")
+#: Families that the prefix table is matched with.
+VALUES = ("candidates", "chain", "commands", "concat", "parts")
+DOC = ["doc_id", "doc_hash", "filename", "is_test"]
+
+
+def line_items(ls: DataFrame, rules=RULES, use_gates: bool = True, families=FAMILIES, prefixes=PREFIXES) -> DataFrame:
+    """Per line: everything of the ``families`` that may become a finding, as item rows."""
     ln = F.col("line_num")
     line, code = F.col("line"), F.col("is_code")
-    df = add_rule_hits(ls, rules, use_gates)
-    df = df.select("*", F.when(code, quoted_tokens(line)).alias("_v1"),
-                   F.when(code, assigned_token(line)).alias("_v2"))
-    df = df.select("*", F.when(code, raw_values(F.col("_v1"), F.col("_v2"))).otherwise(
-        F.array().cast("array<string>")).alias("_raw"))
-    df = add_decode_chain(df, "_raw", "_chain")
-    df = df.select("*", cmd_decodes(line).alias("_cmd"),
-                   prefix_line_candidates(line, code).alias("_pc"),
-                   concat_literal(line).alias("_r1"), assignment_part(line).alias("_part"))
+    df = ls
+    if "rules" in families:
+        df = add_rule_hits(df, rules, use_gates)
+    if "chain" in families:
+        df = df.select("*", F.when(code, quoted_tokens(line)).alias("_v1"),
+                       F.when(code, assigned_token(line)).alias("_v2"))
+        df = df.select("*", F.when(code, raw_values(F.col("_v1"), F.col("_v2"))).otherwise(
+            F.array().cast("array<string>")).alias("_raw"))
+        df = add_decode_chain(df, "_raw", "_chain")
+    made = {"commands": lambda: cmd_decodes(line, prefixes).alias("_cmd"), "candidates": lambda: prefix_line_candidates(line, code).alias("_pc"),
+            "concat": lambda: concat_literal(line, prefixes).alias("_r1"), "parts": lambda: assignment_part(line).alias("_part")}
+    df = df.select("*", *[made[f]() for f in made if f in families])
     none = F.array().cast("array<int>")
-    items = F.concat(
-        F.transform("regex_hits", lambda h: _item(K_REGEX, 0, ln, h["rule_id"], 0, none, h["secret"],
-                                                  h["match"], None, h["rule_id"])),
-        F.coalesce(F.transform("_pc", lambda c: _item(
+    arrays = {
+        "rules": lambda: F.transform("regex_hits", lambda h: _item(K_REGEX, 0, ln, h["rule_id"], 0, none, h["secret"],
+                                                                   h["match"], None, h["rule_id"])),
+        "candidates": lambda: F.coalesce(F.transform("_pc", lambda c: _item(
             K_CAND, G_LINE_CAND, ln, c["sub"], c["pos"], none, c["value"], None,
             F.when(c["sub"] == 0, "quoted").otherwise("unquoted"))), _empty(ITEM)),
-        F.transform("_chain", lambda e: _item(K_DECODED, G_CHAIN, ln, 0, e["pos"], e["path"], e["decoded"],
-                                              e["original"], e["encoding"])),
-        F.transform("_cmd", lambda e: _item(K_DECODED, G_CMD, ln, 0, e["pos"], none, e["decoded"],
-                                            e["original"], e["encoding"])),
-        F.when(F.col("_r1").isNotNull(), F.array(_item(K_RECON, G_CONCAT, ln, 0, 0, none, F.col("_r1.value"),
-                                                       None, METHODS[1]))).otherwise(_empty(ITEM)),
-        F.when(F.col("_part").isNotNull(), F.array(_item(
+        "chain": lambda: F.transform("_chain", lambda e: _item(K_DECODED, G_CHAIN, ln, 0, e["pos"], e["path"], e["decoded"],
+                                                               e["original"], e["encoding"])),
+        "commands": lambda: F.transform("_cmd", lambda e: _item(K_DECODED, G_CMD, ln, 0, e["pos"], none, e["decoded"],
+                                                                e["original"], e["encoding"])),
+        "concat": lambda: F.when(F.col("_r1").isNotNull(), F.array(_item(K_RECON, G_CONCAT, ln, 0, 0, none, F.col("_r1.value"),
+                                                                         F.col("_r1.prefix"), METHODS[1]))).otherwise(_empty(ITEM)),
+        "parts": lambda: F.when(F.col("_part").isNotNull(), F.array(_item(
             K_PART, F.col("_part.kind") + 2, ln, 0, 0, none, F.col("_part.value"),
-            F.col("_part.name"), F.col("_part.idx")))).otherwise(_empty(ITEM)))
-    out = df.select("doc_id", "filename", "is_test", "line_num", *FEATURES,
+            F.col("_part.name"), F.col("_part.idx")))).otherwise(_empty(ITEM)),
+    }
+    items = F.concat(*[arrays[f]() for f in FAMILIES if f in families])
+    out = df.select(*DOC, "line_num", *FEATURES,
                     F.explode_outer(items).alias("it")).where(F.col("it").isNotNull())
-    return out.select("doc_id", "filename", "is_test", "line_num", *FEATURES, "it.*")
-
+    return out.select(*DOC, "line_num", *FEATURES, "it.*")
 
-def reconstructed_groups(items: DataFrame) -> DataFrame:
-    """R2/R3 over part items, shaped as reconstructed items."""
-    parts = items.where(F.col("kind") == K_PART).select(
-        "doc_id", "filename", "is_test", (F.col("grp") - 2).alias("kind"),
-        F.col("text").alias("name"), F.col("label").alias("idx"), "value", "line_num", *FEATURES)
-    g = group_parts(parts, FEATURES)
-    method = F.when(F.col("kind") == 2, METHODS[2]).otherwise(METHODS[3])
-    return g.select("doc_id", "filename", "is_test", "line_num", *FEATURES,
-                    F.lit(K_RECON).alias("kind"), (F.col("kind") + 2).alias("grp"),
-                    F.col("first_seen").cast("int").alias("ln"), F.lit(0).alias("sub"), F.lit(0).alias("pos"),
-                    F.array().cast("array<int>").alias("path"), "value",
-                    F.lit(None).cast("string").alias("text"), method.alias("label"),
-                    F.lit(None).cast("int").alias("rule_id"))
 
+def fold_parts(items: DataFrame, prefixes=PREFIXES) -> DataFrame:
+    """Part items become one reconstructed item for each (document, kind, name); other items pass through.
 
-def evidence(all_items: DataFrame) -> DataFrame:
+    One aggregation: parts meet by name, all other items by line, so both need
+    the items once.  A value is joined from its parts in index order; its item
+    stands at the line of the lowest index, with that line's features.
+    """
+    part = F.col("kind") == K_PART
+    columns = [c for c in items.columns if c not in DOC]
+    packed = items.select(
+        *DOC, F.when(part, F.col("grp") - 2).alias("pk"), F.when(part, F.col("text")).alias("pname"),
+        F.when(~part, F.col("line_num")).alias("at"), F.struct(*columns).alias("it"))
+    g = packed.groupBy(*DOC, "pk", "pname", "at").agg(F.collect_list("it").alias("its"))
+    g = g.select("*", F.when(F.col("pk").isNotNull(), joined_parts(F.col("its"))).alias("ps"))
+    g = g.select("*", F.when(F.size("ps") >= 2, F.array_join(F.transform("ps", lambda p: p["value"]), "")).alias("joined"))
+    g = g.select("*", tx.entropy(F.col("joined")).alias("_e"))
+    g = g.select(*DOC, "pk", "its", "ps", F.when(F.col("joined").isNotNull() & keep_group(F.col("pk"), F.col("joined"), F.col("_e"), prefixes),
+                                                 F.col("joined")).alias("joined"))
+    first = F.get(F.filter("its", lambda p: p["line_num"] == F.get(F.col("ps"), 0)["line_num"]), 0)
+    seen = F.array_min(F.transform("its", lambda p: p["line_num"]))
+    # text: the value's head, as R1 has the literal with the known prefix there
+    value = {"kind": F.lit(K_RECON), "grp": F.col("pk") + 2, "ln": seen, "sub": F.lit(0), "pos": F.lit(0),
+             "path": F.array().cast("array<int>"), "value": F.col("joined"), "text": F.substring("joined", 1, HEAD),
+             "label": F.when(F.col("pk") == 2, METHODS[2]).otherwise(METHODS[3]), "rule_id": F.lit(None).cast("int")}
+    types = dict(items.dtypes)
+    made = F.struct(*[value.get(c, first[c]).cast(types[c]).alias(c) for c in columns])
+    none = F.array().cast("array<" + items.select(F.struct(*columns).alias("x")).schema["x"].dataType.simpleString() + ">")
+    its = F.when(F.col("pk").isNull(), F.col("its")).when(F.col("joined").isNotNull(), F.array(made)).otherwise(none)
+    out = g.select(*DOC, F.explode_outer(its).alias("it")).where(F.col("it").isNotNull())
+    return out.select(*DOC, "it.*").select(*items.columns)
+
+
+def evidence(all_items: DataFrame, prefixes=PREFIXES) -> DataFrame:
     """Items -> evidence rows: regex hits, prefix hits (P4), decoded and reconstructed values."""
     kind = F.col("kind")
     staged = all_items.select("*", F.when(kind.isin(K_CAND, K_DECODED, K_RECON),
-                                          tx.matching_prefixes(F.col("value"))).alias("_pm"))
+                                          tx.matching_prefixes(F.col("value"), prefixes)).alias("_pm"))
     ev_t = "struct<ev:int,pord:int,provider:string,ptype:string,plen:int,pscore:int>"
 
     def ev(code, p=None):
@@ -133,61 +161,52 @@ def evidence(all_items: DataFrame) -> DataFrame:
     rows = staged.select(*all_items.columns, F.explode_outer(arr).alias("e")).where(F.col("e").isNotNull())
     key = F.struct((F.col("e.ev") - 1).alias("phase"), F.col("grp"), F.col("ln"), F.col("sub"), F.col("pos"),
                    F.col("path"), F.when(F.col("e.ev") == EV_PREFIX, F.col("e.pord")).otherwise(0).alias("pord"))
-    return rows.select("doc_id", "filename", "is_test", "line_num", *FEATURES, "rule_id", "value", "text",
-                       "label", key.alias("key"), "e.*")
+    return rows.select(*DOC, "line_num", *FEATURES, "rule_id", "value", "text", "label", key.alias("key"), "e.*")
 
 
 def prefix_dedup(ev: DataFrame) -> DataFrame:
     """P5: first prefix hit per (doc, line, provider, type) in candidate order."""
-    w = Window.partitionBy("doc_id", "line_num", "ev", "pord").orderBy("key")
+    w = Window.partitionBy("doc_id", "doc_hash", "line_num", "ev", "pord").orderBy("key")
     return (ev.withColumn("_p5", F.when(F.col("ev") == EV_PREFIX, F.row_number().over(w)))
             .where(F.col("_p5").isNull() | (F.col("_p5") == 1)).drop("_p5"))
 
 
-def balance(docs: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy text work over the cluster when the input is coarse.
+def scan_items(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: bool = True,
+               partitions: int | None = None, families=FAMILIES, prefixes=PREFIXES) -> DataFrame:
+    """Stage 1 up to the item rows (no shuffle).
 
-    Text scanning costs far more CPU per byte than reading, so an input with
-    fewer partitions than the cluster has cores (one big parquet row group, a
-    table generated from one partition) is repartitioned round-robin.  A large
-    input already has many more partitions and is left alone: no shuffle.
+    Text scanning costs far more CPU per byte than reading: for an input with few,
+    large splits give ``partitions`` (a round-robin shuffle of the documents) or
+    set ``spark.sql.files.maxPartitionBytes`` before reading.
     """
-    target = min_partitions or 2 * docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < target:
-        return docs.repartition(target)
-    return docs
+    docs = docs.repartition(partitions) if partitions else docs
+    ls = split_normalize(docs, latin1_compat).drop("raw_line")
+    return line_items(ls, rules, use_gates, families, prefixes)
 
 
-def scan_items(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: bool = True,
-               min_partitions: int | None = None) -> DataFrame:
-    """Stages 1-5 up to the item rows (before any shuffle of findings)."""
-    ls = split_normalize(balance(docs, min_partitions), latin1_compat).drop("raw_line")
-    return line_items(ls, rules, use_gates)
-
-
-def scan(docs: DataFrame, rules=RULES, latin1_compat: bool = False, use_gates: bool = True,
-         checkpoint: bool = True, partitions: int | None = None, keep_key: bool = False) -> DataFrame:
-    """Scan a DataFrame (doc_id BIGINT, filename STRING, text STRING).
+def scan(docs: DataFrame, rules=RULES, prefixes=PREFIXES, latin1_compat: bool = False, use_gates: bool = True,
+         partitions: int | None = None) -> DataFrame:
+    """Scan a DataFrame (doc_id of any type, filename STRING, text STRING).
 
     Returns findings(doc_id, file, line, rule, category, severity,
     confidence, match, fix, source, rank); ``rank`` orders findings within a
-    document (confidence descending, ties in detection order).
+    document (confidence descending, ties in detection order).  ``rules`` and
+    ``prefixes`` are the built-in tables, a list of Rule / Prefix, or a DataFrame
+    of the shape of ``rule_table`` / ``prefix_table``.
+
+    Different rows that share a doc_id are documents of their own with ranks of
+    their own; rows equal in id, name and text are one.  A NULL name is
+    ``unknown``, a NULL or empty text has no findings.
     """
-    items = scan_items(docs, rules, latin1_compat, use_gates)
-    if checkpoint:
-        checkpoint_dir(docs.sparkSession)
-        items = items.checkpoint(eager=True)
-    all_items = items.where(F.col("kind") != K_PART).unionByName(reconstructed_groups(items))
-    ev = evidence(all_items)
-    ev = ev.repartition(partitions, "doc_id") if partitions else ev.repartition("doc_id")
-    scored = score_evidence(prefix_dedup(ev), rules)
-    found = with_severity(rank_findings(dedup_findings(scored)))
-    cols = FINDING_COLUMNS + (["key"] if keep_key else [])
-    return found.select(*cols)
+    rules = rules_from_table(rules) if isinstance(rules, DataFrame) else tuple(rules)
+    prefixes = prefixes_from_table(prefixes) if isinstance(prefixes, DataFrame) else tuple(prefixes)
+    items = scan_items(docs, rules, latin1_compat, use_gates, partitions, prefixes=prefixes)
+    ev = evidence(fold_parts(items, prefixes), prefixes).repartition("doc_id", "doc_hash", "line_num")
+    found = rank_findings(dedup_findings(score_evidence(prefix_dedup(ev), rules)))
+    return with_severity(found).select(*FINDING_COLUMNS)
 
 
 def scan_files(tree: DataFrame, **kw) -> DataFrame:
-    """Scan rows from ``sources.files.read_tree``; ``file`` is the relative path."""
-    found = scan(tree.select("doc_id", "filename", "text"), keep_key=True, **kw)
-    paths = tree.select("doc_id", F.col("file").alias("_path"))
-    return found.join(paths, "doc_id").withColumn("file", F.col("_path")).drop("_path", "key")
+    """Scan rows from ``sources.files.read_tree``; ``file`` is the relative path, which is also the identity."""
+    found = scan(tree.select(F.col("file").alias("doc_id"), "filename", "text"), **kw)
+    return found.withColumn("file", F.col("doc_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,22 +22,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for checkpoints and intermediate tables, as the session names it.
 
-    Read from the session (``spark.checkpoint.dir`` / SparkContext).  Only a
-    local-mode session with none set gets a fresh folder of its own; on a
-    cluster the setting must name shared storage.
+    ``spark.checkpoint.dir`` (or the context's own setting) must name it.  Only a
+    session whose executors are threads of this process may go without: it gets a
+    fresh folder.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
-    d = tempfile.mkdtemp(prefix="credsweep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
+        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="credsweep-ckpt-"))
     return sc.getCheckpointDir()

@@ -1,16 +1,27 @@
 """Scanning a directory tree of text files.
 
-Files are listed and read by executors (``binaryFile`` with recursive
-lookup); the directory, extension and binary-suffix filters are predicates
-on ``_metadata.file_path``, which Spark applies to the file listing, so
-skipped files are never opened.
+Directories are listed by executors, one level of the tree at a time, and files
+are read by executors, a few megabytes at a time.  Spark's own file sources pass
+over names that start with ``.`` or ``_``, which is where secrets lie (``.env``),
+so listing and reading go through the file system client of the Python workers.
+Skipped directories are never listed, files that a filter drops never opened.
+A file's identity is its path below the root, as it is written on disk.
 """
 
 from __future__ import annotations
 
+import glob
+import math
+import os
+import posixpath
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: directories pruned at any depth, binary suffixes.
 # --------------------------------------------------------------------------
@@ -77,64 +88,185 @@ def keep_file(relpath: Column, extensions: str = "") -> Column:
     return ~in_skipped_dir(relpath) & has_extension(basename(relpath), extensions) & ~is_binary(relpath)
 
 
-def read_tree(spark: SparkSession, root: str, extensions: str = "", paths=None) -> DataFrame:
+#: Text that a task holds before it hands it on, and files.
+BATCH_BYTES, BATCH_FILES = 8 << 20, 256
+#: Bytes and files that one reading task is given, about.
+TASK_BYTES, TASK_FILES = 64 << 20, 2_000
+FILES = "path binary, rel string, size long"
+ENTRIES = "path binary, rel string, is_dir boolean, size long"
+
+
+class _Store:
+    """The few calls that a tree needs, on a worker: local paths as bytes, else a URI's file system."""
+
+    def __init__(self, local: bool) -> None:
+        self.local = local
+
+    def list(self, path: bytes) -> Iterator[tuple[bytes, bytes, bool, int]]:
+        """(path, name, is a directory, size) of a directory's entries; links to directories are left out."""
+        if self.local:
+            with os.scandir(path) as entries:
+                for e in entries:
+                    is_dir = e.is_dir(follow_symlinks=False)
+                    if is_dir or e.is_file():
+                        yield e.path, e.name, is_dir, 0 if is_dir else e.stat().st_size
+        else:
+            from pyarrow import fs
+            store, base = fs.FileSystem.from_uri(path.decode())
+            scheme = path.decode()[:len(path.decode()) - len(base)]
+            for e in store.get_file_info(fs.FileSelector(base)):
+                yield (scheme + e.path).encode(), e.base_name.encode(), e.type == fs.FileType.Directory, e.size or 0
+
+    def read(self, path: bytes) -> bytes:
+        if self.local:
+            with open(path, "rb") as f:
+                return f.read()
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(path.decode())
+        with store.open_input_stream(base, compression=None) as f:
+            return f.read()
+
+
+def _shown(name: bytes) -> str:
+    """A name as text; bytes that are no UTF-8 are written as escapes."""
+    return name.decode("utf-8", errors="backslashreplace")
+
+
+def _roots(spark: SparkSession, root: str) -> tuple[bool, list[tuple[bytes, str, bool, int]]]:
+    """(is local, [(path, relative path, is a directory, size)]) of what ``root`` names: a directory, a file, or a glob of either.
+
+    ``~``, ``..``, ``file:`` and spaces are allowed; a name that exists is taken
+    as written, even if it looks like a glob.  Relative paths count from the
+    directory, from a single file's directory, or from the glob's fixed part.
+    """
+    local = root.startswith("file:") or "://" not in root
+    if local:
+        path = "/" + root.split(":", 1)[1].lstrip("/") if root.startswith("file:") else os.path.abspath(os.path.expanduser(root))
+        path = os.path.normpath(path)
+        if os.path.isdir(path):
+            return True, [(os.fsencode(path), "", True, 0)]
+        if os.path.exists(path):
+            return True, [(os.fsencode(path), _shown(os.fsencode(os.path.basename(path))), False, os.path.getsize(path))]
+        found = glob.glob(path, include_hidden=True) if any(c in path for c in "*?[") else []
+        fixed = path[:min((path.index(c) for c in "*?[" if c in path), default=len(path))].rsplit("/", 1)[0]
+        out = [(os.fsencode(p), _shown(os.fsencode(os.path.relpath(p, fixed or "/"))), os.path.isdir(p), 0 if os.path.isdir(p) else os.path.getsize(p)) for p in sorted(found)]
+    else:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        statuses = [store.getFileStatus(hadoop)] if store.exists(hadoop) else list(store.globStatus(hadoop) or [])
+        whole = len(statuses) == 1 and store.exists(hadoop)
+        fixed = root[:min((root.index(c) for c in "*?[" if c in root), default=len(root))].rsplit("/", 1)[0]
+        out = []
+        for st in statuses:
+            p = st.getPath().toString()
+            rel = ("" if st.isDirectory() else posixpath.basename(p)) if whole else p[len(fixed):].lstrip("/")
+            out.append((p.encode(), rel, st.isDirectory(), st.getLen()))
+    if not out:
+        raise FileNotFoundError(root)
+    return local, out
+
+
+def _rows(rows: list[tuple], names: list[str]):
+    import pyarrow as pa
+    types = {"path": pa.binary(), "rel": pa.string(), "is_dir": pa.bool_(), "size": pa.int64(), "text": pa.large_string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[n]) for i, n in enumerate(names)], names)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel, size) of every file below ``root`` outside the skipped directories, hidden ones too.
+
+    Each round lists the directories of one level on the executors; the loop runs
+    once for each level of the tree.  A directory that can't be listed is passed over.
+    """
+    local, roots = _roots(spark, root)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+
+    def entries(batches):
+        store = _Store(local)
+        for b in batches:
+            for path, rel in zip(b.column("path").to_pylist(), b.column("rel").to_pylist()):
+                out = []
+                try:
+                    for p, name, is_dir, size in store.list(path):
+                        if not (is_dir and _shown(name) in SKIP_DIRS):
+                            out.append((p, f"{rel}/{_shown(name)}" if rel else _shown(name), is_dir, size))
+                        if len(out) >= 10_000:
+                            yield _rows(out, ["path", "rel", "is_dir", "size"])
+                            out = []
+                except (OSError, ValueError):
+                    pass
+                yield _rows(out, ["path", "rel", "is_dir", "size"])
+
+    found = spark.createDataFrame([(bytearray(p), r, d, s) for p, r, d, s in roots], ENTRIES)
+    levels = []
+    while True:
+        path = f"{base}/{len(levels)}"
+        found.write.parquet(path)
+        found = spark.read.schema(ENTRIES).parquet(path)
+        levels.append(found)
+        dirs = found.where("is_dir")
+        if dirs.isEmpty():
+            break
+        found = dirs.select("path", "rel").repartition("rel").mapInArrow(entries, ENTRIES)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    delete_on_exit(spark, base)
+    return out.where("NOT is_dir").select("path", "rel", "size")
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate folder when the session's file system closes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def read_tree(spark: SparkSession, root: str, extensions: str = "", paths=None, partitions: int | None = None) -> DataFrame:
     """(doc_id, filename, file, text) for every kept file under ``root``.
 
-    ``filename`` is the base name (used for scoring), ``file`` the path
-    relative to ``root`` (reported).  Unreadable files are skipped; invalid
-    UTF-8 bytes are dropped (Spark replaces them with U+FFFD, which is then
-    removed -- a literal U+FFFD in a file is removed too).
+    ``root`` is a directory, a single file or a glob.  ``file`` is the path
+    relative to the root and also the identity ``doc_id``; ``filename`` is the
+    base name, which scoring looks at.  Files that can't be read are passed over;
+    bytes that are no UTF-8 are dropped, characters that are there stay.
 
-    Spark's file index never lists names starting with ``.`` or ``_``
-    (``.env``, ``.npmrc``).  To include them pass ``paths``: a list or a
-    DataFrame with a ``path`` column of files under ``root`` (for example a
-    manifest table); those files are then read by the executors.
+    ``paths`` replaces the listing: a list or a DataFrame with a ``path`` column
+    of files, below the root or not (then ``file`` is the path itself).
     """
-    root_uri = root.rstrip("/")
-    if paths is not None:
-        df = _read_listed(spark, paths)
+    if paths is None:
+        local, _ = _roots(spark, root)
+        files = list_tree(spark, root)
     else:
-        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root_uri)
-              .select(F.col("_metadata.file_path").alias("path"), "content"))
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + _root_marker(root_uri) + r"/(.*)$", 1)
-    df = df.where(keep_file(rel, extensions))
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    return df.select(F.xxhash64(rel).alias("doc_id"), basename(rel).alias("filename"), rel.alias("file"),
-                     text.alias("text"))
-
-
-def _read_listed(spark: SparkSession, paths) -> DataFrame:
-    """Read an explicit file list on the executors (missing or unreadable files skipped)."""
-    listing = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
-    n = max(1, spark.sparkContext.defaultParallelism)
-
-    def read(batches):
-        import pyarrow as pa
-        from pyarrow import fs as pafs
-        local = pafs.LocalFileSystem()
+        listing = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+        local = root.startswith("file:") or "://" not in root
+        base = (os.path.abspath(root.split(":", 1)[1] if root.startswith("file:") else os.path.expanduser(root)) if local else root).rstrip("/") + "/"
+        path = F.regexp_replace("path", "^file:/*", "/") if local else F.col("path")
+        files = listing.select(path.alias("p")).select(
+            F.col("p").cast("binary").alias("path"),
+            F.when(F.startswith("p", F.lit(base)), F.col("p").substr(F.lit(len(base) + 1), F.length("p"))).otherwise(F.col("p")).alias("rel"), F.lit(0).cast("long").alias("size"))
+    files = files.where(keep_file(F.col("rel"), extensions))
+    if partitions is None:
+        total = files.agg(F.sum("size"), F.count(F.lit(1))).first()
+        partitions = max(spark.sparkContext.defaultParallelism, math.ceil((total[0] or 0) / TASK_BYTES), math.ceil(total[1] / TASK_FILES))
+
+    def texts(batches):
+        store = _Store(local)
         for b in batches:
-            out_p, out_c = [], []
-            for p in b.column("path").to_pylist():
+            out, held = [], 0
+            for path, rel in zip(b.column("path").to_pylist(), b.column("rel").to_pylist()):
                 try:
-                    if "://" in p and not p.startswith("file:"):
-                        fsys, fp = pafs.FileSystem.from_uri(p)
-                    else:
-                        fsys, fp = local, ("/" + p.split(":", 1)[1].lstrip("/")) if p.startswith("file:") else p
-                    with fsys.open_input_stream(fp, compression=None) as f:
-                        out_c.append(f.read())
-                    out_p.append(p)
-                except OSError:
+                    raw = store.read(path)
+                except (OSError, ValueError):
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.string()), pa.array(out_c, pa.binary())],
-                                             names=["path", "content"])
-    return listing.select("path").repartition(n).mapInArrow(read, "path string, content binary")
-
+                out.append((rel, raw.decode("utf-8", errors="ignore")))
+                held += len(raw)
+                if held >= BATCH_BYTES or len(out) >= BATCH_FILES:
+                    yield _rows(out, ["rel", "text"])
+                    out, held = [], 0
+            yield _rows(out, ["rel", "text"])
 
-def _root_marker(root_uri: str) -> str:
-    import re
-    tail = root_uri.split("://", 1)[-1]
-    return re.escape(tail)
+    dealt = files.select("path", "rel").repartition(partitions, F.xxhash64("rel"))
+    read = dealt.mapInArrow(texts, "rel string, text string")
+    return read.select(F.col("rel").alias("doc_id"), basename(F.col("rel")).alias("filename"), F.col("rel").alias("file"), "text")
 
 
 def write_tree(docs: DataFrame, root: str, invalid_every: int = 11) -> str:

@@ -251,6 +251,7 @@ STRUCTURE_LINES = [
     'only1 = "' + h + '"',
     lines_of('aws = "' + BS + "x41KIA" + Hs(1, 16) + '"', 'aws2 = "' + BS * 2 + "x41KIA" + Hs(1, 16) + '"'),
     'p = "' + BS + "x41" + hs(1, 6) + '" ' + BS,
+    'bell = "' + BS + "x07" + hs(1, 6) + '"',
     lines_of('password = "${DB_PASS}"', 'password = "changeme"', 'password = "{{ x }}"'),
     lines_of('password = "aaaaaaaaaaaaaaaaaaaa"', 'api_key = "abcdefghijklmnop"', 'secret = "1111111111"'),
 ]
@@ -260,13 +261,16 @@ CONTEXT_LINES = ["", "# plain comment", "password and secret live here", 'x = os
 
 FILENAMES = ["app.py", "test_app.py", "AndroidManifest.xml", "app.gradle", "config.env",
              "latest.py", "Main.java", "demo.js", "prod.yaml"]
-DIRS = ["src/", "node_modules/x/", "a/build/", "lib/", ".git/", "buildx/"]
+DIRS = ["src/", "node_modules/x/", "a/build/", "lib/", ".git/", "buildx/", ".github/", "_conf/", "with space/", "per%20cent/", ""]
 SUFFIXES = ["", ".png", ".PNG", ".gz", ".txt"]
 
 TEXT = lines_of(Case(CONTEXT_LINES), Case(RULE_LINES), Case(PREFIX_LINES),
                 Case(STRUCTURE_LINES), Case(CONTEXT_LINES, offset=3))
 FILENAME = Case(FILENAMES)
-PATH = Cat(Case(DIRS), "k", KeyStr(), "/", FILENAME, Case(SUFFIXES, offset=1))
+# hidden files and names that begin with an underscore, too
+PATH_NAMES = FILENAMES + [".env", "__init__.py", "a b.py", "c%d.py"]
+PATH = Cat(Case(DIRS), "k", KeyStr(), "/", Case(PATH_NAMES), Case(SUFFIXES, offset=1))
+NAMELESS = 23
 
 
 def planted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +278,7 @@ def planted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     return o.select(
         (F.lit(PLANTED_ID_BASE) + F.col("o_orderkey")).alias("doc_id"),
-        FILENAME.spark().alias("filename"),
+        F.when(F.col("o_orderkey") % NAMELESS != 5, FILENAME.spark()).alias("filename"),
         TEXT.spark().alias("text"),
         PATH.spark().alias("path"))
 
@@ -282,4 +286,4 @@ def planted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planted_sql() -> str:
     """The same documents as a DuckDB SELECT over the ``orders`` view."""
     return (f"SELECT CAST({PLANTED_ID_BASE} + o_orderkey AS BIGINT) AS doc_id, "
-            f"{FILENAME.sql()} AS filename, {TEXT.sql()} AS text, {PATH.sql()} AS path FROM orders")
+            f"CASE WHEN o_orderkey % {NAMELESS} <> 5 THEN {FILENAME.sql()} END AS filename, {TEXT.sql()} AS text, {PATH.sql()} AS path FROM orders")

@@ -12,55 +12,54 @@ from pyspark.sql import functions as F
 
 from .planted import planted_docs, planted_sql
 
-PAGES_ID_BASE = 2_000_000_000_000
-CONVERSATIONS_ID_BASE = 3_000_000_000_000
-
 
 def as_docs(df: DataFrame, text_col: str, id_col: str, filename_col: str | None = None,
             default_filename: str = "unknown") -> DataFrame:
-    """Re-aim any table with a text column to the scanner's input shape."""
-    fname = F.col(filename_col) if filename_col else F.lit(default_filename)
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                     fname.cast("string").alias("filename"),
+    """Re-aim any table with a text column to the scanner's input shape; the id keeps its type."""
+    fname = F.coalesce(F.col(filename_col).cast("string"), F.lit(default_filename)) if filename_col else F.lit(default_filename)
+    return df.select(F.col(id_col).alias("doc_id"),
+                     fname.alias("filename"),
                      F.col(text_col).cast("string").alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with ``filename = source``."""
+    """``documents`` with ``filename = source`` (``unknown`` where it is null)."""
     return as_docs(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id", "source")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select((F.lit(PAGES_ID_BASE) + F.col("page_id")).alias("doc_id"),
+    return p.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("doc_id"),
                     F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
                     F.col("html").alias("text"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select((F.lit(CONVERSATIONS_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+    return c.select(F.concat_ws("/", F.lit("conversation"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"),
                     F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("filename"),
                     F.col("text"))
 
 
-_PLANTED_TABLES: dict[tuple[int, str], str] = {}
+_PLANTED_TABLES: dict[tuple[str, str], str] = {}
 
 
 def planted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted corpus, written once per session into the checkpoint folder.
+    """The planted corpus, written once per application into the checkpoint folder.
 
     Generating it is one large expression; writing it once lets every
     query of a session read a plain table instead of re-planning it.
     """
     import uuid
     from ..session import checkpoint_dir
-    key = (id(spark), sf_dir)
+    from .files import delete_on_exit
+    key = (spark.sparkContext.applicationId, sf_dir)
     path = _PLANTED_TABLES.get(key)
     if path is None:
         path = checkpoint_dir(spark).rstrip("/") + f"/planted-{uuid.uuid4().hex}"
         n = 2 * spark.sparkContext.defaultParallelism
         planted_docs(spark, sf_dir).repartition(n).write.parquet(path)
+        delete_on_exit(spark, path)
         _PLANTED_TABLES[key] = path
     return spark.read.parquet(path)
 
@@ -73,15 +72,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_sql() -> str:
     """DuckDB twin of :func:`corpus`."""
-    return ("SELECT doc_id, source AS filename, text FROM documents UNION ALL "
+    return ("SELECT doc_id, coalesce(source, 'unknown') AS filename, text FROM documents UNION ALL "
             f"SELECT doc_id, filename, text FROM ({planted_sql()})")
 
 
 def pages_sql() -> str:
-    return (f"SELECT CAST({PAGES_ID_BASE} + page_id AS BIGINT) AS doc_id, "
+    return ("SELECT concat('page/', cast(page_id as varchar)) AS doc_id, "
             "concat(cast(page_id as varchar), '.html') AS filename, html AS text FROM pages")
 
 
 def conversations_sql() -> str:
-    return (f"SELECT CAST({CONVERSATIONS_ID_BASE} + conv_id * 1000 + turn AS BIGINT) AS doc_id, "
+    return ("SELECT concat('conversation/', cast(conv_id as varchar), '/', cast(turn as varchar)) AS doc_id, "
             "concat('conv', cast(conv_id as varchar), '.txt') AS filename, text FROM conversations")

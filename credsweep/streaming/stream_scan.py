@@ -9,34 +9,30 @@ own output (effectively exactly-once).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scan import scan
-from ..session import checkpoint_dir
 
 DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("filename", T.StringType()),
                            T.StructField("text", T.StringType())])
 
 
-def scan_stream(spark: SparkSession, input_path: str, output_path: str, fmt: str = "parquet",
-                schema: T.StructType = DOC_SCHEMA, checkpoint_location: str | None = None,
-                available_now: bool = True, **scan_options):
+def scan_stream(spark: SparkSession, input_path: str, output_path: str, checkpoint_location: str, fmt: str = "parquet",
+                schema: T.StructType = DOC_SCHEMA, available_now: bool = True, **scan_options):
     """Start a streaming scan of (doc_id, filename, text) files under ``input_path``.
 
-    Findings land in ``output_path/epoch=<n>/``.  Returns the StreamingQuery.
+    Findings land in ``output_path/epoch=<n>/``.  A restart must name the same
+    ``checkpoint_location``: it then goes on with the next epoch, so there is no
+    default.  Returns the StreamingQuery.
     """
     stream = spark.readStream.format(fmt).schema(schema).option("recursiveFileLookup", "true").load(input_path)
-    ckpt = checkpoint_location or checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        found = scan(batch, checkpoint=False, **scan_options)
+        found = scan(batch, **scan_options)
         found.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/epoch={epoch_id}")
 
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
