@@ -36,6 +36,10 @@ GROUPS = 64
 SKETCH_BITS, SLOT = 20, 4096
 #: Sets of one key that meet in one place; more are dealt over several: in the first round, in the R-trees.
 PART, BLOCK = 8192, 512
+#: Sets of one key that are compared without a tree.
+FEW = 32
+#: Buckets of document ids by which the texts of few documents are picked before they are shuffled.
+PICKS = 1 << 20
 #: Sets under a leaf of an R-tree, and children of an inner node.
 LEAF = 16
 
@@ -65,8 +69,8 @@ class Likeness:
 def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """For each of 2^20 hash buckets how far its shingles' frequency stands above the mean, 0 for the most.
 
-    Second, for each of these levels, over how many parts the rows of such a
-    shingle are dealt.
+    Second, for each of these levels, log2 of the parts over which the rows of
+    such a shingle are dealt.
 
     Counts cover all shingles.  They only order the shingles, so that texts don't
     meet under a passage that very many share; any order gives the same links.
@@ -86,9 +90,9 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndar
         total: dict[int, np.ndarray] = {}
         for batch in it:
             for slot, raw in zip(batch.column("slot").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(raw, np.int64)
+                x = np.frombuffer(raw, np.int32).astype(np.int64)
                 total[slot] = total[slot] + x if slot in total else x
-        yield _slot_rows(np.array(list(total), int), list(total.values()))
+        yield _slot_rows(np.array(list(total), int), list(total.values()), np.int64)
 
     rows = small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(count, "slot int, counts binary") \
         .repartition("slot").mapInArrow(add, "slot int, counts binary").toArrow()
@@ -97,11 +101,11 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndar
         total[slot] = np.frombuffer(raw, np.int64)
     usual = 2 * total.mean() + 8
     levels = np.clip(np.rint(2 * np.log2(np.maximum(total.ravel() / usual, 1))), 0, 120).astype(np.int8)
-    return levels, np.array([max(1, math.ceil(usual * 2 ** (lv / 2) / PART)) if lv else 1 for lv in range(int(levels.max()) + 1)], np.int64)
+    return levels, np.array([max(0, math.ceil(math.log2(usual * 2 ** (lv / 2) / PART))) if lv else 0 for lv in range(int(levels.max()) + 1)], np.int8)
 
 
-def _slot_rows(slots: np.ndarray, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([np.asarray(c).tobytes() for c in counts], pa.binary())], ["slot", "counts"])
+def _slot_rows(slots: np.ndarray, counts, kind=np.int32) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([np.asarray(c).astype(kind).tobytes() for c in counts], pa.binary())], ["slot", "counts"])
 
 
 # ---------------------------------------------------------------- sets
@@ -113,7 +117,7 @@ def _described(docs: DataFrame, size: int, like: Likeness, levels, id_col: str,
     A set that a task has met before gives no vector and keys again.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("text_hash", "long").add("cls", "long").add("n", "integer") \
-        .add("vec", "binary").add("keys", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.LongType()))
+        .add("vec", "binary").add("keys", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.ByteType()))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (level, parts_of), met = levels.value, set()
@@ -129,61 +133,110 @@ def _described(docs: DataFrame, size: int, like: Likeness, levels, id_col: str,
                     parts.append([])
                     continue
                 met.add(c)
-                vec.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                vec.append(_packed(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
                 lv = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.argsort(lv, kind="stable")[:like.prefix(len(s))]
                 keys.append(s[first].view(np.int64))
                 parts.append(parts_of[lv[first]])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(vec, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], schema.names)
+                pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int8()))], schema.names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     return small_batches(rows).mapInArrow(batches, schema)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A count vector in two bytes a group, or four if a count needs them."""
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    """Count vectors as rows."""
+    raw = column.to_pylist()
+    if all(len(x) == 2 * GROUPS for x in raw):
+        return np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), GROUPS).astype(np.int64)
+    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw], np.int64)
+
+
 # ---------------------------------------------------------------- first round: hubs
 
-#: Either a pair or a row of a key.
-HUB_ROWS = "a long, b long, key long, cls long, n int, pos int"
+#: Either a pair or a row of a key, packed as ``_packed_keys`` does.
+HUB_ROWS = "a long, b long, key long, cls long, meta long"
+
+
+def _packed_keys(sets: DataFrame) -> DataFrame:
+    """``key, cls, meta`` of every set: meta holds the set's size, the key's place in its order and log2 of its parts."""
+    x = F.posexplode(F.arrays_zip("keys", "parts")).alias("pos", "x")
+    return sets.select("cls", "n", x).select(
+        F.col("x.keys").alias("key"), "cls",
+        F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 5)).bitwiseOR(F.col("x.parts").cast("long")).alias("meta"))
+
+
+def _unpacked(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, places and log2 of parts."""
+    return meta >> 32, meta >> 5 & 0x7FFFFFF, meta & 31
 
 
 def _hubs(rows: DataFrame, like: Likeness) -> DataFrame:
-    """Streams over (key, part, n, cls) in order: a pair with the hub of each run, and the rows of keys that several sets share.
+    """A pair with the hub for each set of a key, and the rows of keys that several sets share.
 
-    The hub is the run's first set that is not too small for the one at hand.
-    The rows of a key that is dealt over parts are all handed on.
+    Rows stream by key, part, size and class; the hub is the run's first set that
+    is not too small for the one at hand.  The rows of a key that is dealt over
+    parts are all handed on.
     """
+    part = F.expr("pmod(cls, shiftleft(1L, cast(meta & 31 AS int)))")
+    dealt = rows.select("key", "cls", "meta").repartition("key", part).sortWithinPartitions("key", part, F.shiftright("meta", 32), "cls")
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the open run of the batch before: its key and part, hub, first row and whether that was handed on
+        held = None  # the open run: its key and part, the hub's size and class, the first row and whether that was handed on
         for batch in it:
-            a, b, rows = [], [], []
-            for k in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "n", "cls", "pos", "parts"))):
-                at, size, c, is_hot = k[:2], k[2], k[3], k[5] > 1
+            key, cls, meta = (batch.column(c).to_numpy() for c in ("key", "cls", "meta"))
+            size, _, log = _unpacked(meta)
+            part = np.mod(cls, np.left_shift(1, log))
+            # most runs are one row: they are passed over unless a batch's edge cuts them
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+            same[-1] = True
+            same[0] = held is not None and held[0] == (key[0], part[0]) if len(key) else False
+            rows, a, b = [], [], []
+            for i in np.flatnonzero(same[:-1] | same[1:] | (log > 0)).tolist():
+                at = key[i], part[i]
                 if held is None or held[0] != at:
-                    held = [at, (size, c), k, is_hot]
-                    if is_hot:
-                        rows.append(k)
+                    held = [at, (size[i], cls[i]), (key[i], cls[i], meta[i]), log[i] > 0]
+                    if held[3]:
+                        rows.append(held[2])
                     continue
-                if c == held[2][3] or c == held[1][1]:
+                if cls[i] == held[2][1] or cls[i] == held[1][1]:
                     continue
                 if not held[3]:
                     rows.append(held[2])
                     held[3] = True
-                rows.append(k)
-                if held[1][0] * 100 < like.percent * size:
-                    held[1] = size, c
+                rows.append((key[i], cls[i], meta[i]))
+                if held[1][0] * 100 < like.percent * size[i]:
+                    held[1] = size[i], cls[i]
                 else:
                     a.append(held[1][1])
-                    b.append(c)
-            none = [None] * len(a)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([*a, *[None] * len(rows)], pa.int64()), pa.array([*b, *[None] * len(rows)], pa.int64()),
-                pa.array([*none, *(r[0] for r in rows)], pa.int64()), pa.array([*none, *(r[3] for r in rows)], pa.int64()),
-                pa.array([*none, *(r[2] for r in rows)], pa.int32()), pa.array([*none, *(r[4] for r in rows)], pa.int32())],
-                ["a", "b", "key", "cls", "n", "pos"])
+                    b.append(cls[i])
+            columns = [[*a, *[None] * len(rows)], [*b, *[None] * len(rows)], *([*[None] * len(a), *(r[j] for r in rows)] for j in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key", "cls", "meta"])
+
+    return dealt.mapInArrow(batches, HUB_ROWS)
+
+
+def _bounded(pairs: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs whose count vectors leave an overlap that is large enough."""
+    both = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("vec_a")), "a") \
+        .join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vec_b")), "b").select("a", "b", "vec_a", "vec_b")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                x, y = _points(batch.column("vec_a")), _points(batch.column("vec_b"))
+                near = np.minimum(x, y).sum(axis=1) >= like.overlap(x.sum(axis=1), y.sum(axis=1))
+                yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return rows.mapInArrow(batches, HUB_ROWS)
+    return both.mapInArrow(batches, "a long, b long")
 
 
 # ---------------------------------------------------------------- second round: R-trees
@@ -252,19 +305,56 @@ def _candidates(cls: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def _few(rows: DataFrame, like: Likeness) -> DataFrame:
+    """Candidate pairs across components among rows ``key, cls, n, pos, label`` of keys with at most FEW sets: no tree is needed there."""
+    dealt = rows.select("key", "cls", "n", "pos", "label").repartition("key").sortWithinPartitions("key", "n", "cls")
+
+    def pairs(run: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
+        # by size: the first of a pair is the smaller set and must hold the key among its first few
+        for i, (_, c, n, pos, label) in enumerate(run):
+            if pos < like.index_prefix(n):
+                for _, d, m, place, other in run[i + 1:]:
+                    if 100 * n < like.percent * m:
+                        break
+                    if label != other and c != d and min(n - pos, m - place) + min(pos, place) >= -(-(n + m) * like.percent // (100 + like.percent)):
+                        pair = (c, d) if c < d else (d, c)
+                        if pair not in seen:
+                            seen.add(pair)
+                            yield pair
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, seen = [], set()
+        for batch in it:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "n", "pos", "label"))):
+                if run and run[0][0] != row[0]:
+                    out += pairs(run, seen)
+                    run = []
+                run.append(row)
+            yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
+            if len(seen) > 1_000_000:  # only spares rows, so it may be forgotten
+                seen = set()
+        out = list(pairs(run, seen))
+        yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
+
+    return dealt.mapInArrow(batches, "a long, b long")
+
+
 def _across(rows: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
     """Candidate pairs across components among rows ``key, cls, n, pos, label``.
 
-    A key with more than BLOCK sets is dealt over pairs of blocks, each pair in a
-    place of its own.
+    Keys with at most FEW sets need no tree.  A key with more than BLOCK sets is
+    dealt over pairs of blocks, each pair in a place of its own.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW).select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    sized = rows.join(sizes, "key", "left")
+    few = _bounded(_few(sized.where("blocks IS NULL"), like).distinct(), vectors, like)
+    many = sized.where("blocks IS NOT NULL") \
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
                 "cls", "n", "pos", "label")
-    placed = rows.join(vectors, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+    placed = many.join(vectors, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     names = ["cls", "label", "n", "pos", "side"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +367,13 @@ def _across(rows: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
             return _candidates(*columns, like)
 
         for batch in it:
+            if not batch.num_rows:
+                continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            points = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.uint32).reshape(len(keys), GROUPS).astype(np.int64)
-            columns = [*(batch.column(c).to_numpy() for c in names), points]
+            columns = [*(batch.column(c).to_numpy() for c in names), _points(batch.column("vec"))]
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             a, b = [], []
             for s, e in zip(starts, starts[1:]):
-                if s == e:
-                    continue
                 if at is not None and at != tuple(keys[s]):
                     x, y = place()
                     a.append(x)
@@ -297,7 +386,7 @@ def _across(rows: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
             x, y = place()
             yield _pair_rows([x], [y])
 
-    return placed.mapInArrow(batches, "a long, b long")
+    return few.union(placed.mapInArrow(batches, "a long, b long")).distinct()
 
 
 def _pair_rows(a: list, b: list) -> pa.RecordBatch:
@@ -335,7 +424,11 @@ def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, text
     """``cls, text`` of the classes in some pairs, from one document of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls") \
         .select("cls", F.col("one.doc_id").alias("id__"), F.col("one.text_hash").alias("hash__"))
-    rows = docs.select(F.col(id_col).alias("id__d"), F.xxhash64(F.col(text_col)).alias("hash__d"), F.col(text_col).alias("text"))
+    # at most PICKS small numbers, whatever the tables' sizes: most other texts are never shuffled
+    pick = lambda c: F.pmod(F.xxhash64(c), F.lit(PICKS))
+    picks = wanted.select(pick("id__").alias("pick")).distinct()
+    rows = docs.select(F.col(id_col).alias("id__d"), F.xxhash64(F.col(text_col)).alias("hash__d"), F.col(text_col).alias("text")) \
+        .join(F.broadcast(picks), pick("id__d") == F.col("pick"), "left_semi")
     return rows.join(wanted, F.col("id__d").eqNullSafe(F.col("id__")) & (F.col("hash__d") == F.col("hash__"))).select("cls", "text")
 
 
@@ -354,27 +447,30 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     sets = written(_described(docs, size, like, levels, id_col, text_col), "sets")
     reps = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("smallest"))
 
+    vectors = sets.where("vec IS NOT NULL").groupBy("cls").agg(F.first("vec").alias("vec"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_verified(pairs, _texts(docs, reps, pairs, id_col, text_col), size, like), "linked")
 
-    keys = sets.select("cls", "n", F.posexplode(F.arrays_zip("keys", "parts")).alias("pos", "x")) \
-        .select(F.col("x.keys").alias("key"), F.pmod("cls", F.col("x.parts")).alias("part"), "n", "cls", "pos", F.col("x.parts").alias("parts"))
-    met = written(_hubs(keys.repartition("key", "part").sortWithinPartitions("key", "part", "n", "cls"), like), "met")
-    done = written(_ordered(met), "pairs")
-    linked = verified(done)
-    rows = _mixed(met.where("cls IS NOT NULL").select("key", "cls", "n", "pos"), components(linked))
+    def hubs(met: DataFrame) -> DataFrame:
+        return written(_bounded(_ordered(met), vectors, like), "pairs")
 
-    # the hubs once more, of one set of each component that a key holds
-    heads = rows.groupBy("key", "label").agg(F.min(F.struct("n", "cls", "pos")).alias("x")) \
-        .select("key", F.lit(0).alias("part"), "x.n", "x.cls", "x.pos", F.lit(1).alias("parts"))
-    again = _hubs(heads.repartition("key").sortWithinPartitions("key", "part", "n", "cls"), like)
-    again = written(_ordered(again).join(done, ["a", "b"], "left_anti"), "pairs")
+    met = written(_hubs(_packed_keys(sets), like), "met")
+    done = hubs(met)
+    linked = verified(done)
+    rows = met.where("cls IS NOT NULL").select("key", "cls", "meta")
+    # keys that were dealt over parts: the hubs once more, of one set of each component that such a key holds
+    heads = _labelled(rows.where("(meta & 31) > 0"), components(linked)).groupBy("key", "label").agg(F.min(F.struct("meta", "cls")).alias("x")) \
+        .select("key", "x.cls", F.col("x.meta").bitwiseAND(F.lit(~31)).alias("meta"))
+    again = written(hubs(_hubs(heads, like)).join(done, ["a", "b"], "left_anti"), "pairs")
     done, linked = done.union(again), linked.union(verified(again))
-    rows = _mixed(rows.drop("label"), components(linked))
 
     # all that is left: pairs across components
-    vectors = sets.where("vec IS NOT NULL").groupBy("cls").agg(F.first("vec").alias("vec"))
-    pairs = written(_across(rows, vectors, like).distinct().join(done, ["a", "b"], "left_anti"), "across")
+    rows = _labelled(rows, components(linked))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    rows = rows.join(mixed, "key").groupBy("key", "cls").agg(F.min("meta").alias("meta"), F.min("label").alias("label")) \
+        .select("key", "cls", F.shiftright("meta", 32).cast("int").alias("n"), F.shiftright("meta", 5).bitwiseAND(F.lit(0x7FFFFFF)).cast("int").alias("pos"), "label")
+    pairs = written(_across(written(rows, "mixed"), vectors, like).join(done, ["a", "b"], "left_anti"), "across")
     final = components(linked.union(verified(pairs))).withColumnRenamed("node", "cls")
 
     grouped = reps.join(final, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -389,12 +485,9 @@ def _ordered(met: DataFrame) -> DataFrame:
     return met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of keys that hold more than one component, with their labels."""
-    rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("key", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    return written(rows.join(mixed, "key").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("label").alias("label")), "mixed")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of keys with their components; a set without links is its own."""
+    return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "meta", F.coalesce("label", "cls").alias("label"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
