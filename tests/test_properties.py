@@ -31,7 +31,16 @@ def test_scan_properties(spark):
 
 
 def test_plan_shape(spark):
-    plan = scan(corpus(spark, SF_SMALL), checkpoint=False)._jdf.queryExecution().executedPlan().toString()
+    plan = scan(corpus(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    # one exchange for split-value groups, one for the findings windows
+    # one exchange for split values, one for the windows within a line, one for the rank
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_stages_prune(spark):
+    """A query for one family holds nothing of the others."""
+    from credsweep.plans import registry
+    plan = registry.QUERIES["D1_decode_base64"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "jdbc" not in plan and "AKIA[0-9A-Z]" not in plan
+    plan = registry.QUERIES["X7_first_per_line_rule"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" not in plan

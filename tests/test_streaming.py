@@ -13,6 +13,8 @@ def test_stream_matches_batch(spark, tmp_path):
     docs.where("doc_id > 3").write.parquet(src + "/b")
     q = scan_stream(spark, src, out, checkpoint_location=str(tmp_path / "ck"))
     q.awaitTermination(300)
+    # a restart with the same location has nothing left to do and loses nothing
+    scan_stream(spark, src, out, checkpoint_location=str(tmp_path / "ck")).awaitTermination(300)
     got = read_findings(spark, out).drop("epoch")
     want = scan(docs)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
