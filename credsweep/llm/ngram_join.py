@@ -433,11 +433,12 @@ def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, text
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, text_hash, cls, n_shingles, component_id``.
+    """One row a document: ``doc_id, text_hash, cls, n_shingles, component, component_id``.
 
     Texts link when the Jaccard similarity of their sets of ``size``-word
     shingles is at least ``percent`` / 100; ``component_id`` is the smallest id
-    reachable by links, ``cls`` the hash of the set.  Equal sets are linked, but
+    reachable by links, ``component`` the smallest class (null for an empty set),
+    ``cls`` the hash of the set.  Equal sets are linked, but
     an empty set (null or blank text) with nothing: its row is its own component.
     Repeated rows and repeated ids are rows like others; a null id is never the
     smallest unless there is no other.  An empty table gives no rows.
@@ -475,9 +476,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
 
     grouped = reps.join(final, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = grouped.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    named = grouped.join(smallest, "label").select("cls", "component_id")
+    named = grouped.join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id")
     return sets.select("doc_id", "text_hash", "cls", F.col("n").cast("long").alias("n_shingles")).join(named, "cls", "left") \
-        .select("doc_id", "text_hash", "cls", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "text_hash", "cls", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -501,9 +502,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat its id within the component one stays.  Texts without
     words stay, as do rows with a null id whose component has no other id.
     """
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id", "cls", "n_shingles") \
-        .agg(F.min("text_hash").alias("hash__k")).select(F.col("doc_id").alias("id__k"), "hash__k", F.col("n_shingles").alias("n__k"))
-    one = kept.groupBy("id__k", F.when(F.col("n__k") == 0, F.col("hash__k")).alias("blank__k")).agg(F.min("hash__k").alias("hash__k"), F.max("n__k").alias("n__k"))
+    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = kept.groupBy(F.col("doc_id").alias("id__k"), "component", F.when(F.col("component").isNull(), F.col("text_hash")).alias("blank__k")) \
+        .agg(F.min("text_hash").alias("hash__k"), F.max("n_shingles").alias("n__k")).select("id__k", "hash__k", "n__k")
     rows = docs.withColumn("hash__d", F.xxhash64("text")).join(one, F.col("doc_id").eqNullSafe(F.col("id__k")) & (F.col("hash__d") == F.col("hash__k")))
     each = F.when((F.col("n__k") == 0) | F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return rows.withColumn("each__k", each).dropDuplicates(["id__k", "hash__k", "each__k"]).select(*docs.columns)
