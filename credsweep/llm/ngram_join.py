@@ -30,10 +30,10 @@ from credsweep.llm.common import read, small_batches, written
 from credsweep.llm.components import components
 from credsweep.llm.shingles import set_hash, shingle_sets
 
-#: Hash groups of a count vector.
-GROUPS = 64
-#: The sketch of shingle frequencies: 2^20 counters, in slots of this many.
-SKETCH_BITS, SLOT = 20, 4096
+#: Hash groups of a point in an R-tree; a count vector has more for a large set, some two shingles a group, up to MOST.
+GROUPS, MOST = 64, 1 << 14
+#: The sketch of shingle frequencies: 2^22 counters, in slots of this many.
+SKETCH_BITS, SLOT = 22, 8192
 #: Sets of one key that meet in one place; more are dealt over several: in the first round, in the R-trees.
 PART, BLOCK = 8192, 512
 #: Sets of one key that are compared without a tree.
@@ -67,7 +67,7 @@ class Likeness:
 
 
 def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2^20 hash buckets how far its shingles' frequency stands above the mean, 0 for the most.
+    """For each of 2^22 hash buckets how far its shingles' frequency stands above the mean, 0 for the most.
 
     Second, for each of these levels, log2 of the parts over which the rows of
     such a shingle are dealt.
@@ -75,10 +75,10 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndar
     Counts cover all shingles.  They only order the shingles, so that texts don't
     meet under a passage that very many share; any order gives the same links.
     Each task adds up its own counters, which then meet slot by slot; the result
-    is 1 MB whatever the table's size.
+    is 4 MB whatever the table's size.
     """
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in it:
             for s in shingle_sets(batch.column(0), size):
                 np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -99,7 +99,7 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndar
     total = np.zeros((1 << SKETCH_BITS) // SLOT * SLOT, np.int64).reshape(-1, SLOT)
     for slot, raw in zip(rows.column("slot").to_pylist(), rows.column("counts").to_pylist()):
         total[slot] = np.frombuffer(raw, np.int64)
-    usual = 2 * total.mean() + 8
+    usual = total.mean() + 4 * math.sqrt(total.mean()) + 4
     levels = np.clip(np.rint(2 * np.log2(np.maximum(total.ravel() / usual, 1))), 0, 120).astype(np.int8)
     return levels, np.array([max(0, math.ceil(math.log2(usual * 2 ** (lv / 2) / PART))) if lv else 0 for lv in range(int(levels.max()) + 1)], np.int8)
 
@@ -133,7 +133,7 @@ def _described(docs: DataFrame, size: int, like: Likeness, levels, id_col: str,
                     parts.append([])
                     continue
                 met.add(c)
-                vec.append(_packed(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
+                vec.append(_packed(s))
                 lv = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.argsort(lv, kind="stable")[:like.prefix(len(s))]
                 keys.append(s[first].view(np.int64))
@@ -146,17 +146,30 @@ def _described(docs: DataFrame, size: int, like: Likeness, levels, id_col: str,
     return small_batches(rows).mapInArrow(batches, schema)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A count vector in two bytes a group, or four if a count needs them."""
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+def _packed(shingles: np.ndarray) -> bytes:
+    """A set's count vector: bytes a count, then the counts by group.
+
+    The groups are the shingles' low bits, a power of two of them, so a longer
+    vector folds into a shorter one.
+    """
+    groups = min(max(GROUPS, 1 << (len(shingles) // 2).bit_length()), MOST)
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    """Count vectors as rows."""
-    raw = column.to_pylist()
-    if all(len(x) == 2 * GROUPS for x in raw):
-        return np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), GROUPS).astype(np.int64)
-    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw], np.int64)
+def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector.reshape(-1, groups).sum(axis=0)
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, like: "Likeness") -> bool:
+    """Whether the summed minima of two count vectors, at the groups of the shorter, reach the overlap of alike sets."""
+    groups = min(len(x), len(y))
+    return np.minimum(_folded(x, groups), _folded(y, groups)).sum() >= like.overlap(x.sum(), y.sum())
 
 
 # ---------------------------------------------------------------- first round: hubs
@@ -231,10 +244,8 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if batch.num_rows:
-                x, y = _points(batch.column("vec_a")), _points(batch.column("vec_b"))
-                near = np.minimum(x, y).sum(axis=1) >= like.overlap(x.sum(axis=1), y.sum(axis=1))
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+            near = [_may_be_alike(_vector(x), _vector(y), like) for x, y in zip(batch.column("vec_a").to_pylist(), batch.column("vec_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(batches, "a long, b long")
 
@@ -278,13 +289,17 @@ class RTree:
         return rows[np.minimum(self.points[rows], point).sum(axis=1) >= least[rows]]
 
 
-def _candidates(cls: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray, points: np.ndarray,
+def _candidates(cls: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray, vectors: list[np.ndarray],
                 like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the rows of one place that may be alike and are of different components.
 
+    The tree's points are the count vectors folded to GROUPS; what it finds is
+    bounded once more by the vectors themselves.
+
     Both rows hold the place's key, at ``pos`` in their order.  With two blocks in
     a place (``side`` 0 and 1) only pairs across them count.
     """
+    points = np.array([_folded(v, GROUPS) for v in vectors])
     tree = RTree(points) if len(cls) > 2 * LEAF else None
     two = side.any() and not side.all()
     a, b = [], []
@@ -300,6 +315,7 @@ def _candidates(cls: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarr
         first = np.where((n[rows] < n[i]) | (n[rows] == n[i]) & (cls[rows] < cls[i]), pos[rows] < short[rows], pos[i] < short[i])
         enough = np.minimum(n[rows] - pos[rows], n[i] - pos[i]) + np.minimum(pos[rows], pos[i]) >= least[rows]
         rows = rows[first & enough]
+        rows = rows[[_may_be_alike(vectors[i], vectors[j], like) for j in rows]] if len(rows) else rows
         a += [cls[i]] * len(rows)
         b += cls[rows].tolist()
     return np.array(a, np.int64), np.array(b, np.int64)
@@ -332,7 +348,7 @@ def _few(rows: DataFrame, like: Likeness) -> DataFrame:
                     run = []
                 run.append(row)
             yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
-            if len(seen) > 1_000_000:  # only spares rows, so it may be forgotten
+            if len(seen) > 200_000:  # only spares rows, so it may be forgotten
                 seen = set()
         out = list(pairs(run, seen))
         yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
@@ -361,16 +377,16 @@ def _across(rows: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
         held, at = [], None
 
         def place() -> tuple[np.ndarray, np.ndarray]:
-            columns = [np.concatenate([h[c] for h in held]) for c in range(len(names) + 1)]
+            columns = [np.concatenate([h[c] for h in held]) for c in range(len(names))]
             if len(columns[0]) < 2 or (columns[1] == columns[1][0]).all():
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return _candidates(*columns, like)
+            return _candidates(*columns, [_vector(x) for h in held for x in h[-1]], like)
 
         for batch in it:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            columns = [*(batch.column(c).to_numpy() for c in names), _points(batch.column("vec"))]
+            columns = [*(batch.column(c).to_numpy() for c in names), batch.column("vec").to_pylist()]
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             a, b = [], []
             for s, e in zip(starts, starts[1:]):

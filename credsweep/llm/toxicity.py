@@ -282,7 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         pairs = [(words_of(t.as_py()), y.as_py()) for b in it for t, y in zip(b.column("text"), b.column("y"))]
         yield pa.RecordBatch.from_arrays([pa.array([fit(pairs).dump()], pa.binary())], ["model"])
 
-    return rows.mapInArrow(batches, "model binary").first()[0]
+    made = rows.mapInArrow(batches, "model binary").first()
+    return made[0] if made else fit([]).dump()
 
 
 _scorers: dict[int, Scorer] = {}
