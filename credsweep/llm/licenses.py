@@ -138,16 +138,17 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, contained: float =
         return spark.createDataFrame([], schema)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", shingles(F.col("w")).alias("s"))
-    rows = rows.select("doc_id", "s", F.array_intersect("s", longs(set().union(*by_length.values()))).alias("common")).where(F.size("common") > 0)
+    rows = rows.select("doc_id", "s", F.array_intersect("s", longs(set().union(*by_length.values()))).alias("common"))
     kinds = F.array(*[F.struct(F.lit(n).alias("length"), F.lit(max(1, n // 4)).alias("step"), longs(parts).alias("own")) for n, parts in sorted(by_length.items())])
-    rows = rows.withColumn("kind", F.explode(kinds)).select(
+    # an outer explode and a test of what it gives: a filter on an array would move down and compute the shingles again
+    rows = rows.withColumn("kind", F.explode_outer(F.when(F.size("common") > 0, kinds))).where(F.col("kind").isNotNull()).select(
         "doc_id", "s", "kind.length", "kind.step", (F.col("kind.length") - SIZE + 1 + F.col("kind.step")).alias("width"),
         F.array_intersect("common", "kind.own").alias("common")).where(F.size("common") > 0)
     # windows begin at multiples of the step; those that hold a template's shingle
     hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains("common", F.get("s", i)))
     first = lambda p: F.greatest(F.ceil((p - F.col("width") + 1) / F.col("step")), F.lit(0)).cast("int")
     begins = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(first(p), F.floor(p / F.col("step")).cast("int")))))
-    windows = rows.withColumn("n", F.explode(begins)).select(
+    windows = rows.withColumn("n", F.explode_outer(begins)).where(F.col("n").isNotNull()).select(
         "doc_id", "length", (F.col("n") * F.col("step")).cast("int").alias("begin"), F.expr("slice(s, cast(n * step + 1 as int), width)").alias("window"))
     banded = windows.select("*", F.posexplode(band_hashes(F.col("window"))).alias("band", "hash"))
     table = known.select("license", "template", "length", "parts", F.posexplode("bands").alias("band", "hash"))
