@@ -28,6 +28,7 @@ def test_scan_properties(spark):
     g = scan(docs)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert f.exceptAll(g).count() == 0 and g.exceptAll(f).count() == 0
+    f.unpersist()
 
 
 def test_plan_shape(spark):
@@ -43,4 +44,4 @@ def test_stages_prune(spark):
     plan = registry.QUERIES["D1_decode_base64"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "jdbc" not in plan and "AKIA[0-9A-Z]" not in plan
     plan = registry.QUERIES["X7_first_per_line_rule"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    assert "unhex" not in plan
+    assert "json_extract" not in plan
