@@ -29,7 +29,7 @@ from credsweep.llm.common import read, small_batches
 #: Marks a word's end inside the automaton, where the vocabulary has its end-of-word suffix.
 END = "\ue000"
 #: Words longer than this aren't remembered; so many words and pairs are before the memory is emptied.
-LONGEST_KEPT, MOST_KEPT = 64, 300_000
+LONGEST_KEPT, MOST_KEPT = 64, 150_000
 #: In place of a prefix's last token: the empty prefix, and no encoding found.
 START, NONE = -1, -2
 WHITE = r"\t-\r "

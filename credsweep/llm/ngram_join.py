@@ -348,7 +348,7 @@ def _few(rows: DataFrame, like: Likeness) -> DataFrame:
                     run = []
                 run.append(row)
             yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
-            if len(seen) > 200_000:  # only spares rows, so it may be forgotten
+            if len(seen) > 50_000:  # only spares rows, so it may be forgotten
                 seen = set()
         out = list(pairs(run, seen))
         yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])

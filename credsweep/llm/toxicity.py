@@ -31,8 +31,8 @@ LEAST_DOCS = 3
 RATE, NEGATIVES = 0.05, 3
 #: Training goes on for about this many steps, within these numbers of epochs.
 STEPS, EPOCHS = 20_000, (3, 30)
-#: Words of a text that are convolved at a time, and words that a worker remembers.
-CHUNK, MOST_KEPT = 50_000, 100_000
+#: Words of a text that are convolved at a time, and words that a task remembers.
+CHUNK, MOST_KEPT = 50_000, 50_000
 WORDS = re.compile(r"[^\W\d_]+")
 #: Function words by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -95,28 +95,44 @@ def _padded(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, np.zeros((max(WIDTHS) - 1 + (len(rows) == 0), *rows.shape[1:]), rows.dtype)])
 
 
-def fit(docs: list[tuple[list[str], int]], seed: int = 7) -> Model:
-    """The classifier on (words, label) pairs; a fifth of them only calibrates the thresholds."""
+class Sample:
+    """Labelled texts as word numbers; the features of each word stand in one table, so a word takes four bytes."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.table: list[list[int]] = []
+        self.texts: list[np.ndarray] = []
+        self.labels: list[int] = []
+        self.languages: list[str] = []
+
+    def add(self, words: list[str], label: int) -> None:
+        for w in words:
+            if w not in self.numbers:
+                self.numbers[w] = len(self.numbers)
+                self.table.append(features(w))
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.labels.append(label)
+        self.languages.append(language(words))
+
+
+def fit(docs: Sample, seed: int = 7) -> Model:
+    """The classifier on labelled texts; a fifth of them only calibrates the thresholds."""
     model = Model(seed)
-    rate = (sum(y for _, y in docs) + 0.5) / (len(docs) + 2)  # without any label a text isn't toxic
+    y = np.array(docs.labels, dtype=int)
+    rate = (y.sum() + 0.5) / (len(y) + 2)  # without any label a text isn't toxic
     model.base[0] = np.log(rate / (1 - rate))
     rng = np.random.default_rng(seed)
-    known: dict[str, list[int]] = {}
-    ids = []
-    for words, _ in docs:
-        for w in words:
-            if w not in known:
-                known[w] = features(w)
-        ids.append(np.array([known[w] for w in words], dtype=np.int32).reshape(-1, 1 + len(STEMS)))
+    docs.numbers = {}
+    table = np.array(docs.table, dtype=np.int32).reshape(-1, 1 + len(STEMS))
+    docs.table = []
     counts = np.zeros(BUCKETS, int)
-    for x in ids:
-        counts[np.unique(x)] += 1
+    for x in docs.texts:
+        counts[np.unique(table[np.unique(x)])] += 1
     model.emb[counts < LEAST_DOCS] = 0
     common = counts >= LEAST_DOCS
     common[0] = False
-    ids = [np.where(common[x], x, 0) for x in ids]
-    y = np.array([y for _, y in docs])
-    fold = rng.permutation(len(docs)) % 5
+    table = np.where(common[table], table, 0)
+    fold = rng.permutation(len(y)) % 5
     positive, negative = np.flatnonzero((y == 1) & (fold > 0)), np.flatnonzero((y == 0) & (fold > 0))
     if not len(positive) or not len(negative):
         model.emb[:] = 0
@@ -130,8 +146,8 @@ def fit(docs: list[tuple[list[str], int]], seed: int = 7) -> Model:
     for epoch in range(epochs):
         some = rng.permutation(negative)[:each]
         for i in rng.permutation(np.concatenate([positive, some])):
-            _step(model, _padded(ids[i]), int(y[i]), RATE * (1 - epoch / epochs) + 0.005, square, square_bias, square_dense, square_base)
-    _calibrate(model, [(docs[i][0], _logit_of(model, ids[i]), int(y[i])) for i in np.flatnonzero(fold == 0)])
+            _step(model, _padded(table[docs.texts[i]]), int(y[i]), RATE * (1 - epoch / epochs) + 0.005, square, square_bias, square_dense, square_base)
+    _calibrate(model, [(docs.languages[i], _logit_of(model, table[docs.texts[i]]), int(y[i])) for i in np.flatnonzero(fold == 0)])
     return model
 
 
@@ -185,7 +201,7 @@ def _step(model: Model, x: np.ndarray, y: int, rate: float, square: list, square
         model.emb[flat] -= rate * total / np.sqrt(square[0][flat])
 
 
-def _calibrate(model: Model, held: list[tuple[list[str], float, int]]) -> None:
+def _calibrate(model: Model, held: list[tuple[str, float, int]]) -> None:
     """The logit that best parts the classes (F1), over all languages and for each that has enough of either class."""
     def cut(pairs: list[tuple[float, int]]) -> float | None:
         pairs = sorted(pairs, reverse=True)
@@ -202,8 +218,8 @@ def _calibrate(model: Model, held: list[tuple[list[str], float, int]]) -> None:
 
     model.cuts = {"": cut([(z, y) for _, z, y in held]) or 0.0}
     groups: dict[str, list[tuple[float, int]]] = {}
-    for words, z, y in held:
-        groups.setdefault(language(words), []).append((z, y))
+    for name, z, y in held:
+        groups.setdefault(name, []).append((z, y))
     for name, pairs in groups.items():
         found = cut(pairs)
         if name and found is not None:
@@ -279,23 +295,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = small_batches(rows).repartition(1).sortWithinPartitions(F.xxhash64("id__"), "id__", F.xxhash64("text")).select("text", "y")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [(words_of(t.as_py()), y.as_py()) for b in it for t, y in zip(b.column("text"), b.column("y"))]
-        yield pa.RecordBatch.from_arrays([pa.array([fit(pairs).dump()], pa.binary())], ["model"])
+        rows = Sample()
+        for b in it:
+            for t, y in zip(b.column("text"), b.column("y")):
+                rows.add(words_of(t.as_py()), y.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows).dump()], pa.binary())], ["model"])
 
     made = rows.mapInArrow(batches, "model binary").first()
-    return made[0] if made else fit([]).dump()
-
-
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(raw: bytes) -> Scorer:
-    """One scorer a worker process and model."""
-    key = zlib.crc32(raw)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(Model.load(raw))
-    return _scorers[key]
+    return made[0] if made else fit(Sample()).dump()
 
 
 def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -304,7 +311,7 @@ def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), te
     rows = small_batches(docs.select(*keep, docs[text_col].alias("text__")))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent.value)
+        scorer = Scorer(Model.load(sent.value))
         for batch in it:
             scores = [scorer.score(t.as_py()) for t in batch.column("text__")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
@@ -317,7 +324,7 @@ def without_toxic(docs: DataFrame, model: bytes, text_col: str = "text") -> Data
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent.value)
+        scorer = Scorer(Model.load(sent.value))
         for batch in it:
             yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(text_col)], pa.bool_()))
 
