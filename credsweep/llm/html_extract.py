@@ -6,7 +6,8 @@ met with it.  The ratios along the page are smoothed by a Gaussian, and the line
 above a threshold (the standard deviation) cluster into content.  The clusters
 say which element of the page is the article; all of its blocks are kept, short
 ones too, but for the parts whose element or class names tell menus, notices,
-adverts, forms or reader comments.
+adverts, forms or reader comments.  Class names and forms only vote: an element
+that holds most of the clusters' text stays, unless the article is elsewhere.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
     "span strike strong sub sup td th time tt u var wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select option textarea input "
+    "script style noscript template head title nav header footer aside button select option textarea input "
     "iframe object embed svg canvas audio video menu dialog".split())
 ARTICLE = frozenset(("article", "main"))
 KEPT = frozenset(("html", "body", "main"))
@@ -49,6 +50,12 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's attributes keep it from being shown."""
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" or
+               name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I) for name, value in attrs)
+
+
 def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     """Whether an element's attributes name a part outside the article."""
     for name, value in attrs:
@@ -57,11 +64,7 @@ def is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
                 words = SPLIT.split(CAMEL.sub("-", token).lower())
                 if words[0] not in PROPERTY and not BOILERPLATE.isdisjoint(words):
                     return True
-        elif name == "role" and (value or "").strip().lower() in ROLES or name == "hidden":
-            return True
-        elif name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
+        elif name == "role" and (value or "").strip().lower() in ROLES:
             return True
     return False
 
@@ -72,6 +75,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag = [0], ["html"]
+        self.named = [False]  # by an element: whether its class, id or role, or being a form, speaks against it
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, dropped
         self.links = 0  # open <a>
         self.lines: list[tuple[str, int, bool, int, int]] = []  # text, element, dropped, tags, characters in links
@@ -95,7 +99,7 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag == "a":
             self.links += 1
-        if tag in INLINE and not (attrs and tag != "a" and is_boilerplate(attrs)):
+        if tag in INLINE and not (attrs and tag != "a" and (is_hidden(attrs) or is_boilerplate(attrs))):
             if tag in ("br", "td", "th", "img"):
                 self._text.append(" ")
             return
@@ -114,7 +118,8 @@ class Lines(HTMLParser):
                 break
         self.parent.append(self.open[-1][1])
         self.tag.append(tag)
-        dropped = self.open[-1][2] or tag in DROPPED or tag not in KEPT and is_boilerplate(attrs)
+        self.named.append(tag == "form" or tag not in KEPT and is_boilerplate(attrs))
+        dropped = self.open[-1][2] or tag in DROPPED or tag not in KEPT and is_hidden(attrs)
         if tag == "main":  # a wrapper's class doesn't hide the main part
             dropped = any(name in DROPPED for name, _, _ in self.open)
         self.open.append((tag, len(self.tag) - 1, dropped))
@@ -180,6 +185,53 @@ def _root(page: Lines, seeds: np.ndarray, kept: np.ndarray, length: np.ndarray)
     return best
 
 
+def by_name(page: Lines, seeds: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each element, whether it goes because of a name that it or one around it has.
+
+    A named element stays if it holds more than half of the clusters' text, no
+    <article> or <main> outside it has some, and what stays outside has less than
+    a quarter of its text.  If only named elements hold text, all of them stay.
+    """
+    n = len(page.tag)
+    element = np.array([x[1] for x in page.lines])
+    own = np.bincount(element, weights=length * seeds, minlength=n)
+    mass = own.copy()
+    for e in range(n - 1, 0, -1):
+        mass[page.parent[e]] += mass[e]
+    # elements with most of the text lie in one another; depth counts those around an element, -1: another named one is
+    chain: list[int] = []
+    depth = [0] * n
+    for e in range(1, n):
+        up = depth[page.parent[e]]
+        if page.tag[e] == "main":  # a wrapper's name doesn't hide the main part
+            up = max(up, 0)
+        if page.named[e] and up >= 0:
+            if 2 * mass[e] > mass[0]:
+                chain.append(e)
+                up = len(chain)
+            else:
+                up = -1
+        depth[e] = up
+    outside = np.zeros(len(chain) + 1)  # clusters' text by depth
+    for e in range(n):
+        if depth[e] >= 0:
+            outside[depth[e]] += own[e]
+    around = set()
+    e = chain[-1] if chain else 0
+    while e:
+        around.add(e)
+        e = page.parent[e]
+    articles = [depth[e] for e in range(n) if page.tag[e] in ARTICLE and depth[e] >= 0 and mass[e] > 0 and e not in around]
+    stay = 0
+    for k in range(len(chain)):
+        if 4 * outside[:k + 1].sum() >= mass[chain[k]] or any(d <= k for d in articles):
+            break
+        stay = k + 1
+    gone = np.array([not 0 <= d <= stay for d in depth])
+    has_text = np.bincount(element[[not x[2] for x in page.lines]], minlength=n) > 0
+    return gone if (has_text & ~gone).any() else np.zeros(n, dtype=bool)
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's text, one line a block; empty if there is none."""
     if not html:
@@ -195,6 +247,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     length = np.array([len(x[0]) for x in page.lines], dtype=float)
     ratios = smoothed(length / np.maximum(1, [x[3] for x in page.lines]), sigma)
+    kept &= ~by_name(page, kept & (ratios >= min(ratios.std(), ratios[kept].max())), length)[[x[1] for x in page.lines]]
     seeds = kept & (ratios >= min(ratios.std(), ratios[kept].max()))
     root = _root(page, seeds, kept, length)
     inside = np.zeros(len(page.tag), dtype=bool)

@@ -24,6 +24,23 @@ def test_without_article_element():
     assert lines[0] == "Title here" and len(lines) == 3 and "Home" not in lines[0]
 
 
+def test_names_only_vote():
+    paragraphs = ["Long text of the page. " * 10, "More text of the page. " * 10]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    expected = "\n".join(p.strip() for p in paragraphs)
+    for around in ("div id='content-sidebar-wrap'", "div class='layout-sidebar-right'", "div class='post-with-comments'", "form action='/'"):
+        tag = around.split()[0]
+        assert main_text(f"<body><{around}><div>{body}</div></{tag}><div class='footer-links'>imprint</div></body>") == expected, around
+        assert main_text(f"<body><{around}><main>{body}</main></{tag}></body>") == expected, around
+        assert main_text(f"<body><{around}><article>{body}</article><div id='comments'><p>Reader says so.</p></div></{tag}></body>") == expected, around
+    # what a name rightly drops stays dropped, also if it is longer than the article
+    comments = "<p>A reader wrote a long reply. And another one did so, too.</p>" * 40
+    assert main_text(f"<body><article>{body}</article><div id='comments'>{comments}</div></body>") == expected
+    # names on everything that has text: none of them counts
+    halves = f"<div class='sidebar-left'><p>{paragraphs[0]}</p></div><div class='sidebar-right'><p>{paragraphs[0]}</p></div>"
+    assert main_text(f"<body>{halves}</body>") == "\n".join([paragraphs[0].strip()] * 2)
+
+
 def test_unclosed_and_broken():
     assert main_text("<article><p>one<p>two <b>three") == "one\ntwo three"
     assert main_text("plain text") == "plain text"
