@@ -259,8 +259,8 @@ class Scorer:
             if new:
                 self._learn(set(part) if len(self.rows) + len(new) > MOST_KEPT else new)
             ids = np.fromiter(map(self.rows.__getitem__, part), np.int32, len(part))
-            ids = _padded(ids) if a + CHUNK >= len(words) else ids
-            n = len(ids) - max(WIDTHS) + 1
+            ids = _padded(ids) if a + len(part) == len(words) else ids
+            n = min(CHUNK, len(ids) - max(WIDTHS) + 1)  # windows that start in this chunk
             column = 0
             for k, w in enumerate(WIDTHS):
                 z = self.made[ids[:n], column:column + FILTERS]

@@ -66,6 +66,18 @@ def test_long_texts_in_chunks_and_bounded_memory(trained, monkeypatch):
     assert tox.Scorer(model).score(text) == pytest.approx(whole, abs=1e-6)
 
 
+def test_the_last_word_of_every_chunk_is_scored(trained, monkeypatch):
+    model = tox.Model.load(trained[3])
+    for n in (1, 6, 7, 8, 9, 10, 14, 15, 16, 22):
+        words = [f"word{i}" for i in range(n)]
+        for at in {min(6, n - 1), min(13, n - 1), n - 1}:
+            text = " ".join(words[:at] + ["vilest"] + words[at + 1:])
+            monkeypatch.setattr(tox, "CHUNK", 50_000)
+            whole = tox.Scorer(model).score(text)
+            monkeypatch.setattr(tox, "CHUNK", 7)
+            assert tox.Scorer(model).score(text) == pytest.approx(whole, abs=1e-6), (n, at)
+
+
 def test_tricky(spark, trained, tricky, tricky_rows, empty):
     model = trained[3]
     out = tox.score(tricky, model).collect()
