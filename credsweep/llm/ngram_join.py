@@ -1,81 +1,51 @@
 """N-gram Jaccard join by count vectors and R-trees.
 
-A text's set are its distinct word shingles, as 64-bit hashes.  Candidates meet
-under keys: with the shingles in one global order, rare ones first, two sets that
-are alike enough share one of the first few.  The shingles of a set are also
-hashed into groups, and the group counts are a point.  Where many sets meet under
-a key, their points stand in an R-tree; the overlap of two sets, or of a set and
-all sets under a node, is at most the sum of the coordinate minima, so subtrees
-fall away.  Pairs that survive are verified on the shingles themselves.
-
-No pairs are made within groups of copies.  Equal sets are one class.  A first
-round links each set to a hub of its key only, which joins most near copies; in
-a second round sets meet again only where a key holds more than one component,
-and only pairs across components are looked at.  Every pair of different sets
-that are alike is therefore verified or already in one component.
+A text's set are its distinct word shingles, as 64-bit hashes.  Sets meet under
+keys: with the shingles in one global order, rare ones first, two sets that are
+alike enough share one of the first few.  Sets that meet so, directly or by
+others, are sent to one place once each (``linking``).  There the shingles of a
+set are hashed into groups, and the group counts are a point in an R-tree; the
+overlap of two sets, or of a set and all sets under a node, is at most the sum of
+the coordinate minima, so subtrees fall away.  Pairs that survive are verified on
+the shingles themselves.
+
+No pairs are made within groups of copies.  Equal sets are one class, pairs that
+are in one component by then are passed over, and only links leave a place.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from credsweep.llm import linking
 from credsweep.llm.common import read, small_batches, written
-from credsweep.llm.components import components
-from credsweep.llm.shingles import set_hash, shingle_sets
+from credsweep.llm.linking import Likeness
+from credsweep.llm.shingles import shingle_sets
 
-#: Hash groups of a point in an R-tree; a count vector has more for a large set, some two shingles a group, up to MOST.
-GROUPS, MOST = 64, 1 << 14
+#: Hash groups of a point: some two shingles of a usual set of the place a group, between these.
+FEWEST, MOST = 16, 1024
 #: The sketch of shingle frequencies: 2^22 counters, in slots of this many.
 SKETCH_BITS, SLOT = 22, 8192
-#: Sets of one key that meet in one place; more are dealt over several: in the first round, in the R-trees.
-PART, BLOCK = 8192, 512
-#: Sets of one key that are compared without a tree.
-FEW = 32
-#: Buckets of document ids by which the texts of few documents are picked before they are shuffled.
-PICKS = 1 << 20
 #: Sets under a leaf of an R-tree, and children of an inner node.
 LEAF = 16
 
 
-class Likeness:
-    """100 |A ∩ B| >= percent |A ∪ B|, and what follows from it."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-
-    def overlap(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """The least intersection of alike sets of n and m shingles."""
-        return -(-(n + m) * self.percent // (100 + self.percent))
-
-    def prefix(self, n: int) -> int:
-        """So many first shingles of a set hold one of any alike set's first ones."""
-        return n - -(-n * self.percent // 100) + 1
-
-    def index_prefix(self, n: int) -> int:
-        """So many do if the other set is no smaller."""
-        return n - -(-2 * n * self.percent // (100 + self.percent)) + 1
-
-
 # ---------------------------------------------------------------- frequencies
 
 
-def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def frequency_levels(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
     """For each of 2^22 hash buckets how far its shingles' frequency stands above the mean, 0 for the most.
 
-    Second, for each of these levels, log2 of the parts over which the rows of
-    such a shingle are dealt.
-
     Counts cover all shingles.  They only order the shingles, so that texts don't
     meet under a passage that very many share; any order gives the same links.
-    Each task adds up its own counters, which then meet slot by slot; the result
-    is 4 MB whatever the table's size.
+    Each task adds up its own counters, which then meet slot by slot; levels of
+    one byte come to the driver, 4 MB whatever the table's size.
     """
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -84,177 +54,43 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndar
                 np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         slots = total.reshape(-1, SLOT)
         used = np.flatnonzero(slots.any(axis=1))
-        yield _slot_rows(used, slots[used])
+        yield _slot_rows(used, slots[used], slots[used].sum(axis=1, dtype=np.int64))
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in it:
             for slot, raw in zip(batch.column("slot").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(raw, np.int32).astype(np.int64)
+                x = np.frombuffer(raw, np.int32 if len(raw) == 4 * SLOT else np.int64).astype(np.int64)
                 total[slot] = total[slot] + x if slot in total else x
-        yield _slot_rows(np.array(list(total), int), list(total.values()), np.int64)
-
-    rows = small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(count, "slot int, counts binary") \
-        .repartition("slot").mapInArrow(add, "slot int, counts binary").toArrow()
-    total = np.zeros((1 << SKETCH_BITS) // SLOT * SLOT, np.int64).reshape(-1, SLOT)
-    for slot, raw in zip(rows.column("slot").to_pylist(), rows.column("counts").to_pylist()):
-        total[slot] = np.frombuffer(raw, np.int64)
-    usual = total.mean() + 4 * math.sqrt(total.mean()) + 4
-    levels = np.clip(np.rint(2 * np.log2(np.maximum(total.ravel() / usual, 1))), 0, 120).astype(np.int8)
-    return levels, np.array([max(0, math.ceil(math.log2(usual * 2 ** (lv / 2) / PART))) if lv else 0 for lv in range(int(levels.max()) + 1)], np.int8)
-
-
-def _slot_rows(slots: np.ndarray, counts, kind=np.int32) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([np.asarray(c).astype(kind).tobytes() for c in counts], pa.binary())], ["slot", "counts"])
-
-
-# ---------------------------------------------------------------- sets
+        yield _slot_rows(np.array(list(total), int), list(total.values()), [int(x.sum()) for x in total.values()])
 
+    kind = "slot int, counts binary, total long"
+    sums = written(small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(count, kind).repartition("slot").mapInArrow(add, kind), "counts")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+    usual = mean + 4 * math.sqrt(mean) + 4
 
-def _described(docs: DataFrame, size: int, like: Likeness, levels, id_col: str, text_col: str) -> DataFrame:
-    """One row a text: id, hash of the text, class (hash of its set), set size, count vector, first shingles in order and their parts.
-
-    A set that a task has met before gives no vector and keys again.
-    """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("text_hash", "long").add("cls", "long").add("n", "integer") \
-        .add("vec", "binary").add("keys", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.ByteType()))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (level, parts_of), met = levels.value, set()
+    def levels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cls, n, vec, keys, parts = [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), size):
-                c = set_hash(s)
-                cls.append(c)
-                n.append(len(s))
-                if c in met or not len(s):
-                    vec.append(None)
-                    keys.append([])
-                    parts.append([])
-                    continue
-                met.add(c)
-                vec.append(_packed(s))
-                lv = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.argsort(lv, kind="stable")[:like.prefix(len(s))]
-                keys.append(s[first].view(np.int64))
-                parts.append(parts_of[lv[first]])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(vec, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int8()))], schema.names)
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(batches, schema)
-
-
-def _packed(shingles: np.ndarray) -> bytes:
-    """A set's count vector: bytes a count, then the counts by group.
-
-    The groups are the shingles' low bits, a power of two of them, so a longer
-    vector folds into a shorter one.
-    """
-    groups = min(max(GROUPS, 1 << (len(shingles) // 2).bit_length()), MOST)
-    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
-
-
-def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
-
-
-def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector.reshape(-1, groups).sum(axis=0)
-
-
-def _may_be_alike(x: np.ndarray, y: np.ndarray, like: "Likeness") -> bool:
-    """Whether the summed minima of two count vectors, at the groups of the shorter, reach the overlap of alike sets."""
-    groups = min(len(x), len(y))
-    return np.minimum(_folded(x, groups), _folded(y, groups)).sum() >= like.overlap(x.sum(), y.sum())
-
+            found = [np.rint(2 * np.log2(np.maximum(np.frombuffer(raw, np.int64) / usual, 1))) for raw in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([np.clip(x, 0, 120).astype(np.int8).tobytes() for x in found], pa.binary())], ["slot", "levels"])
 
-# ---------------------------------------------------------------- first round: hubs
+    rows = sums.mapInArrow(levels, "slot int, levels binary").toArrow()
+    out = np.zeros(((1 << SKETCH_BITS) // SLOT, SLOT), np.int8)
+    for slot, raw in zip(rows.column("slot").to_pylist(), rows.column("levels")):
+        out[slot] = np.frombuffer(raw.as_buffer(), np.int8)
+    return out.ravel()
 
-#: Either a pair or a row of a key, packed as ``_packed_keys`` does.
-HUB_ROWS = "a long, b long, key long, cls long, meta long"
 
+def _slot_rows(slots, counts, totals) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([np.ascontiguousarray(c).tobytes() for c in counts], pa.binary()), pa.array(totals, pa.int64())],
+                                      ["slot", "counts", "total"])
 
-def _packed_keys(sets: DataFrame) -> DataFrame:
-    """``key, cls, meta`` of every set: meta holds the set's size, the key's place in its order and log2 of its parts."""
-    x = F.posexplode(F.arrays_zip("keys", "parts")).alias("pos", "x")
-    return sets.select("cls", "n", x).select(
-        F.col("x.keys").alias("key"), "cls",
-        F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 5)).bitwiseOR(F.col("x.parts").cast("long")).alias("meta"))
 
-
-def _unpacked(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, places and log2 of parts."""
-    return meta >> 32, meta >> 5 & 0x7FFFFFF, meta & 31
-
-
-def _hubs(rows: DataFrame, like: Likeness) -> DataFrame:
-    """A pair with the hub for each set of a key, and the rows of keys that several sets share.
-
-    Rows stream by key, part, size and class; the hub is the run's first set that
-    is not too small for the one at hand.  The rows of a key that is dealt over
-    parts are all handed on.
-    """
-    part = F.expr("pmod(cls, shiftleft(1L, cast(meta & 31 AS int)))")
-    dealt = rows.select("key", "cls", "meta").repartition("key", part).sortWithinPartitions("key", part, F.shiftright("meta", 32), "cls")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the open run: its key and part, the hub's size and class, the first row and whether that was handed on
-        for batch in it:
-            key, cls, meta = (batch.column(c).to_numpy() for c in ("key", "cls", "meta"))
-            size, _, log = _unpacked(meta)
-            part = np.mod(cls, np.left_shift(1, log))
-            # most runs are one row: they are passed over unless a batch's edge cuts them
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-            same[-1] = True
-            same[0] = held is not None and held[0] == (key[0], part[0]) if len(key) else False
-            rows, a, b = [], [], []
-            for i in np.flatnonzero(same[:-1] | same[1:] | (log > 0)).tolist():
-                at = key[i], part[i]
-                if held is None or held[0] != at:
-                    held = [at, (size[i], cls[i]), (key[i], cls[i], meta[i]), log[i] > 0]
-                    if held[3]:
-                        rows.append(held[2])
-                    continue
-                if cls[i] == held[2][1] or cls[i] == held[1][1]:
-                    continue
-                if not held[3]:
-                    rows.append(held[2])
-                    held[3] = True
-                rows.append((key[i], cls[i], meta[i]))
-                if held[1][0] * 100 < like.percent * size[i]:
-                    held[1] = size[i], cls[i]
-                else:
-                    a.append(held[1][1])
-                    b.append(cls[i])
-            columns = [[*a, *[None] * len(rows)], [*b, *[None] * len(rows)], *([*[None] * len(a), *(r[j] for r in rows)] for j in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key", "cls", "meta"])
-
-    return dealt.mapInArrow(batches, HUB_ROWS)
-
-
-def _bounded(pairs: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs whose count vectors leave an overlap that is large enough."""
-    both = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("vec_a")), "a") \
-        .join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vec_b")), "b").select("a", "b", "vec_a", "vec_b")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            near = [_may_be_alike(_vector(x), _vector(y), like) for x, y in zip(batch.column("vec_a").to_pylist(), batch.column("vec_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return both.mapInArrow(batches, "a long, b long")
-
-
-# ---------------------------------------------------------------- second round: R-trees
+# ---------------------------------------------------------------- R-trees
 
 
 class RTree:
-    """Points packed into leaves by the order of their sizes and widest coordinates; every node has the maxima of its points."""
+    """Points packed into leaves by the order of their widest coordinates; every node has the maxima of its points."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
@@ -289,163 +125,30 @@ class RTree:
         return rows[np.minimum(self.points[rows], point).sum(axis=1) >= least[rows]]
 
 
-def _candidates(cls: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray, vectors: list[np.ndarray],
-                like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the rows of one place that may be alike and are of different components.
+def count_vectors(n: np.ndarray, shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The sets of a place as points: how many of a set's shingles fall into each group, by their low bits."""
+    groups = min(max(FEWEST, 1 << (int(np.median(n)) // 2).bit_length()), MOST)
+    at = owner * groups + (shingles & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(n) * groups).reshape(len(n), groups).astype(np.int32)
 
-    The tree's points are the count vectors folded to GROUPS; what it finds is
-    bounded once more by the vectors themselves.
 
-    Both rows hold the place's key, at ``pos`` in their order.  With two blocks in
-    a place (``side`` 0 and 1) only pairs across them count.
-    """
-    points = np.array([_folded(v, GROUPS) for v in vectors])
-    tree = RTree(points) if len(cls) > 2 * LEAF else None
-    two = side.any() and not side.all()
-    a, b = [], []
-    short = np.array([like.index_prefix(int(x)) for x in n])
-    for i in range(len(cls)):
-        least = like.overlap(n, n[i])
-        rows = tree.query(points[i], least, int(like.overlap(n.min(), n[i]))) if tree else \
-            np.flatnonzero(np.minimum(points, points[i]).sum(axis=1) >= least)
-        rows = rows[(cls[rows] > cls[i]) & (label[rows] != label[i])]
-        if two:
-            rows = rows[side[rows] != side[i]]
-        # the smaller set must hold the key among its first few, and what stands after the key must suffice
-        first = np.where((n[rows] < n[i]) | (n[rows] == n[i]) & (cls[rows] < cls[i]), pos[rows] < short[rows], pos[i] < short[i])
-        enough = np.minimum(n[rows] - pos[rows], n[i] - pos[i]) + np.minimum(pos[rows], pos[i]) >= least[rows]
-        rows = rows[first & enough]
-        rows = rows[[_may_be_alike(vectors[i], vectors[j], like) for j in rows]] if len(rows) else rows
-        a += [cls[i]] * len(rows)
-        b += cls[rows].tolist()
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def _few(rows: DataFrame, like: Likeness) -> DataFrame:
-    """Candidate pairs across components among rows ``key, cls, n, pos, label`` of keys with at most FEW sets: no tree is needed there."""
-    dealt = rows.select("key", "cls", "n", "pos", "label").repartition("key").sortWithinPartitions("key", "n", "cls")
-
-    def pairs(run: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
-        # by size: the first of a pair is the smaller set and must hold the key among its first few
-        for i, (_, c, n, pos, label) in enumerate(run):
-            if pos < like.index_prefix(n):
-                for _, d, m, place, other in run[i + 1:]:
-                    if 100 * n < like.percent * m:
-                        break
-                    if label != other and c != d and min(n - pos, m - place) + min(pos, place) >= -(-(n + m) * like.percent // (100 + like.percent)):
-                        pair = (c, d) if c < d else (d, c)
-                        if pair not in seen:
-                            seen.add(pair)
-                            yield pair
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, seen = [], set()
-        for batch in it:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "n", "pos", "label"))):
-                if run and run[0][0] != row[0]:
-                    out += pairs(run, seen)
-                    run = []
-                run.append(row)
-            yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
-            if len(seen) > 50_000:  # only spares rows, so it may be forgotten
-                seen = set()
-        out = list(pairs(run, seen))
-        yield _pair_rows([np.array([p[0] for p in out], np.int64)], [np.array([p[1] for p in out], np.int64)])
-
-    return dealt.mapInArrow(batches, "a long, b long")
-
-
-def _across(rows: DataFrame, vectors: DataFrame, like: Likeness) -> DataFrame:
-    """Candidate pairs across components among rows ``key, cls, n, pos, label``.
-
-    Keys with at most FEW sets need no tree.  A key with more than BLOCK sets is
-    dealt over pairs of blocks, each pair in a place of its own.
-    """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW).select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    sized = rows.join(sizes, "key", "left")
-    few = _bounded(_few(sized.where("blocks IS NULL"), like).distinct(), vectors, like)
-    many = sized.where("blocks IS NOT NULL") \
-        .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-                "cls", "n", "pos", "label")
-    placed = many.join(vectors, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
-    names = ["cls", "label", "n", "pos", "side"]
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-
-        def place() -> tuple[np.ndarray, np.ndarray]:
-            columns = [np.concatenate([h[c] for h in held]) for c in range(len(names))]
-            if len(columns[0]) < 2 or (columns[1] == columns[1][0]).all():
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return _candidates(*columns, [_vector(x) for h in held for x in h[-1]], like)
+def tree_bound(like: Likeness) -> linking.Bound:
+    """Finds the sets of a place whose points leave an overlap with one that is large enough."""
+    def of(n: np.ndarray, shingles: np.ndarray, owner: np.ndarray) -> Callable[[int], np.ndarray]:
+        points = count_vectors(n, shingles, owner)
+        tree = RTree(points)
 
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            columns = [*(batch.column(c).to_numpy() for c in names), batch.column("vec").to_pylist()]
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            a, b = [], []
-            for s, e in zip(starts, starts[1:]):
-                if at is not None and at != tuple(keys[s]):
-                    x, y = place()
-                    a.append(x)
-                    b.append(y)
-                    held = []
-                at = tuple(keys[s])
-                held.append([c[s:e] for c in columns])
-            yield _pair_rows(a, b)
-        if held:
-            x, y = place()
-            yield _pair_rows([x], [y])
-
-    return few.union(placed.mapInArrow(batches, "a long, b long")).distinct()
-
-
-def _pair_rows(a: list, b: list) -> pa.RecordBatch:
-    none = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a]), pa.int64()), pa.array(np.concatenate([none, *b]), pa.int64())], ["a", "b"])
-
-
-# ---------------------------------------------------------------- verification
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, like: Likeness) -> DataFrame:
-    """The pairs of classes whose sets are alike, by their shingles."""
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a") \
-        .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            known: dict[int, np.ndarray] = {}
-            good = []
-            for x, y, tx, ty in zip(a, b, batch.column("text_a"), batch.column("text_b")):
-                for c, t in ((x, tx), (y, ty)):
-                    if c not in known:
-                        known[c] = next(shingle_sets(pa.array([t.as_py()], pa.large_string()), size))
-                sx, sy = known[x], known[y]
-                # a class that was given another text of the same id is passed over; its own row is there too
-                common = len(np.intersect1d(sx, sy, assume_unique=True))
-                good.append(100 * common >= like.percent * (len(sx) + len(sy) - common) and set_hash(sx) == x and set_hash(sy) == y)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(batches, "a long, b long")
-
-
-def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``cls, text`` of the classes in some pairs, from one document of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls") \
-        .select("cls", F.col("one.doc_id").alias("id__"), F.col("one.text_hash").alias("hash__"))
-    # at most PICKS small numbers, whatever the tables' sizes: most other texts are never shuffled
-    pick = lambda c: F.pmod(F.xxhash64(c), F.lit(PICKS))
-    picks = wanted.select(pick("id__").alias("pick")).distinct()
-    rows = docs.select(F.col(id_col).alias("id__d"), F.xxhash64(F.col(text_col)).alias("hash__d"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(picks), pick("id__d") == F.col("pick"), "left_semi")
-    return rows.join(wanted, F.col("id__d").eqNullSafe(F.col("id__")) & (F.col("hash__d") == F.col("hash__"))).select("cls", "text")
+        def near(i: int) -> np.ndarray:
+            # the sets stand by size, so those that are left are no smaller
+            least = like.overlap(n, n[i])
+            return np.sort(tree.query(points[i], least, int(like.overlap(n[i], n[i]))))
+
+        return near
+
+    return of
+
+
+# ---------------------------------------------------------------- the join
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -461,50 +164,13 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     """
     like = Likeness(percent)
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, size, text_col))
-    sets = written(_described(docs, size, like, levels, id_col, text_col), "sets")
-    reps = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("smallest"))
-
-    vectors = sets.where("vec IS NOT NULL").groupBy("cls").agg(F.first("vec").alias("vec"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, _texts(docs, reps, pairs, id_col, text_col), size, like), "linked")
-
-    def hubs(met: DataFrame) -> DataFrame:
-        return written(_bounded(_ordered(met), vectors, like), "pairs")
-
-    met = written(_hubs(_packed_keys(sets), like), "met")
-    done = hubs(met)
-    linked = verified(done)
-    rows = met.where("cls IS NOT NULL").select("key", "cls", "meta")
-    # keys that were dealt over parts: the hubs once more, of one set of each component that such a key holds
-    heads = _labelled(rows.where("(meta & 31) > 0"), components(linked)).groupBy("key", "label").agg(F.min(F.struct("meta", "cls")).alias("x")) \
-        .select("key", "x.cls", F.col("x.meta").bitwiseAND(F.lit(~31)).alias("meta"))
-    again = written(hubs(_hubs(heads, like)).join(done, ["a", "b"], "left_anti"), "pairs")
-    done, linked = done.union(again), linked.union(verified(again))
-
-    # all that is left: pairs across components
-    rows = _labelled(rows, components(linked))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rows = rows.join(mixed, "key").groupBy("key", "cls").agg(F.min("meta").alias("meta"), F.min("label").alias("label")) \
-        .select("key", "cls", F.shiftright("meta", 32).cast("int").alias("n"), F.shiftright("meta", 5).bitwiseAND(F.lit(0x7FFFFFF)).cast("int").alias("pos"), "label")
-    pairs = written(_across(written(rows, "mixed"), vectors, like).join(done, ["a", "b"], "left_anti"), "across")
-    final = components(linked.union(verified(pairs))).withColumnRenamed("node", "cls")
-
-    grouped = reps.join(final, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = grouped.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    named = grouped.join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id")
-    return sets.select("doc_id", "text_hash", "cls", F.col("n").cast("long").alias("n_shingles")).join(named, "cls", "left") \
-        .select("doc_id", "text_hash", "cls", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _ordered(met: DataFrame) -> DataFrame:
-    """The distinct pairs, the smaller class first."""
-    return met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of keys with their components; a set without links is its own."""
-    return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "meta", F.coalesce("label", "cls").alias("label"))
+
+    def keys(s: np.ndarray) -> np.ndarray:
+        order = np.argsort(levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+        return s[order[:like.prefix(len(s))]]
+
+    sets = written(linking.described(docs, size, keys, id_col, text_col), "sets")
+    return linking.classed(docs, sets, size, like, tree_bound(like), id_col, text_col)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

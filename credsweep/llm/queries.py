@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, fingerprints, html_extract, licenses, mixing, neighbours, ngram_join, runs, sharding, token_counts, toxicity
+from credsweep.llm import bpe, collocations, fingerprints, html_extract, licenses, mixing, neighbours, ngram_join, runs, sharding, tensored, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8,
         "op9_toxicity": toxicity.op9,
         "op10_neighbours": neighbours.op10,
+        "op11_minhash": tensored.op11,
+        "op12_collocations": collocations.op12,
         "op13_run_detection": runs.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_collocations": collocations.OP12_SQL}

@@ -208,13 +208,18 @@ def repeating_tail(doc_id: Column, text: Column) -> Column:
     p = 1 + floor((n - a) / (3 + g % 8)).  Null ids and texts stay as they are.
     """
     h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
-    n = F.size(words)
     g = F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(text)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(text)
+
+    # the words are a lambda's variable, so that they aren't cut out anew for each of them
+    one = F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"))), repeated)
+    return F.when((h % 10 == 0) & text.isNotNull(), F.get(one, F.lit(0))).otherwise(text)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:

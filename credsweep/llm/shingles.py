@@ -52,7 +52,7 @@ def word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(np.add.reduceat(value, starts)), starts
 
 
-def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
     """A long text cut at white space into pieces of about CHUNK bytes."""
     a = 0
     while a < len(raw):
@@ -91,7 +91,7 @@ def texts_words(column: pa.Array) -> Iterator[np.ndarray]:
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
         if j == i + 1 and offsets[j] - offsets[i] > CHUNK:
-            yield np.concatenate([word_hashes(p, np.zeros(0, int))[0] for p in _pieces(data[offsets[i]:offsets[j]])])
+            yield np.concatenate([word_hashes(p, np.zeros(0, int))[0] for p in pieces(data[offsets[i]:offsets[j]])])
         else:
             inner = offsets[i:j + 1] - offsets[i]
             words, starts = word_hashes(data[offsets[i]:offsets[j]], inner[1:-1])

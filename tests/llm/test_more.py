@@ -1,22 +1,26 @@
-"""What else the pair join must keep: vectors of different lengths, and hot keys dealt over parts."""
+"""What else the pair join must keep: points never bound too low, and alike sets share a key."""
 import numpy as np
 
 from credsweep.llm import ngram_join as nj
 
 
-def test_vectors_fold_and_never_bound_too_low():
+def test_points_never_bound_too_low():
     rng = np.random.default_rng(2)
     like = nj.Likeness(80)
-    for _ in range(300):
-        n = int(rng.integers(1, 3000))
-        shared = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        extra = [rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2)), dtype=np.uint64) for _ in range(2)]
-        a, b = (np.unique(np.concatenate([shared, x])) for x in extra)
-        common = len(np.intersect1d(a, b))
-        x, y = nj._vector(nj._packed(a)), nj._vector(nj._packed(b))
-        assert x.sum() == len(a) and y.sum() == len(b)
-        if 100 * common >= 80 * (len(a) + len(b) - common):
-            assert nj._may_be_alike(x, y, like)
+    for _ in range(60):
+        sets = []
+        for _ in range(int(rng.integers(2, 20))):
+            shared = rng.integers(0, 1 << 63, int(rng.integers(1, 600)), dtype=np.uint64)
+            sets += [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, int(rng.integers(0, len(shared) // 3 + 2)), dtype=np.uint64)])) for _ in range(3)]
+        sets.sort(key=len)
+        n = np.array([len(s) for s in sets])
+        near = nj.tree_bound(like)(n, np.concatenate(sets), np.repeat(np.arange(len(n)), n))
+        for i, a in enumerate(sets):
+            rows = set(near(i).tolist())
+            for j in range(i + 1, len(sets)):
+                common = len(np.intersect1d(a, sets[j]))
+                if 100 * common >= 80 * (n[i] + n[j] - common):
+                    assert j in rows
 
 
 def test_prefixes_meet_for_every_alike_pair():

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from credsweep.llm import components, ngram_join, shingles
+from credsweep.llm import components, linking, ngram_join, shingles
 
 from .conftest import make_docs, prose
 
@@ -18,7 +18,7 @@ def shingle_set(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=80):
     """Component of each row by comparing all that share a shingle."""
     sets = [shingle_set(t) for _, t, _ in rows]
     holders = defaultdict(list)
@@ -32,7 +32,7 @@ def brute(rows):
     for i, s in enumerate(sets):
         shared = Counter(j for x in s for j in holders[x])
         for j, k in shared.items():
-            if 100 * k >= 80 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
                 parent[find(i)] = find(j)
         for x in s:
             holders[x].append(i)
@@ -69,9 +69,8 @@ def test_groups_of_near_copies(spark, monkeypatch):
     rows += [(5000 + i, passage + " " + prose(rng, rng.randint(1, 30)), "s") for i in range(150)]
     rng.shuffle(rows)
     compare(spark, rows)
-    # small blocks and parts: the same links when keys are dealt over many places
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "PART", 8)
+    # small places: the same links when clusters are dealt over many
+    monkeypatch.setattr(linking, "BLOCK", 16)
     compare(spark, rows)
 
 
@@ -110,7 +109,7 @@ def test_shingles_of_chunked_texts(monkeypatch):
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 300])
 def test_rtree_finds_all(n):
     rng = np.random.default_rng(n)
-    points = rng.poisson(3, (n, ngram_join.GROUPS)).astype(np.int64)
+    points = rng.poisson(3, (n, 64)).astype(np.int64)
     if not n:
         return
     tree = ngram_join.RTree(points)

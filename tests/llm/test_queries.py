@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_each_operator_is_registered_once():
     names = [n for n in queries.queries()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(entry.queries()) and set(queries.oracle_sql()) <= set(names)
 
 
