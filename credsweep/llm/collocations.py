@@ -279,7 +279,7 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
   FROM documents),
-words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (
   SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
   FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
