@@ -75,7 +75,7 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def _held(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    at = grams >> np.uint64(64 - FILTER_BITS)
+    at = grams >> np.uint64(65 - (8 * len(bitmap)).bit_length())
     return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
@@ -114,6 +114,8 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int, known: int = 0,
 
     Stripes in which no word has as many are left out, but for the empty prefix.
     """
+    buffer = BUFFER
+
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lively = bitmap.value if bitmap else None, hot.value if hot else np.zeros(0, np.uint64)
         held: dict[str, list[bytes]] = {}
@@ -123,7 +125,7 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int, known: int = 0,
                 data = (text or "").encode().translate(_AS)
                 held.setdefault(lang, []).append(data)
                 size += len(data)
-                if size >= BUFFER:
+                if size >= buffer:
                     for x, texts in held.items():
                         yield from _stripes(x, b"\n".join(texts), sizes, known, bits, lively)
                     held, size = {}, 0
@@ -175,10 +177,12 @@ def _hashes(batch: pa.RecordBatch, size: int) -> np.ndarray:
 
 def frequent_bitmap(found: DataFrame, size: int) -> np.ndarray:
     """The bitmap of some phrases' hashes: tasks set their bits, which meet slot by slot; 8 MB whatever the table's size."""
+    shift = np.uint64(64 - FILTER_BITS)
+
     def bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
         for batch in it:
-            at = np.unique(_hashes(batch, size) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            at = np.unique(_hashes(batch, size) >> shift).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
             for slot in np.unique(at // (8 * SLOT)).tolist():
                 own = at[at // (8 * SLOT) == slot] - slot * 8 * SLOT
                 out.setdefault(slot, np.zeros(8 * SLOT, bool))[own] = True

@@ -80,6 +80,8 @@ def _meetings(sets: DataFrame, like: Likeness) -> DataFrame:
     A task first joins what it holds, so a key that very many sets share gives
     one row for each of its batches; then rows stream by key and size.
     """
+    most = KEYS
+
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
@@ -100,7 +102,7 @@ def _meetings(sets: DataFrame, like: Likeness) -> DataFrame:
             many = np.diff(keys.offsets.to_numpy())
             held.append((np.repeat(batch.column("cls").to_numpy(), many), np.repeat(batch.column("n").to_numpy().astype(np.int64), many), keys.flatten().to_numpy()))
             count += int(many.sum())
-            if count >= KEYS:
+            if count >= most:
                 yield joined()
                 held, count = [], 0
         if count:
