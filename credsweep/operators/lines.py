@@ -33,6 +33,11 @@ def nearby_counts(flags: Column) -> Column:
     return F.transform(flags, around)
 
 
+def document_hash(filename: Column, text: Column) -> Column:
+    """Tells documents apart that share an id; rows equal in id, name and text are one document."""
+    return F.xxhash64(F.coalesce(filename, F.lit(UNKNOWN)), text)
+
+
 def split_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """N1 as a table: (doc_id, line_num, raw_line) for every line."""
     staged = docs.select("doc_id", F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_BREAKS, -1).alias("parts"))
@@ -58,7 +63,7 @@ def lines(docs: DataFrame, latin1_compat: bool = False, keep_text: bool = True)
     """
     filename = F.coalesce(F.col("filename"), F.lit(UNKNOWN))
     parts = docs.select(
-        "doc_id", F.xxhash64(filename, "text").alias("doc_hash"), filename.alias("filename"), tx.is_test_file(filename).alias("is_test"),
+        "doc_id", document_hash(F.col("filename"), F.col("text")).alias("doc_hash"), filename.alias("filename"), tx.is_test_file(filename).alias("is_test"),
         F.split(F.coalesce(F.col("text"), F.lit("")), LINE_BREAKS, -1).alias("parts"))
     raw = parts.select(
         "doc_id", "doc_hash", "filename", "is_test",

@@ -26,7 +26,7 @@ from ..operators.tables import PREFIXES, prefix_table, rule_table
 from ..session import checkpoint_dir
 from ..sources import files
 from ..sources.planted import planted_sql
-from ..sources.tables import conversations, conversations_sql, corpus, documents, pages, pages_sql, planted_table
+from ..sources.tables import conversations, conversations_sql, corpus, corpus_sql, documents, pages, pages_sql, planted_table
 from . import oracle as O
 from .scan import (FAMILIES, K_CAND, K_DECODED, K_RECON, K_REGEX, VALUES, evidence, fold_parts, line_items,
                    prefix_dedup, scan, scan_files)
@@ -459,13 +459,13 @@ def q_dedup(spark, sf):
 
 @register("C10_rank_findings", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"))
 def q_rank(spark, sf):
-    return scan(corpus(spark, sf))
+    return scan(corpus(spark, sf)).drop("doc_hash")
 
 
 @register("C10_user_tables", W("SELECT doc_id, file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked"))
 def q_user_tables(spark, sf):
     """The scan with its rules and prefixes read from tables."""
-    return scan(corpus(spark, sf), rules=rule_table(spark), prefixes=prefix_table(spark))
+    return scan(corpus(spark, sf), rules=rule_table(spark), prefixes=prefix_table(spark)).drop("doc_hash")
 
 
 # ---------------------------------------------------------------- flagship and S1
@@ -475,7 +475,7 @@ def q_user_tables(spark, sf):
 def q_scan_table(spark, sf):
     """Three tables with ids of their own in one scan."""
     docs = documents(spark, sf).withColumn("doc_id", F.concat(F.lit("document/"), F.col("doc_id").cast("string")))
-    return scan(docs.unionByName(pages(spark, sf)).unionByName(conversations(spark, sf)))
+    return scan(docs.unionByName(pages(spark, sf)).unionByName(conversations(spark, sf))).drop("doc_hash")
 
 
 # ---------------------------------------------------------------- C11, E: reports
@@ -512,7 +512,7 @@ def q_check_entropy(spark, sf):
 @register("E2_split_confirmed", W("SELECT doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
                                   "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked GROUP BY doc_id"))
 def q_split_confirmed(spark, sf):
-    return split_confirmed(_findings(spark, sf))
+    return split_confirmed(_findings(spark, sf)).drop("doc_hash")
 
 
 _SECTION = "CASE WHEN category = 'candidate' THEN 'candidates' ELSE 'confirmed' END"
@@ -522,14 +522,14 @@ _SECTION = "CASE WHEN category = 'candidate' THEN 'candidates' ELSE 'confirmed'
                               "severity, confidence, file, line, source, rule, match, fix FROM "
                               f"(SELECT *, {_SECTION} AS section FROM ranked)"))
 def q_file_report(spark, sf):
-    return file_report(_findings(spark, sf))
+    return file_report(_findings(spark, sf)).drop("doc_hash")
 
 
 @register("E4_corpus_report", W(f"SELECT section, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, file, doc_id, rank) AS n, "
                                 "severity, confidence, file, doc_id, line, source, rule, match, fix FROM "
                                 f"(SELECT *, {_SECTION} AS section FROM ranked)"))
 def q_corpus_report(spark, sf):
-    return corpus_report(_findings(spark, sf))
+    return corpus_report(_findings(spark, sf)).drop("doc_hash")
 
 
 @register("E4_corpus_summary", W("SELECT (SELECT count(DISTINCT doc_id) FROM corpus) AS files_scanned, "
@@ -544,6 +544,53 @@ def q_clean_docs(spark, sf):
     return clean_docs(corpus(spark, sf), _findings(spark, sf))
 
 
+# ---------------------------------------------------------------- E: ids that repeat or are missing
+#: Four documents share an id, every fifth has none.
+_SHARED = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id {div} 4 END"
+_SHARED_SQL = _SHARED.format(div="//")
+# rows equal in id, name and text are one document
+_SHARED_DOCS = f"SELECT min(doc_id) AS doc_id, filename, text FROM ({corpus_sql()}) GROUP BY {_SHARED_SQL}, filename, text"
+
+
+def _shared(spark, sf):
+    """The corpus with ids that repeat or are NULL."""
+    return corpus(spark, sf).withColumn("doc_id", F.expr(_SHARED.format(div="div")))
+
+
+@register("E2_split_confirmed_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
+                                             "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked GROUP BY ranked.doc_id", source_sql=_SHARED_DOCS))
+def q_split_shared(spark, sf):
+    return split_confirmed(scan(_shared(spark, sf))).drop("doc_hash")
+
+
+@register("E3_file_report_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, section, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY rank)::INTEGER AS n, "
+                                         "severity, confidence, file, line, source, rule, match, fix FROM "
+                                         f"(SELECT *, {_SECTION} AS section FROM ranked) s", source_sql=_SHARED_DOCS))
+def q_file_report_shared(spark, sf):
+    return file_report(scan(_shared(spark, sf))).drop("doc_hash")
+
+
+@register("E4_corpus_report_shared_ids", W("SELECT section, confidence, file, min(n) AS first, max(n) AS last, count(*) AS rows FROM "
+                                           "(SELECT *, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, file) AS n FROM "
+                                           f"(SELECT *, {_SECTION} AS section FROM ranked)) GROUP BY section, confidence, file", source_sql=_SHARED_DOCS))
+def q_corpus_report_shared(spark, sf):
+    """Where each file name's findings of one confidence stand in the corpus report."""
+    return corpus_report(scan(_shared(spark, sf))).groupBy("section", "confidence", "file") \
+        .agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count(F.lit(1)).alias("rows"))
+
+
+@register("E4_corpus_summary_shared_ids", W("SELECT (SELECT count(*) FROM corpus) AS files_scanned, "
+                                            "count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
+                                            "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked", source_sql=_SHARED_DOCS))
+def q_corpus_summary_shared(spark, sf):
+    return corpus_summary(_shared(spark, sf), scan(_shared(spark, sf)))
+
+
+@register("E5_clean_docs_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, filename FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ranked)", source_sql=_SHARED_DOCS))
+def q_clean_docs_shared(spark, sf):
+    return clean_docs(_shared(spark, sf), scan(_shared(spark, sf)))
+
+
 # ---------------------------------------------------------------- S2-S7: directory trees
 _PLANTED_PATHS = f"SELECT doc_id, path, text FROM ({planted_sql()})"
 _BASENAME = "regexp_extract(path, '([^/]*)$', 1)"
@@ -601,7 +648,7 @@ def q_tolerant_read(spark, sf):
 @register("S2_scan_corpus", W("SELECT doc_id, doc_id AS file, line, rule, category, severity, confidence, match, fix, source, rank FROM ranked", source_sql=_KEPT))
 def q_scan_corpus(spark, sf):
     """Directory scan of the planted tree -> findings with relative paths."""
-    return scan_files(_tree(spark, sf))
+    return scan_files(_tree(spark, sf)).drop("doc_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,6 +41,8 @@ K_REGEX, K_CAND, K_DECODED, K_RECON, K_PART = 1, 2, 3, 4, 5
 G_LINE_CAND, G_CHAIN, G_CMD, G_CONCAT, G_SPLIT, G_ARRAY = 0, 1, 2, 3, 4, 5
 FINDING_COLUMNS = ["doc_id", "file", "line", "rule", "category", "severity", "confidence",
                    "match", "fix", "source", "rank"]
+#: What reports group, join and sort by: an id may be repeated or NULL.
+DOC_KEY = ["doc_id", "doc_hash"]
 
 
 def _item(kind, grp, ln, sub, pos, path, value, text, label, rule_id=None) -> Column:
@@ -189,8 +191,9 @@ def scan(docs: DataFrame, rules=RULES, prefixes=PREFIXES, latin1_compat: bool =
     """Scan a DataFrame (doc_id of any type, filename STRING, text STRING).
 
     Returns findings(doc_id, file, line, rule, category, severity,
-    confidence, match, fix, source, rank); ``rank`` orders findings within a
-    document (confidence descending, ties in detection order).  ``rules`` and
+    confidence, match, fix, source, rank, doc_hash); ``rank`` orders findings within a
+    document (confidence descending, ties in detection order), ``doc_id`` and
+    ``doc_hash`` (of name and text) together tell the document.  ``rules`` and
     ``prefixes`` are the built-in tables, a list of Rule / Prefix, or a DataFrame
     of the shape of ``rule_table`` / ``prefix_table``.
 
@@ -203,7 +206,7 @@ def scan(docs: DataFrame, rules=RULES, prefixes=PREFIXES, latin1_compat: bool =
     items = scan_items(docs, rules, latin1_compat, use_gates, partitions, prefixes=prefixes)
     ev = evidence(fold_parts(items, prefixes), prefixes).repartition("doc_id", "doc_hash", "line_num")
     found = rank_findings(dedup_findings(score_evidence(prefix_dedup(ev), rules)))
-    return with_severity(found).select(*FINDING_COLUMNS)
+    return with_severity(found).select(*FINDING_COLUMNS, "doc_hash")
 
 
 def scan_files(tree: DataFrame, **kw) -> DataFrame:
