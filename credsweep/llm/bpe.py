@@ -150,6 +150,8 @@ class WordBpe:
                     size[end] = length
         ids = []
         while n > 0:
+            if not size[n]:
+                raise ValueError(f"the vocabulary has no tokens for {word!r}")
             ids.append(last[n])
             n -= size[n]
         ids.reverse()
@@ -199,7 +201,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
 
     ``path`` is the vocabulary file, read once on the driver (1.7 MB) and sent
     with the tasks, so executors need no copy.  Every row gives one row; no
-    shuffle.  A worker's memory of words and token pairs is bounded.
+    shuffle.  A vocabulary without a token for some character is an error at the
+    first word that has it.  A worker's memory of words and token pairs is bounded.
     """
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

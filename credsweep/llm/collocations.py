@@ -11,7 +11,8 @@ A phrase of 30 occurrences has only parts that occur as often.  So the words are
 counted first, then pairs of frequent words, then phrases of three and four whose
 pairs are all frequent.  Which parts are frequent is told by a bitmap of hashes of
 a fixed size: it lets some others through, which their own counts then drop, and
-never holds back a frequent one, so results don't depend on its size.
+never holds back a frequent one, so results don't depend on its size.  Stripes of
+words and longer prefixes hold 64-bit hashes, which are told from what is left.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credsweep.llm.common import read, small_batches, written
 from credsweep.llm.shingles import mix, pieces, word_hashes
@@ -32,15 +33,18 @@ from credsweep.llm.shingles import mix, pieces, word_hashes
 BUFFER = 4 << 20
 #: The bitmap of frequent phrases has 2^26 bits (8 MB), put together in slots of this many bytes.
 FILTER_BITS, SLOT = 26, 8192
-#: Prefixes with at least this share of all words (so at most 2,000 of them) have their stripes dealt over parts by the next word, as has the empty prefix.
-HOT, PARTS = 2000, 256
+#: Parts of a language's words; for longer phrases, words for one part, and the fewest parts.
+PARTS, SHARE, FEWEST = 256, 1 << 17, 256
+#: Prefixes with at least this share of all words (so at most 200 of them) have their stripes dealt over parts by the next word.
+HOT = 200
+#: Entries of stripes that a task merges at a time.
+HELD = 1 << 21
 #: Lower case, and the characters that end a piece or part words as line feeds and blanks.
 _AS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA5A3564E27F88697)]
 
-STRIPES = "lang string, prefix string, part int, total long, next array<string>, counts array<long>"
-_ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("total", pa.int64()),
-                    ("next", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+WORDS = "lang string, part int, total long, next array<string>, counts array<long>"
+_ARROW = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("total", pa.int64()), ("next", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _salt(lang: str) -> np.uint64:
@@ -79,69 +83,53 @@ def _held(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _stripes(lang: str, data: bytes, sizes: tuple[int, ...], known: int, bitmap: np.ndarray | None, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The stripes of some text of one language for phrases of ``sizes`` words, whose parts of ``known`` words are in the bitmap."""
-    h, piece, words = _words(data)
-    salt = _salt(lang)
-    if known:
-        fine = _held(bitmap, _grams(h, known, salt)) & (piece[:max(0, len(h) - known + 1)] == piece[known - 1:]) if len(h) >= known else np.zeros(0, bool)
-    for size in sizes:
-        n = max(0, len(h) - size + 1)
-        good = piece[:n] == piece[size - 1:size - 1 + n]
-        for j in range(size - known + 1 if known else 0):
-            good &= fine[j:n + j]
-        at = np.flatnonzero(good)
-        if not len(at):
-            continue
-        _, first, counts = np.unique(_grams(h, size, salt)[at], return_index=True, return_counts=True)
-        first = at[first]
-        prefix = _grams(h, size - 1, salt)[first] if size > 1 else np.zeros(len(first), np.uint64)
-        dealt = np.ones(len(first), bool) if size == 1 else np.isin(_grams(h, min(size - 1, 2), salt)[first], hot)
-        part = np.where(dealt, (h[first + size - 1] >> np.uint64(20)).astype(np.int64) % PARTS, 0)
-        order = np.lexsort((part, prefix))
-        first, counts, prefix, part = first[order], counts[order], prefix[order], part[order]
-        starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-        offsets = pa.array(np.append(starts, len(first)), pa.int32())
-        named = [words.take(pa.array(first[starts] + j)) for j in range(size - 1)]
-        name = pc.binary_join_element_wise(*named, " ") if len(named) > 1 else named[0] if named else pa.array([""] * len(starts))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(starts), pa.string()), name.cast(pa.string()), pa.array(part[starts], pa.int32()), pa.array(np.add.reduceat(counts, starts), pa.int64()),
-            pa.ListArray.from_arrays(offsets, words.take(pa.array(first + size - 1))), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))], schema=_ARROW)
-
-
-def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int, known: int = 0, bitmap=None, hot=None) -> DataFrame:
-    """Merged stripes of ``docs`` (lang, text): for each prefix (and part) its total and the next words with ``least`` occurrences or more.
-
-    Stripes in which no word has as many are left out, but for the empty prefix.
-    """
+def _buffers(it: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, bytes]]:
+    """The translated texts of a task, some megabytes of a language at a time."""
+    held: dict[str, list[bytes]] = {}
+    total = 0
+    for batch in it:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            data = (text or "").encode().translate(_AS)
+            held.setdefault(lang, []).append(data)
+            total += len(data)
+            if total >= size:
+                yield from ((x, b"\n".join(texts)) for x, texts in held.items())
+                held, total = {}, 0
+    yield from ((x, b"\n".join(texts)) for x, texts in held.items())
+
+
+# ---------------------------------------------------------------- words: the empty prefix's stripe
+
+
+def word_stripes(docs: DataFrame, least: int) -> DataFrame:
+    """The stripe of the empty prefix of each language, dealt over parts by the word: its total and the words with ``least`` occurrences or more."""
     buffer = BUFFER
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lively = bitmap.value if bitmap else None, hot.value if hot else np.zeros(0, np.uint64)
-        held: dict[str, list[bytes]] = {}
-        size = 0
-        for batch in it:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                data = (text or "").encode().translate(_AS)
-                held.setdefault(lang, []).append(data)
-                size += len(data)
-                if size >= buffer:
-                    for x, texts in held.items():
-                        yield from _stripes(x, b"\n".join(texts), sizes, known, bits, lively)
-                    held, size = {}, 0
-        for x, texts in held.items():
-            yield from _stripes(x, b"\n".join(texts), sizes, known, bits, lively)
+        for lang, data in _buffers(it, buffer):
+            h, _, words = _words(data)
+            if not len(h):
+                continue
+            _, first, counts = np.unique(h, return_index=True, return_counts=True)
+            part = (h[first] >> np.uint64(20)).astype(np.int64) % PARTS
+            order = np.argsort(part, kind="stable")
+            first, counts, part = first[order], counts[order], part[order]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            offsets = pa.array(np.append(starts, len(first)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(starts), pa.string()), pa.array(part[starts], pa.int32()), pa.array(np.add.reduceat(counts, starts), pa.int64()),
+                pa.ListArray.from_arrays(offsets, words.take(pa.array(first))), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))], schema=_ARROW)
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, merged = None, {}
 
         def closed() -> list[tuple]:
             kept = {w: c for w, c in merged.items() if c >= least}
-            return [(*at, sum(merged.values()), list(kept), list(kept.values()))] if kept or at and at[1] == "" else []
+            return [(*at, sum(merged.values()), list(kept), list(kept.values()))] if at else []
 
         for batch in it:
             out = []
-            for key, words, counts in zip(zip(*(batch.column(c).to_pylist() for c in ("lang", "prefix", "part"))), batch.column("next").to_pylist(), batch.column("counts").to_pylist()):
+            for key, words, counts in zip(zip(*(batch.column(c).to_pylist() for c in ("lang", "part"))), batch.column("next").to_pylist(), batch.column("counts").to_pylist()):
                 if key != at:
                     out += closed()
                     at, merged = key, dict(zip(words, counts))
@@ -151,19 +139,124 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int, known: int = 0,
             yield _rows(out)
         yield _rows(closed())
 
-    key = ["lang", "prefix", "part"]
-    return small_batches(docs).mapInArrow(local, STRIPES).repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, STRIPES)
+    return small_batches(docs).mapInArrow(local, WORDS).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(merge, WORDS)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
 
 
-def phrases(found: DataFrame, size: int) -> DataFrame:
-    """``lang, phrase, size, f`` of the entries of stripes."""
-    x = F.explode(F.arrays_zip("next", "counts")).alias("x")
-    return found.select("lang", "prefix", x).select(
-        "lang", F.when(F.col("prefix") == "", F.col("x.next")).otherwise(F.concat_ws(" ", "prefix", "x.next")).alias("phrase"), F.lit(size).alias("size"), F.col("x.counts").alias("f"))
+# ---------------------------------------------------------------- stripes of prefixes, by hash
+
+
+def _pack(prefix: np.ndarray, word: np.ndarray, counts: np.ndarray) -> bytes:
+    """Stripes as bytes, sorted by prefix: how many, the prefixes, their ends, the next words and the counts."""
+    ends = np.flatnonzero(np.append(prefix[1:] != prefix[:-1], True)) + 1
+    return b"".join([np.array([len(ends), len(word)], np.int64).tobytes(), prefix[ends - 1].tobytes(), ends.astype(np.uint32).tobytes(), word.tobytes(), counts.astype(np.uint32).tobytes()])
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    many, entries = np.frombuffer(raw, np.int64, 2).tolist()
+    prefix = np.frombuffer(raw, np.uint64, many, 16)
+    ends = np.frombuffer(raw, np.uint32, many, 16 + 8 * many)
+    word = np.frombuffer(raw, np.uint64, entries, 16 + 12 * many)
+    counts = np.frombuffer(raw, np.uint32, entries, 16 + 12 * many + 8 * entries)
+    return np.repeat(prefix, np.diff(ends, prepend=0)), word, counts.astype(np.int64)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stripes added elementwise."""
+    prefix, word, counts = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((word, prefix))
+    prefix, word, counts = prefix[order], word[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])]))
+    return prefix[starts], word[starts], np.add.reduceat(counts, starts)
+
+
+def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int, known: int, bitmap, hot, parts: int) -> DataFrame:
+    """``size, prefix, next, f`` of the phrases of ``sizes`` words of ``docs`` (lang, text) with ``least`` occurrences or more.
+
+    Only phrases whose parts of ``known`` words are in the bitmap are counted.
+    Prefix and next word are told by their hashes.  A task's stripes are packed
+    by part, a range of prefix hashes; those of ``hot`` prefixes go by the next word too.
+    """
+    buffer, most, deal = BUFFER, HELD, np.uint64(parts)
+
+    def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, data in _buffers(it, buffer):
+            h, piece, _ = _words(data)
+            salt, out = _salt(lang), []
+            if len(h) < known:
+                continue
+            fine = _held(bitmap.value, _grams(h, known, salt)) & (piece[:len(h) - known + 1] == piece[known - 1:])
+            for size in sizes:
+                n = max(0, len(h) - size + 1)
+                good = piece[:n] == piece[size - 1:size - 1 + n]
+                for j in range(size - known + 1):
+                    good &= fine[j:n + j]
+                at = np.flatnonzero(good)
+                if not len(at):
+                    continue
+                prefix, word, counts = _merged([(_grams(h, size - 1, salt)[at], h[at + size - 1], np.ones(len(at), np.int64))])
+                live = np.isin(_grams(h, min(size - 1, 2), salt), hot.value)
+                hottest = np.unique(_grams(h, size - 1, salt)[np.flatnonzero(live[:n])]) if live.any() else np.zeros(0, np.uint64)
+                part = np.where(np.isin(prefix, hottest), mix(prefix ^ word), mix(prefix)) % deal
+                order = np.argsort(part, kind="stable")
+                prefix, word, counts, part = prefix[order], word[order], counts[order], part[order]
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                out += [(size, int(part[a]), _pack(prefix[a:b], word[a:b], counts[a:b])) for a, b in zip(starts, np.append(starts[1:], len(part)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["size", "part", "data"])
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, many = None, [], 0
+
+        def closed() -> pa.RecordBatch:
+            prefix, word, counts = _merged(held) if held else [np.zeros(0, np.uint64)] * 3
+            kept = counts >= least
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(int(kept.sum()), at[0] if at else 0), pa.int32()), pa.array(prefix[kept].view(np.int64)), pa.array(word[kept].view(np.int64)),
+                pa.array(counts[kept], pa.int64())], ["size", "prefix", "next", "f"])
+
+        for batch in it:
+            for key, raw in zip(zip(batch.column("size").to_pylist(), batch.column("part").to_pylist()), batch.column("data")):
+                if key != at:
+                    yield closed()
+                    at, held, many = key, [], 0
+                held.append(_unpack(raw.as_buffer()))
+                many += len(held[-1][0])
+                if many >= most:
+                    held = [_merged(held)]
+                    many = len(held[0][0]) // 2  # merged once more when as many have come again
+        yield closed()
+
+    rows = small_batches(docs).mapInArrow(local, "size int, part int, data binary")
+    return rows.repartition("size", "part").sortWithinPartitions("size", "part").mapInArrow(merge, "size int, prefix long, next long, f long")
+
+
+def _with_hash(found: DataFrame, size: int) -> DataFrame:
+    """Phrases with their hash as a prefix, and words also with the hash that they have as a next word."""
+    schema = T.StructType([*found.schema.fields, T.StructField("as_prefix", T.LongType())])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_hashes(batch, size).view(np.int64))], schema.names)
+
+    out = found.mapInArrow(batches, schema)
+    return out if size > 1 else out.mapInArrow(_next_words, T.StructType([*schema.fields, T.StructField("as_next", T.LongType())]))
+
+
+def _next_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        h = word_hashes(np.frombuffer("\n".join(batch.column("phrase").to_pylist()).encode(), np.uint8), np.zeros(0, int))[0]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], [*batch.schema.names, "as_next"])
+
+
+def _named(found: DataFrame, shorter: DataFrame, words: DataFrame, size: int) -> DataFrame:
+    """``lang, phrase, f, as_prefix`` of counted phrases: a prefix's name and language, and the next word's name."""
+    prefix = shorter.select("lang", F.col("phrase").alias("head"), F.col("as_prefix").alias("prefix"))
+    last = words.select("lang", F.col("phrase").alias("tail"), F.col("as_next").alias("next"))
+    rows = found.where(F.col("size") == size).join(prefix, "prefix").join(last, ["lang", "next"])
+    return written(_with_hash(rows.select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), size), "phrases")
 
 
 def _hashes(batch: pa.RecordBatch, size: int) -> np.ndarray:
@@ -216,19 +309,22 @@ def _hot_hashes(found: DataFrame, size: int, words: int) -> np.ndarray:
 
 def phrase_counts(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to 4 words with ``least`` occurrences or more (``lang, phrase, size, f``), and ``lang, n``: all words."""
-    spark = docs.sparkSession
+    tell = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    words = written(stripes(texts, (1,), least), "words")
-    totals = words.groupBy("lang").agg(F.sum("total").alias("n"))
+    found = written(word_stripes(texts, least), "words")
+    totals = found.groupBy("lang").agg(F.sum("total").alias("n"))
     everything = totals.agg(F.sum("n")).first()[0] or 0
-    tell = spark.sparkContext.broadcast
+    parts = max(FEWEST, everything // SHARE)
 
-    one = phrases(words, 1)
-    pairs = written(stripes(texts, (2,), least, 1, tell(frequent_bitmap(one, 1)), tell(_hot_hashes(one, 1, everything))), "pairs")
-    two = phrases(pairs, 2)
-    longer = written(stripes(texts, (3, 4), least, 2, tell(frequent_bitmap(two, 2)), tell(_hot_hashes(two, 2, everything))), "longer")
-    more = phrases(longer, 0).withColumn("size", F.size(F.split("phrase", " ")))
-    return one.union(two).union(more), totals
+    x = F.explode(F.arrays_zip("next", "counts")).alias("x")
+    one = written(_with_hash(found.select("lang", x).select("lang", F.col("x.next").alias("phrase"), F.col("x.counts").alias("f")), 1), "phrases")
+    pairs = written(stripes(texts, (2,), least, 1, tell(frequent_bitmap(one, 1)), tell(_hot_hashes(one, 1, everything)), parts), "pairs")
+    two = _named(pairs, one, one, 2)
+    longer = written(stripes(texts, (3, 4), least, 2, tell(frequent_bitmap(two, 2)), tell(_hot_hashes(two, 2, everything)), parts), "longer")
+    three = _named(longer, two, one, 3)
+    four = _named(longer, three, one, 4)
+    sized = [p.select("lang", "phrase", F.lit(i).alias("size"), "f") for i, p in enumerate((one, two, three, four), 1)]
+    return sized[0].union(sized[1]).union(sized[2]).union(sized[3]), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -247,7 +343,6 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang_col: st
     read.  Counts pass shuffles as stripes, aggregated by task before.
     """
     counts, totals = phrase_counts(docs, least, lang_col, text_col)
-    counts = written(counts, "phrases")
     candidates = counts.where("size >= 2")
     part = lambda start, length: F.array_join(F.slice(F.split("phrase", " "), start, length), " ")
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))) \

@@ -149,12 +149,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each pass, in training order, whole."""
-    taken = mix(docs, whole_documents=True).where("taken > 0") \
-        .select(F.col("doc_id").alias("doc_id__m"), F.col("source").alias("source__m"), F.col("size").alias("size__m"), "passes")
-    # repeated rows of one document (same id, source and size) take their passes once each
-    taken = taken.groupBy("doc_id__m", "source__m", "size__m").agg(F.max("passes").alias("passes__m"))
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("doc_id__m")) & F.col("source").eqNullSafe(F.col("source__m"))
-                     & (n_words(F.col("text")) == F.col("size__m")))
-    return kept.withColumn("pass__m", F.explode("passes__m")).repartitionByRange(F.col("pass__m.position")) \
-        .sortWithinPartitions("pass__m.position").select(*docs.columns)
+    """The documents that the mix takes, once for each pass, in training order, whole.
+
+    Documents without words (null, empty or blank text) ask for nothing of any
+    source and stay, once each, before the others.  Rows that agree in every
+    column are taken together: each of their passes comes once.
+    """
+    keyed = docs.withColumn("row__m", F.xxhash64(*docs.columns))
+    mixed = mix(keyed, whole_documents=True, id_col="row__m", text_col="text", source_col="source")
+    once = F.array(F.struct(F.lit(1).alias("pass"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("double").alias("position")))
+    taken = mixed.select(F.col("doc_id").alias("row__t"), F.col("source").alias("source__t"),
+                         F.explode(F.when(F.col("size") == 0, once).otherwise(F.col("passes"))).alias("pass__m"))
+    one = keyed.dropDuplicates(["row__m", "doc_id", "source"])
+    kept = one.join(taken, (F.col("row__m") == F.col("row__t")) & F.col("source").eqNullSafe(F.col("source__t")))
+    return kept.repartitionByRange(F.col("pass__m.position")).sortWithinPartitions("pass__m.position").select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from credsweep.llm.common import read, running_total, written
 
 #: A coordinate's bits: the value, then a hash of the id that sets rows of one value apart.
-VALUE_BITS, TIE_BITS = 20, 20
+VALUE_BITS, TIE_BITS, NUMBER_BITS = 20, 20, 6
 #: Bits that each histogram resolves: the first one covers all dimensions, the others the chosen one.
 ROUNDS = (11, 14, 15)
 #: A bin this light against a mean shard ends the search for a split.
@@ -124,16 +124,18 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
     ``shards`` fixes their number; else it is that of leaves of ``target_bytes``.
     Size is the text's UTF-8 bytes plus ``overhead`` (null text: the overhead
     alone, checksum 0).  Dimensions: the ``categories``, the logarithm of the
-    size and the id.  Rows of one value are set apart by a hash of the id, so a
-    hot value or a group of copies can be split anywhere; a repeated id stays
-    together.  ``slot`` numbers a shard's rows from 0 without gaps; repeated rows
+    size and the id.  Rows of one value are set apart by a hash of id and text, rows
+    that repeat both by their number, so a hot value, a group of copies or a
+    repeated id can be split anywhere.  ``slot`` numbers a shard's rows from 0 without gaps; repeated rows
     get slots of their own.  Null ids and categories are values like others; an
     empty table gives no rows.
     """
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    # rows of one id and text differ in the last bits only, by their number in the written table
+    at = F.shiftleft(F.xxhash64(F.col(id_col), F.col(text_col)), NUMBER_BITS).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(2**NUMBER_BITS - 1)))
     rows = written(docs.select(
         F.col(id_col).alias("doc_id"), (n_bytes + overhead).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col)).alias("at"), *[category(F.col(c)).alias(f"v_{i}") for i, c in enumerate(categories)]), "points")
+        at.alias("at"), *[category(F.col(c)).alias(f"v_{i}") for i, c in enumerate(categories)]), "points")
     seen = rows.agg(F.max("size"), F.min(F.col("doc_id").cast("double")), F.max(F.col("doc_id").cast("double")), F.sum("size")).first()
     if shards is None:
         shards = max(1, math.ceil((seen[3] or 0) / target_bytes))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 
@@ -68,3 +69,13 @@ def test_round_trip(spark, tricky, library):
     encoded = bpe.encode(tricky, path, outputs=("ids", "decoded"))
     back = bpe.decode(encoded, path, keep=("doc_id",))
     assert sorted(r["decoded"] for r in back.collect()) == sorted(r["decoded"] for r in encoded.collect())
+
+
+def test_a_vocabulary_without_a_character_is_an_error():
+    spec = json.loads(open(bpe.word_bpe_path(), encoding="utf-8").read())
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if "q" not in t}
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if "q" not in str(m)]
+    model = bpe.WordBpe(json.dumps(spec))
+    assert model.encode("plain words")[1]
+    with pytest.raises(ValueError, match="quite"):
+        model.encode("quite")

@@ -73,6 +73,8 @@ def test_against_brute_force(spark, rows):
 def test_small_buffers_hot_prefixes_and_a_full_bitmap(spark, rows, monkeypatch):
     monkeypatch.setattr(co, "BUFFER", 400)
     monkeypatch.setattr(co, "HOT", 50)
+    monkeypatch.setattr(co, "HELD", 30)
+    monkeypatch.setattr(co, "FEWEST", 7)
     monkeypatch.setattr(co, "FILTER_BITS", 18)
     assert found(co.collocations(make(spark, rows), least=12)) == brute(rows, 12)
 

@@ -72,3 +72,16 @@ def test_stage_keeps_columns_and_repeats(spark, tricky, empty):
     out = mixing.stage(spark, tricky, "")
     assert out.columns == tricky.columns and out.count() > 0
     assert mixing.stage(spark, empty, "").count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_stage_keeps_blank_texts_and_counts_repeats_once(spark):
+    rows = [(i, "a b c d e", f"s{i % 3}") for i in range(90)] + [(100, None, "s0"), (101, "", None), (102, " \t", "s1"), (102, " \t", "s1")]
+    rows += [(None, "f g h", "s2")] * 20 + [(None, "x y z", "s2")] * 20
+    docs = make_docs(spark, rows)
+    out = [(r["doc_id"], r["text"], r["source"]) for r in mixing.stage(spark, docs, "").collect()]
+    blank = [r for r in out if not (r[1] or "").split()]
+    assert sorted(map(str, blank)) == sorted(map(str, rows[90:94]))
+    targets = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    for source, target in targets.items():
+        words = sum(len((t or "").split()) for _, t, s in out if s == source)
+        assert abs(words - target) <= 5, source

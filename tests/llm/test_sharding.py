@@ -48,3 +48,10 @@ def test_reruns_agree(spark, tricky):
 def test_more_shards_than_rows(spark):
     docs = make_docs(spark, [(1, "a", "s"), (2, None, None)])
     check(sharding.kd_shards(docs, 40).collect(), [(1, "a"), (2, None)])
+
+
+def test_rows_that_repeat_id_and_text_can_be_parted(spark):
+    rows = [(7, "the same text again", "s")] * 600 + [(i, prose(random.Random(i), 8), "s") for i in range(1000, 1600)] + [(None, "no id", None)] * 300
+    total = check(sharding.kd_shards(make_docs(spark, rows), 10).collect(), [(i, t) for i, t, _ in rows])
+    mean = sum(total.values()) / 10
+    assert len(total) == 10 and all(abs(x - mean) <= 0.12 * mean for x in total.values())
