@@ -34,7 +34,7 @@ BUFFER = 4 << 20
 #: The bitmap of frequent phrases has 2^26 bits (8 MB), put together in slots of this many bytes.
 FILTER_BITS, SLOT = 26, 8192
 #: Parts of a language's words; for longer phrases, words for one part, and the fewest parts.
-PARTS, SHARE, FEWEST = 256, 1 << 17, 256
+PARTS, SHARE, FEWEST = 256, 1 << 20, 256
 #: Prefixes with at least this share of all words (so at most 200 of them) have their stripes dealt over parts by the next word.
 HOT = 200
 #: Entries of stripes that a task merges at a time.
