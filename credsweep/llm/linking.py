@@ -74,7 +74,7 @@ def _met_rows(a, b, key, cls, low, high) -> pa.RecordBatch:
         join(pa.nulls(pairs, pa.int32()), pa.array(high, pa.int32()))], ["a", "b", "key", "cls", "low", "high"])
 
 
-def _meetings(sets: DataFrame, like: Likeness) -> DataFrame:
+def meetings_by_key(sets: DataFrame, like: Likeness) -> DataFrame:
     """Pairs that join the sets of each key, where sizes allow a link.
 
     A task first joins what it holds, so a key that very many sets share gives
@@ -138,7 +138,7 @@ def _meetings(sets: DataFrame, like: Likeness) -> DataFrame:
 
 
 def place_links(cls: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], like: Likeness, bound: Bound | None) -> list[tuple[int, int]]:
-    """Links that join the sets of one place as all links among them would.
+    """Links that join the sets of one place as all links among them would, from one set of a component to the others.
 
     ``comp`` numbers the component that each set is in so far.  With sets of two
     sides only pairs across them count.
@@ -146,6 +146,7 @@ def place_links(cls: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
     cls, comp, side, n = cls[order], comp[order].copy(), side[order], n[order]
+    before = comp.copy()
     flat = np.concatenate([sets[i] for i in order.tolist()])
     starts = np.concatenate([[0], np.cumsum(n)])
     ids = np.unique(flat, return_inverse=True)[1]
@@ -153,7 +154,6 @@ def place_links(cls: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[
     two = side.any() and not side.all()
     here = np.zeros(int(ids.max(initial=-1)) + 1, bool)
     last = np.searchsorted(n, n * 100 // like.percent, side="right")
-    out = []
     for i in range(len(cls)):
         rows = np.arange(i + 1, last[i])
         if near is not None and len(rows):
@@ -174,9 +174,17 @@ def place_links(cls: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[
         here[ids[starts[i]:starts[i + 1]]] = False
         for r in rows[100 * common >= like.percent * (n[i] + n[rows] - common)].tolist():
             if comp[r] != comp[i]:
-                out.append((int(cls[i]), int(cls[r])))
                 comp[comp == comp[r]] = comp[i]
-    return out
+    return stars(cls, before, comp)
+
+
+def stars(cls: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int]]:
+    """Links from one class of each component to one of every other component that it is made of."""
+    order = np.lexsort((cls, before, after))
+    cls, before, after = cls[order], before[order], after[order]
+    heads = np.flatnonzero(np.concatenate([[True], (after[1:] != after[:-1]) | (before[1:] != before[:-1])]))
+    first: dict[int, int] = {}
+    return [(first[a], c) for a, c in zip(after[heads].tolist(), cls[heads].tolist()) if first.setdefault(a, c) != c]
 
 
 def _linked(placed: DataFrame, size: int, like: Likeness, bound: Bound | None) -> DataFrame:
@@ -201,13 +209,13 @@ def _linked(placed: DataFrame, size: int, like: Likeness, bound: Bound | None) -
                 # a class that was given another text of the same id is passed over; its own row is there too
                 if cls not in held and set_hash(s) == cls:
                     held[cls] = comp, side, s
-            yield _links(out)
-        yield _links(closed())
+            yield pair_rows(out)
+        yield pair_rows(closed())
 
     return rows.mapInArrow(batches, "a long, b long")
 
 
-def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+def pair_rows(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
 
 
@@ -222,13 +230,15 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return rows.join(wanted, F.col("id__d").eqNullSafe(F.col("id__")) & (F.col("hash__d") == F.col("hash__"))).drop("id__", "hash__", "id__d", "hash__d")
 
 
-def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, size: int, like: Likeness, bound: Bound | None, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, size: int, like: Likeness, bound: Bound | None, id_col: str, text_col: str,
+          meetings: Callable[[DataFrame, Likeness], DataFrame] = meetings_by_key) -> DataFrame:
     """Links that give the same components as all links between alike sets.
 
     ``sets`` has ``cls, n, keys`` (rows may repeat a class, with or without its
-    keys), ``reps`` each class's ``n`` and ``one`` document.
+    keys), ``reps`` each class's ``n`` and ``one`` document.  ``meetings`` makes
+    the pairs (a, b) that join the clusters.
     """
-    clusters = components(written(_meetings(sets, like), "met")).withColumnRenamed("node", "cls")
+    clusters = components(written(meetings(sets, like), "met")).withColumnRenamed("node", "cls")
     members = written(clusters.join(reps.select("cls", "n", "one"), "cls"), "members")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("shingles"))
     large = written(sizes.where((F.col("k") > BLOCK) | (F.col("shingles") > LIMIT) & (F.col("k") > 2)).select("label"), "large")
@@ -282,13 +292,14 @@ def _dealt_links(docs: DataFrame, sets: DataFrame, members: DataFrame, size: int
 # ---------------------------------------------------------------- components of documents
 
 
-def classed(docs: DataFrame, sets: DataFrame, size: int, like: Likeness, bound: Bound | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classed(docs: DataFrame, sets: DataFrame, size: int, like: Likeness, bound: Bound | None = None, id_col: str = "doc_id", text_col: str = "text",
+            meetings: Callable[[DataFrame, Likeness], DataFrame] = meetings_by_key) -> DataFrame:
     """One row a document: ``doc_id, text_hash, cls, n_shingles, component, component_id``.
 
-    ``sets`` has one row a document: ``doc_id, text_hash, cls, n, keys``.
+    ``sets`` has one row a document: ``doc_id, text_hash, cls, n, keys`` and what ``meetings`` needs.
     """
     reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("smallest"), F.first("n").alias("n")), "reps")
-    final = components(links(docs, sets, reps, size, like, bound, id_col, text_col)).withColumnRenamed("node", "cls")
+    final = components(links(docs, sets, reps, size, like, bound, id_col, text_col, meetings)).withColumnRenamed("node", "cls")
     grouped = reps.join(final, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = grouped.groupBy("label").agg(F.min("smallest").alias("component_id"))
     named = grouped.join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id")
@@ -296,26 +307,31 @@ def classed(docs: DataFrame, sets: DataFrame, size: int, like: Likeness, bound:
         .select("doc_id", "text_hash", "cls", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def described(docs: DataFrame, size: int, keys: Callable[[np.ndarray], np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """One row a document for ``classed``: id, hash of the text, class (hash of its set), set size and the set's keys.
+def described(docs: DataFrame, size: int, keys: Callable[[np.ndarray], np.ndarray], id_col: str, text_col: str, vector: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """One row a document for ``classed``: id, hash of the text, class (hash of its set), set size, the set's keys and with ``vector`` its vector (``vec``).
 
-    A set that a task has met before gives no keys again.
+    A set that a task has met before gives no keys and no vector again.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("text_hash", "long").add("cls", "long").add("n", "integer").add("keys", T.ArrayType(T.LongType()))
+    if vector:
+        schema = schema.add("vec", "binary")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in it:
-            cls, n, found = [], [], []
+            cls, n, found, vec = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 c = set_hash(s)
                 cls.append(c)
                 n.append(len(s))
-                found.append(np.zeros(0, np.int64) if c in met or not len(s) else keys(s).view(np.int64))
+                again = c in met or not len(s)
+                found.append(np.zeros(0, np.int64) if again else keys(s).view(np.int64))
+                vec.append(None if again or not vector else vector(s))
                 met.add(c)
             if len(met) > 1 << 19:  # only spares rows, so it may be forgotten
                 met = set()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], schema.names)
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(vec, pa.binary())] if vector else [])], schema.names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     return small_batches(rows).mapInArrow(batches, schema)

@@ -2,12 +2,14 @@
 
 A text's set are its distinct word shingles, as 64-bit hashes.  Sets meet under
 keys: with the shingles in one global order, rare ones first, two sets that are
-alike enough share one of the first few.  Sets that meet so, directly or by
-others, are sent to one place once each (``linking``).  There the shingles of a
-set are hashed into groups, and the group counts are a point in an R-tree; the
-overlap of two sets, or of a set and all sets under a node, is at most the sum of
-the coordinate minima, so subtrees fall away.  Pairs that survive are verified on
-the shingles themselves.
+alike enough share one of the first few.  The shingles of a set are also hashed
+into groups, and the group counts are a point.  Keys are dealt over places; a
+place has an R-tree of the points of the sets that hold its keys.  The overlap of
+two sets, or of a set and all sets under a node, is at most the sum of the
+coordinate minima, so subtrees fall away; the sets that are left in pairs are
+joined, and a place hands on fewer joins than it has sets.  The few sets that are
+joined so are sent to a place of their own each cluster, once, and verified there
+on the shingles themselves, with a tree again (``linking``).
 
 No pairs are made within groups of copies.  Equal sets are one class, pairs that
 are in one component by then are passed over, and only links leave a place.
@@ -15,7 +17,6 @@ are in one component by then are passed over, and only links leave a place.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,11 @@ from credsweep.llm.common import read, small_batches, written
 from credsweep.llm.linking import Likeness
 from credsweep.llm.shingles import shingle_sets
 
-#: Hash groups of a point: some two shingles of a usual set of the place a group, between these.
-FEWEST, MOST = 16, 1024
+#: Hash groups of a point, between these; in a set's own vector some four shingles fall into one, in a place's tree two of a usual set's.
+FEWEST, MOST = 16, 1 << 14
+TREE_MOST = 1024
+#: Rows of keys that meet in one place, about; keys with more sets are dealt over pairs of blocks.
+PLACE, BLOCK = 512, 1024
 #: The sketch of shingle frequencies: 2^22 counters, in slots of this many.
 SKETCH_BITS, SLOT = 22, 8192
 #: Sets under a leaf of an R-tree, and children of an inner node.
@@ -40,7 +44,7 @@ LEAF = 16
 
 
 def frequency_levels(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
-    """For each of 2^22 hash buckets how far its shingles' frequency stands above the mean, 0 for the most.
+    """For each of 2^22 hash buckets how far its shingles' frequency stands above or below the mean, in eighths of a doubling.
 
     Counts cover all shingles.  They only order the shingles, so that texts don't
     meet under a passage that very many share; any order gives the same links.
@@ -67,12 +71,11 @@ def frequency_levels(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
     kind = "slot int, counts binary, total long"
     sums = written(small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(count, kind).repartition("slot").mapInArrow(add, kind), "counts")
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
-    usual = mean + 4 * math.sqrt(mean) + 4
 
     def levels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [np.rint(2 * np.log2(np.maximum(np.frombuffer(raw, np.int64) / usual, 1))) for raw in batch.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([np.clip(x, 0, 120).astype(np.int8).tobytes() for x in found], pa.binary())], ["slot", "levels"])
+            found = [np.rint(8 * np.log2((np.frombuffer(raw, np.int64) + 1) / (mean + 1))) for raw in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([np.clip(x, -120, 120).astype(np.int8).tobytes() for x in found], pa.binary())], ["slot", "levels"])
 
     rows = sums.mapInArrow(levels, "slot int, levels binary").toArrow()
     out = np.zeros(((1 << SKETCH_BITS) // SLOT, SLOT), np.int8)
@@ -127,7 +130,7 @@ class RTree:
 
 def count_vectors(n: np.ndarray, shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The sets of a place as points: how many of a set's shingles fall into each group, by their low bits."""
-    groups = min(max(FEWEST, 1 << (int(np.median(n)) // 2).bit_length()), MOST)
+    groups = min(max(FEWEST, 1 << (int(np.median(n)) // 2).bit_length()), TREE_MOST)
     at = owner * groups + (shingles & np.uint64(groups - 1)).astype(np.int64)
     return np.bincount(at, minlength=len(n) * groups).reshape(len(n), groups).astype(np.int32)
 
@@ -148,6 +151,128 @@ def tree_bound(like: Likeness) -> linking.Bound:
     return of
 
 
+# ---------------------------------------------------------------- places of keys
+
+
+def packed_vector(shingles: np.ndarray) -> bytes:
+    """A set's count vector: bytes a count, then the counts by group.
+
+    The groups are the shingles' low bits, a power of two of them, so a longer
+    vector folds into a shorter one.
+    """
+    groups = min(max(FEWEST, 1 << (len(shingles) // 4).bit_length()), MOST)
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, like: Likeness) -> bool:
+    """Whether the summed minima of two count vectors, at the groups of the shorter, reach the overlap of alike sets."""
+    groups = min(len(x), len(y))
+    return np.minimum(folded(x, groups), folded(y, groups)).sum() >= like.overlap(x.sum(), y.sum())
+
+
+def place_joins(cls: np.ndarray, side: np.ndarray, vectors: list[np.ndarray], like: Likeness) -> list[tuple[int, int]]:
+    """Joins the sets of a place that may be alike, directly or by others.
+
+    The tree's points are the vectors folded to the shortest of the place; what
+    it finds is bounded once more by the vectors themselves.  With sets of two
+    sides only pairs across them count.
+    """
+    n = np.array([v.sum() for v in vectors])
+    order = np.argsort(n, kind="stable")
+    cls, side, n, vectors = cls[order], side[order], n[order], [vectors[i] for i in order.tolist()]
+    groups = min(max(FEWEST, 64), min(map(len, vectors)))
+    tree = RTree(np.array([folded(v, groups) for v in vectors], np.int32))
+    last = np.searchsorted(n, n * 100 // like.percent, side="right")
+    two = side.any() and not side.all()
+    comp = np.arange(len(cls))
+    for i in range(len(cls)):
+        if last[i] <= i + 1:
+            continue
+        rows = tree.query(tree.points[i], like.overlap(n, n[i]), int(like.overlap(n[i], n[i])))
+        rows = rows[(rows > i) & (rows < last[i])]
+        rows = rows[comp[rows] != comp[i]]
+        if two:
+            rows = rows[side[rows] != side[i]]
+        for r in rows.tolist():
+            if comp[r] != comp[i] and may_be_alike(vectors[i], vectors[r], like):
+                comp[comp == comp[r]] = comp[i]
+    return linking.stars(cls, np.arange(len(cls)), comp)
+
+
+def meetings_by_tree(sets: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs that join sets which share a key and may be alike, or that others join so.
+
+    A set is in a place once, whatever keys it has there; pairs of a place that
+    share no key are looked at, too, which joins no others than may be alike.
+    """
+    keyed = sets.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
+    rows = written(_shared(keyed.repartition("key").sortWithinPartitions("key", "cls")), "shared")
+    parts = 1 + rows.count() // PLACE
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("key", F.ceil(F.col("k") / (BLOCK // 2)).cast("int").alias("blocks"))
+    sized = rows.join(crowded, "key", "left")
+    usual = sized.where("blocks IS NULL").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("place"), F.lit(0).alias("side"), "cls")
+    split = sized.where("blocks IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls")
+    vectors = sets.where("vec IS NOT NULL").select("cls", "vec")
+    placed = usual.union(split).distinct().join(vectors, "cls").repartition("place").sortWithinPartitions("place", "cls")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def closed() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            return place_joins(np.array(list(held)), np.array([x[0] for x in held.values()]), [vector(x[1]) for x in held.values()], like)
+
+        for batch in it:
+            out = []
+            for place, cls, side, vec in zip(*(batch.column(c).to_pylist() for c in ("place", "cls", "side", "vec"))):
+                if place != at:
+                    out += closed()
+                    at, held = place, {}
+                held.setdefault(cls, (side, vec))
+            yield linking.pair_rows(out)
+        yield linking.pair_rows(closed())
+
+    return placed.mapInArrow(batches, "a long, b long").distinct()
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows ``key, cls`` of keys that several sets hold; they stream by key."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, and whether it was handed on
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+            if held:
+                key, cls = np.append(held[0], key), np.append(held[1], cls)
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            passed = bool(held and held[2])
+            key, cls = key[fresh], cls[fresh]
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            out = same[:-1] | same[1:]
+            held = key[-1], cls[-1], bool(out[-1]) or passed and len(key) == 1
+            if passed:
+                out[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(cls[out])], ["key", "cls"])
+
+    return rows.select("key", "cls").mapInArrow(batches, "key long, cls long")
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -169,8 +294,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
         order = np.argsort(levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
         return s[order[:like.prefix(len(s))]]
 
-    sets = written(linking.described(docs, size, keys, id_col, text_col), "sets")
-    return linking.classed(docs, sets, size, like, tree_bound(like), id_col, text_col)
+    sets = written(linking.described(docs, size, keys, id_col, text_col, packed_vector), "sets")
+    return linking.classed(docs, sets, size, like, tree_bound(like), id_col, text_col, meetings_by_tree)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What else the pair join must keep: points never bound too low, and alike sets share a key."""
 import numpy as np
+import pytest
 
 from credsweep.llm import ngram_join as nj
 
@@ -36,3 +37,42 @@ def test_prefixes_meet_for_every_alike_pair():
             order = {int(x): k for k, x in enumerate(rng.permutation(np.unique(np.concatenate([a, b]))))}
             small, large = (sorted((int(x) for x in s), key=order.get) for s in (small, large))
             assert set(small[:like.index_prefix(len(small))]) & set(large[:like.prefix(len(large))])
+
+
+def test_joins_of_places_hold_every_alike_pair():
+    rng = np.random.default_rng(6)
+    like = nj.Likeness(80)
+    for _ in range(20):
+        sets = []
+        for _ in range(12):
+            base = rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64)
+            sets += [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(1, len(base) // 12 + 2)), dtype=np.uint64)])) for _ in range(4)]
+        vectors = [nj.vector(nj.packed_vector(s)) for s in sets]
+        assert [int(v.sum()) for v in vectors] == list(map(len, sets))
+        for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+            parent = list(range(len(sets)))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in nj.place_joins(np.arange(len(sets)), side, vectors, like):
+                assert find(a) != find(b)
+                parent[find(a)] = find(b)
+            for i in range(len(sets)):
+                for j in range(i):
+                    common = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common) and (not side.any() or side[i] != side[j]):
+                        assert nj.may_be_alike(vectors[i], vectors[j], like) and find(i) == find(j)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_shared_keys_across_batches(spark, size):
+    rows = [(k, c) for k in range(60) for c in range(k % 4) for _ in range(1 + c % 2)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    df = spark.createDataFrame(rows, "key long, cls long").coalesce(1).sortWithinPartitions("key", "cls")
+    got = sorted(map(tuple, nj._shared(df).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted({r for r in rows if r[0] % 4 > 1})
