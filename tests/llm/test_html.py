@@ -65,3 +65,45 @@ def test_table(spark):
     out = extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out) == [(0, 0), (1, len(main_text(PAGE))), (1, len(main_text(PAGE))), (2, 0)]
     assert extract(pages.limit(0)).collect() == [] and extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+
+
+LONG = ["Long text of the page that goes on for a while. " * 4, "More text of the page, which has something to say. " * 4, "The end of the text comes after all of that. " * 4]
+BODY = "".join(f"<p>{p}</p>" for p in LONG)
+TEXT = "\n".join(p.strip() for p in LONG)
+
+
+def test_inline_elements_are_part_of_their_sentence():
+    assert main_text('<p>This is <em class="notice">very important</em> text for the reader.</p>') == "This is very important text for the reader."
+    assert main_text('<p>This is <span class="ad">an advert</span> and <b id="menu">bold</b>.</p>') == "This is an advert and bold."
+    assert main_text('<p>What <span hidden>nobody <span>ever</span> sees</span> is not <i style="display:none">x</i>here.</p><p>Next <b hidden>open<p>one') == "What is not here.\nNext\none"
+
+
+def test_names_that_mean_something_else():
+    for name in ("share-price", "noticeOfRights", "alert-fatigue", "form-of-government", "header-only-library", "social-history"):
+        assert main_text(f"<body><article><p>{LONG[0]}</p><div class='{name}'><p>{LONG[1]}</p></div><p>{LONG[2]}</p></article></body>") == TEXT, name
+        assert main_text(f"<body><div><p>{LONG[0]}</p><div id='{name}'><p>{LONG[1]}</p></div><p>{LONG[2]}</p></div></body>") == TEXT, name
+    # such names with links only, and sure names, still count
+    links = "<a href=1>One thing to look at</a> <a href=2>Another thing to look at</a>"
+    for part in (f"<div class='share-story'><p>{links}</p></div>", f"<div class='share-buttons'><p>{LONG[1]}</p></div>", f"<div class='google-ads'><p>{LONG[1]}</p></div>"):
+        assert main_text(f"<body><article>{BODY}{part}</article></body>") == TEXT, part
+
+
+def test_blocks_beside_the_article_without_telling_names():
+    notice = "<div class='x1'><p>We use cookies to make this long notice as long as any paragraph. Accept them all, please do.</p></div>"
+    advert = "<div class='x3'><p>Buy things now, they are cheap, they are good, they are yours for a very small price indeed.</p></div>"
+    assert main_text(f"<body>{notice}<div class='x2'>{BODY}</div>{advert}</body>") == TEXT
+    assert main_text(f"<body><div>{notice}<div class='x2'><h1>Title</h1>{BODY}</div>{advert}</div></body>") == "Title\n" + TEXT
+    # what a heading leads to is part of the article
+    assert main_text(f"<body><h1>Title</h1><div><p>A short lead.</p></div><div>{BODY}</div></body>") == "Title\nA short lead.\n" + TEXT
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        begun = time.process_time()
+        assert main_text("<div>" + "<div>".join("<b>x</b> <b>y</b> <b>z</b> <b>u</b> <b>v</b>" for _ in range(n)))
+        return time.process_time() - begun
+
+    seconds(500)
+    assert seconds(4000) < 6 * max(seconds(1000), 0.05)
