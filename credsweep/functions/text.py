@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dialect import SPACE_CHARS, java
+from .reuse import once
 from ..operators.tables import PREFIXES
 
 # --------------------------------------------------------------------------
@@ -157,11 +158,11 @@ def is_nonblank(line) -> Column:
 # P2 / P6 -------------------------------------------------------------------
 def prefix_array(prefixes=PREFIXES) -> Column:
     """The prefix table as a literal array of structs (35 rows, size fixed)."""
-    return F.array(*[
+    return once(("prefixes", tuple(prefixes)), lambda: F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(p.prefix).alias("prefix"),
                  F.lit(p.provider).alias("provider"), F.lit(p.type).alias("type"),
                  F.lit(p.length).alias("expected_length"), F.lit(p.score).alias("base_score"))
-        for i, p in enumerate(prefixes, 1)])
+        for i, p in enumerate(prefixes, 1)]))
 
 
 def has_known_prefix(v, prefixes=PREFIXES) -> Column:

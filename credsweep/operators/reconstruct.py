@@ -60,10 +60,17 @@ def index_key(idx: Column) -> Column:
     return F.struct(F.length(digits).alias("n"), digits.alias("d"))
 
 
-def joined_parts(items: Column) -> Column:
-    """Parts (items with ``label`` = index, ``value``, ``line_num``) in index order, ties by line; equal ones once."""
-    return F.array_sort(F.array_distinct(F.transform(items, lambda p: F.struct(
-        index_key(p["label"]).alias("k"), p["line_num"].alias("line_num"), p["value"].alias("value")))))
+def part_key(idx: Column, line_num: Column, value: Column) -> Column:
+    """What a part is kept as until its value is joined; parts stand in this order, by index, ties by line."""
+    return F.struct(index_key(idx).alias("k"), line_num.alias("line_num"), value.alias("value"))
+
+
+def without_repeats(parts: str) -> Column:
+    """A sorted array column's elements, equal ones once.
+
+    The neighbour is looked at: ``array_distinct`` compares all pairs of structs.
+    """
+    return F.filter(parts, lambda p, i: (i == 0) | (p != F.get(F.col(parts), i - 1)))
 
 
 def keep_group(kind: Column, value: Column, entropy: Column, prefixes=PREFIXES) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.dialect import java
+from ..functions.reuse import once
 from .tables import RULES, Rule
 
 GATE_FOLD_FROM = "ſıİK"
@@ -113,21 +114,26 @@ def _staged_matches(df: DataFrame, rules, use_gates: bool) -> DataFrame:
     """Line rows with ``_m<i>``: the secrets of rule i's matches, NULL where the rule does not apply."""
     cols = df.columns
     staged = df.select("*", gate_text(F.col("line")).alias("_low")) if use_gates else df
-    tmp = []
-    for i, r in enumerate(rules, 1):
+
+    def matches(i: int, r: Rule) -> Column:
         cond = rule_applies(r, F.col("is_test"), F.col("filename"), F.col("nonblank"))
         if use_gates:
             cond = cond & gate_condition(r, F.col("_low"))
-        tmp.append(F.when(cond, all_matches(F.col("line"), r, 1)).alias(f"_m{i}"))
-    return staged.select(*cols, *tmp)
+        return F.when(cond, all_matches(F.col("line"), r, 1)).alias(f"_m{i}")
+
+    return staged.select(*cols, *once(("matches", tuple(rules), use_gates), lambda: [matches(i, r) for i, r in enumerate(rules, 1)]))
 
 
 def add_rule_matches(df: DataFrame, rules=RULES, use_gates: bool = True, out: str = "rule_matches") -> DataFrame:
     """Adds ``out`` = array<struct<rule_id, whole, secrets>>, one element for each rule with a match in the line."""
     staged = _staged_matches(df, rules, use_gates)
-    found = [F.when(F.size(f"_m{i}") > 0, F.struct(F.lit(i).alias("rule_id"), all_matches(F.col("line"), r, 0).alias("whole"), F.col(f"_m{i}").alias("secrets")))
-             for i, r in enumerate(rules, 1)]
-    return staged.select(*df.columns, F.filter(F.array(*found), lambda m: m.isNotNull()).alias(out))
+
+    def found(i: int, r: Rule) -> Column:
+        whole = all_matches(F.col("line"), r, 0) if r.captures else F.col(f"_m{i}")
+        return F.when(F.size(f"_m{i}") > 0, F.struct(F.lit(i).alias("rule_id"), whole.alias("whole"), F.col(f"_m{i}").alias("secrets")))
+
+    every = once(("found", tuple(rules)), lambda: F.filter(F.array(*[found(i, r) for i, r in enumerate(rules, 1)]), lambda m: m.isNotNull()))
+    return staged.select(*df.columns, every.alias(out))
 
 
 def add_rule_hits(df: DataFrame, rules=RULES, use_gates: bool = True, out: str = "regex_hits") -> DataFrame:
@@ -136,28 +142,23 @@ def add_rule_hits(df: DataFrame, rules=RULES, use_gates: bool = True, out: str =
     Needs columns line, is_test, filename, nonblank.  At most one hit per
     (line, rule): the first match whose secret value is not a placeholder.
 
-    Built as four projections (gate text, matches, first surviving index,
-    hits).  Each intermediate column is referenced several times, so
-    Catalyst keeps it materialized instead of re-evaluating it.
+    Built as projections (gate text, matches, matches of the rules that have
+    any, hits).  Each intermediate column is referenced several times, so
+    Catalyst keeps it materialized instead of re-evaluating it.  The
+    placeholder test stands in the plan once, over the few rules with matches.
     """
-    cols = df.columns
-    staged = _staged_matches(df, rules, use_gates)
-    idx = [F.array_position(F.transform(f"_m{i}", lambda s: ~tx.is_placeholder(s)), True)
-           .cast("int").alias(f"_i{i}") for i in range(1, len(rules) + 1)]
-    staged = staged.select("*", *idx)
-
-    hits = []
-    for i, r in enumerate(rules, 1):
-        m, ix = F.col(f"_m{i}"), F.col(f"_i{i}")
-        secret = F.try_element_at(m, ix)
-        if r.captures:
-            whole = F.try_element_at(all_matches(F.col("line"), r, 0), ix)
-        else:
-            whole = secret
-        hits.append(F.when(ix > 0, F.struct(F.lit(i).alias("rule_id"), whole.alias("match"),
-                                            secret.alias("secret"))))
-    arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return staged.select(*cols, arr.alias(out))
+    found = add_rule_matches(df, rules, use_gates, "_found")
+
+    def kept() -> Column:
+        placed = F.transform("_found", lambda m: F.struct(
+            m["rule_id"].alias("rule_id"), m["whole"].alias("whole"), m["secrets"].alias("secrets"),
+            F.array_position(F.transform(m["secrets"], lambda s: ~tx.is_placeholder(s)), True).cast("int").alias("at")))
+        return F.filter(placed, lambda m: m["at"] > 0).alias("_kept")
+
+    staged = found.select(*df.columns, once(("kept",), kept))
+    hits = F.transform("_kept", lambda m: F.struct(
+        m["rule_id"].alias("rule_id"), F.get(m["whole"], m["at"] - 1).alias("match"), F.get(m["secrets"], m["at"] - 1).alias("secret")))
+    return staged.select(*df.columns, hits.alias(out))
 
 
 def rule_hits(lines: DataFrame, rules=RULES, use_gates: bool = True) -> DataFrame:
@@ -171,8 +172,7 @@ def rule_hits(lines: DataFrame, rules=RULES, use_gates: bool = True) -> DataFram
 
 def rule_attr(attr: str, rule_id: Column, rules=RULES) -> Column:
     """Look up a rule attribute by 1-based id from a literal array."""
-    vals = [getattr(r, attr) for r in rules]
-    return F.element_at(F.array(*[F.lit(v) for v in vals]), rule_id)
+    return F.element_at(once(("attr", attr, tuple(rules)), lambda: F.array(*[F.lit(getattr(r, attr)) for r in rules])), rule_id)
 
 
 def rules_from_table(rule_df: DataFrame) -> tuple[Rule, ...]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.reuse import once
 from .rules import rule_attr
 from .tables import RULES
 
@@ -92,14 +93,8 @@ def prefix_confidence(value: Column, e: Column, pscore: Column, plen: Column, is
                  + F.when(F.length(value) * 2 < plen, -20).otherwise(0))
 
 
-def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
-    """One candidate finding per evidence row (or none).
-
-    ``ev`` columns: doc_id, doc_hash, filename, is_test, line_num, kw, env_ref, noise,
-    pnoise, is_comment, nearby, ev, key, rule_id, value, text, label, pord,
-    provider, ptype, plen, pscore.
-    """
-    staged = ev.select("*", tx.entropy(F.col("value")).alias("_e"))
+def _scores(rules) -> tuple[Column, ...]:
+    """Rule name, category, confidence, match, fix and source of an evidence row with its entropy ``_e``."""
     e, v, kind = F.col("_e"), F.col("value"), F.col("ev")
     enc = F.col("label")
     has_p = F.col("pord").isNotNull()
@@ -145,6 +140,18 @@ def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
                   F.col("label"), F.lit(")")))
               .when(kind == EV_DECODED, F.concat(F.lit("decoded:"), enc))
               .otherwise(F.concat(F.lit("reconstructed:"), enc)))
+    return rule, category, conf, raw_match, fix, source
+
+
+def score_evidence(ev: DataFrame, rules=RULES) -> DataFrame:
+    """One candidate finding per evidence row (or none).
+
+    ``ev`` columns: doc_id, doc_hash, filename, is_test, line_num, kw, env_ref, noise,
+    pnoise, is_comment, nearby, ev, key, rule_id, value, text, label, pord,
+    provider, ptype, plen, pscore.
+    """
+    staged = ev.select("*", tx.entropy(F.col("value")).alias("_e"))
+    rule, category, conf, raw_match, fix, source = once(("scores", tuple(rules)), lambda: _scores(rules))
     scored = staged.select(
         "doc_id", "doc_hash", F.col("filename").alias("file"), F.col("line_num").alias("line"), "ev", "key",
         rule.alias("rule"), category.alias("category"), conf.cast("int").alias("confidence"),

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.reuse import once
 from ..operators.candidates import assigned_token, prefix_line_candidates, quoted_tokens, raw_values
 from ..operators.decode import add_decode_chain, cmd_decodes
 from ..operators.lines import lines as split_normalize
-from ..operators.reconstruct import METHODS, assignment_part, concat_literal, joined_parts, keep_group
+from ..operators.reconstruct import METHODS, assignment_part, concat_literal, keep_group, part_key, without_repeats
 from ..operators.rules import add_rule_hits, rules_from_table
 from ..operators.score import (EV_DECODED, EV_PREFIX, EV_RECON, EV_REGEX, dedup_findings,
                                rank_findings, score_evidence, with_severity)
@@ -81,7 +82,7 @@ def line_items(ls: DataFrame, rules=RULES, use_gates: bool = True, families=FAMI
         df = add_decode_chain(df, "_raw", "_chain")
     made = {"commands": lambda: cmd_decodes(line, prefixes).alias("_cmd"), "candidates": lambda: prefix_line_candidates(line, code).alias("_pc"),
             "concat": lambda: concat_literal(line, prefixes).alias("_r1"), "parts": lambda: assignment_part(line).alias("_part")}
-    df = df.select("*", *[made[f]() for f in made if f in families])
+    df = df.select("*", *[once(("made", f, tuple(prefixes)), made[f]) for f in made if f in families])
     none = F.array().cast("array<int>")
     arrays = {
         "rules": lambda: F.transform("regex_hits", lambda h: _item(K_REGEX, 0, ln, h["rule_id"], 0, none, h["secret"],
@@ -99,7 +100,7 @@ def line_items(ls: DataFrame, rules=RULES, use_gates: bool = True, families=FAMI
             K_PART, F.col("_part.kind") + 2, ln, 0, 0, none, F.col("_part.value"),
             F.col("_part.name"), F.col("_part.idx")))).otherwise(_empty(ITEM)),
     }
-    items = F.concat(*[arrays[f]() for f in FAMILIES if f in families])
+    items = F.concat(*[once(("items", f), arrays[f]) for f in FAMILIES if f in families])
     out = df.select(*DOC, "line_num", *FEATURES,
                     F.explode_outer(items).alias("it")).where(F.col("it").isNotNull())
     return out.select(*DOC, "line_num", *FEATURES, "it.*")
@@ -109,39 +110,39 @@ def fold_parts(items: DataFrame, prefixes=PREFIXES) -> DataFrame:
     """Part items become one reconstructed item for each (document, kind, name); other items pass through.
 
     One aggregation: parts meet by name, all other items by line, so both need
-    the items once.  A value is joined from its parts in index order; its item
-    stands at the line of the lowest index, with that line's features.
+    the items once.  Of a part only its index, line and value are gathered, and of
+    a name's first line (that of the lowest index) the features: a generated file
+    with millions of parts of one name is an array of small structs.
     """
     part = F.col("kind") == K_PART
     columns = [c for c in items.columns if c not in DOC]
+    one = part_key(F.col("label"), F.col("line_num"), F.col("value"))
     packed = items.select(
         *DOC, F.when(part, F.col("grp") - 2).alias("pk"), F.when(part, F.col("text")).alias("pname"),
-        F.when(~part, F.col("line_num")).alias("at"), F.struct(*columns).alias("it"))
-    g = packed.groupBy(*DOC, "pk", "pname", "at").agg(F.collect_list("it").alias("its"))
-    g = g.select("*", F.when(F.col("pk").isNotNull(), joined_parts(F.col("its"))).alias("ps"))
-    g = g.select("*", F.when(F.size("ps") >= 2, F.array_join(F.transform("ps", lambda p: p["value"]), "")).alias("joined"))
+        F.when(~part, F.col("line_num")).alias("at"), F.when(~part, F.struct(*columns)).alias("it"), F.when(part, one).alias("part"),
+        F.when(part, F.struct(one.alias("key"), *FEATURES)).alias("head"))
+    g = packed.groupBy(*DOC, "pk", "pname", "at").agg(
+        F.collect_list("it").alias("its"), F.array_sort(F.collect_list("part")).alias("sorted"), F.min("head").alias("head"), F.min("part.line_num").alias("seen"))
+    g = g.select("*", F.when(F.col("pk").isNotNull(), without_repeats("sorted")).alias("ps")).drop("sorted")
+    g = g.select("*", F.when(F.size("ps") >= 2, F.array_join(F.transform("ps", lambda p: p["value"]), "")).alias("joined")).drop("ps")
     g = g.select("*", tx.entropy(F.col("joined")).alias("_e"))
-    g = g.select(*DOC, "pk", "its", "ps", F.when(F.col("joined").isNotNull() & keep_group(F.col("pk"), F.col("joined"), F.col("_e"), prefixes),
-                                                 F.col("joined")).alias("joined"))
-    first = F.get(F.filter("its", lambda p: p["line_num"] == F.get(F.col("ps"), 0)["line_num"]), 0)
-    seen = F.array_min(F.transform("its", lambda p: p["line_num"]))
+    g = g.select(*DOC, "pk", "its", "head", "seen", once(("joined", tuple(prefixes)), lambda: F.when(
+        F.col("joined").isNotNull() & keep_group(F.col("pk"), F.col("joined"), F.col("_e"), prefixes), F.col("joined")).alias("joined")))
     # text: the value's head, as R1 has the literal with the known prefix there
-    value = {"kind": F.lit(K_RECON), "grp": F.col("pk") + 2, "ln": seen, "sub": F.lit(0), "pos": F.lit(0),
+    value = {"line_num": F.col("head.key.line_num"), "kind": F.lit(K_RECON), "grp": F.col("pk") + 2, "ln": F.col("seen"), "sub": F.lit(0), "pos": F.lit(0),
              "path": F.array().cast("array<int>"), "value": F.col("joined"), "text": F.substring("joined", 1, HEAD),
              "label": F.when(F.col("pk") == 2, METHODS[2]).otherwise(METHODS[3]), "rule_id": F.lit(None).cast("int")}
     types = dict(items.dtypes)
-    made = F.struct(*[value.get(c, first[c]).cast(types[c]).alias(c) for c in columns])
+    made = F.struct(*[value.get(c, F.col(f"head.{c}") if c in FEATURES else None).cast(types[c]).alias(c) for c in columns])
     none = F.array().cast("array<" + items.select(F.struct(*columns).alias("x")).schema["x"].dataType.simpleString() + ">")
     its = F.when(F.col("pk").isNull(), F.col("its")).when(F.col("joined").isNotNull(), F.array(made)).otherwise(none)
     out = g.select(*DOC, F.explode_outer(its).alias("it")).where(F.col("it").isNotNull())
     return out.select(*DOC, "it.*").select(*items.columns)
 
 
-def evidence(all_items: DataFrame, prefixes=PREFIXES) -> DataFrame:
-    """Items -> evidence rows: regex hits, prefix hits (P4), decoded and reconstructed values."""
+def _evidence() -> Column:
+    """What an item and the prefixes that it matches give evidence of."""
     kind = F.col("kind")
-    staged = all_items.select("*", F.when(kind.isin(K_CAND, K_DECODED, K_RECON),
-                                          tx.matching_prefixes(F.col("value"), prefixes)).alias("_pm"))
     ev_t = "struct<ev:int,pord:int,provider:string,ptype:string,plen:int,pscore:int>"
 
     def ev(code, p=None):
@@ -153,14 +154,22 @@ def evidence(all_items: DataFrame, prefixes=PREFIXES) -> DataFrame:
                         p["type"].alias("ptype"), p["expected_length"].alias("plen"),
                         p["base_score"].alias("pscore"))
     fp = F.get(F.col("_pm"), 0)
-    arr = F.concat(
+    return F.concat(
         F.when(kind == K_REGEX, F.array(ev(EV_REGEX))).otherwise(_empty(ev_t)),
         F.coalesce(F.transform("_pm", lambda p: ev(EV_PREFIX, p)), _empty(ev_t)),
         F.when(kind == K_DECODED, F.array(F.when(fp.isNull(), ev(EV_DECODED)).otherwise(ev(EV_DECODED, fp))))
          .otherwise(_empty(ev_t)),
         F.when(kind == K_RECON, F.array(F.when(fp.isNull(), ev(EV_RECON)).otherwise(ev(EV_RECON, fp))))
          .otherwise(_empty(ev_t)))
-    rows = staged.select(*all_items.columns, F.explode_outer(arr).alias("e")).where(F.col("e").isNotNull())
+
+
+def evidence(all_items: DataFrame, prefixes=PREFIXES) -> DataFrame:
+    """Items -> evidence rows: regex hits, prefix hits (P4), decoded and reconstructed values."""
+    kind = F.col("kind")
+    staged = all_items.select("*", once(("matching", tuple(prefixes)), lambda: F.when(
+        kind.isin(K_CAND, K_DECODED, K_RECON), tx.matching_prefixes(F.col("value"), prefixes)).alias("_pm")))
+    arr = once(("evidence",), _evidence)
+    rows = staged.select(*all_items.columns, F.explode_outer(arr).alias("e")).where("e IS NOT NULL")
     key = F.struct((F.col("e.ev") - 1).alias("phase"), F.col("grp"), F.col("ln"), F.col("sub"), F.col("pos"),
                    F.col("path"), F.when(F.col("e.ev") == EV_PREFIX, F.col("e.pord")).otherwise(0).alias("pord"))
     return rows.select(*DOC, "line_num", *FEATURES, "rule_id", "value", "text", "label", key.alias("key"), "e.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from credsweep.operators import reconstruct as rc
 from credsweep.operators.rules import LINEAR, all_matches, pattern_of
 from credsweep.operators.tables import RULES
+from credsweep.plans.scan import K_RECON, fold_parts, scan_items
 
 RULE = {r.name: r for r in RULES}
 PIECES = {
@@ -78,3 +79,23 @@ def test_patterns_by_hand():
     assert plain["JDBC Connection with Password"].search("u=jdbc:mysql://h/d?user=a&password=p4ss x").group(1) == "jdbc:mysql://h/d?user=a&password=p4ss"
     assert plain["URL with Embedded Credentials"].search("see https://u:p@h/x now").group(1) == "https://u:p@h/x"
     assert plain["Firebase Config Inline"].search("var firebaseConfig = {a: 1, apiKey : 'k'}").group(0) == "firebaseConfig = {a: 1, apiKey :"
+
+
+def test_many_parts_of_one_name(spark):
+    """A generated file whose lines are all parts of one array; equal parts count once, order is by index."""
+    n = 60_000
+    order = [(i * 7919) % n for i in range(n)]
+    value = lambda i: f"{i * 2654435761 % 2**32:08x}"
+    text = "\n".join(f't[{i}] = "{value(i)}"' for i in order) + '\nt[0] = "zzzz"\nkey1 = "sk_live_"\nkey10 = "gh"\nkey2 = "abcdef"'
+    begun = time.time()
+    found = [r for r in scan_items_folded(spark, text) if r.kind == K_RECON]
+    assert time.time() - begun < 240
+    values = {r.value[:10]: r for r in found}
+    whole = next(r for r in found if len(r.value) > 1000)
+    assert whole.value == value(0) + "zzzz" + "".join(value(i) for i in range(1, n)) and whole.line_num == order.index(0) + 1 and whole.ln == 1
+    assert "sk_live_ab" in values and values["sk_live_ab"].value == "sk_live_abcdefgh"
+
+
+def scan_items_folded(spark, text):
+    docs = spark.createDataFrame([(1, "a.py", text)] * 2, "doc_id bigint, filename string, text string").coalesce(1)
+    return fold_parts(scan_items(docs, families=("parts",))).collect()
