@@ -557,17 +557,25 @@ def _shared(spark, sf):
     return corpus(spark, sf).withColumn("doc_id", F.expr(_SHARED.format(div="div")))
 
 
-@register("E2_split_confirmed_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
+def _shown(df):
+    """Results with -1 where there is no id: clients differ in how they show whole numbers beside NULLs."""
+    return df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+
+
+_SHOWN_SQL = f"coalesce({_SHARED_SQL}, -1)"
+
+
+@register("E2_split_confirmed_shared_ids", W(f"SELECT {_SHOWN_SQL} AS doc_id, count(*) FILTER (WHERE category <> 'candidate') AS confirmed, "
                                              "count(*) FILTER (WHERE category = 'candidate') AS candidates FROM ranked GROUP BY ranked.doc_id", source_sql=_SHARED_DOCS))
 def q_split_shared(spark, sf):
-    return split_confirmed(scan(_shared(spark, sf))).drop("doc_hash")
+    return _shown(split_confirmed(scan(_shared(spark, sf))).drop("doc_hash"))
 
 
-@register("E3_file_report_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, section, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY rank)::INTEGER AS n, "
+@register("E3_file_report_shared_ids", W(f"SELECT {_SHOWN_SQL} AS doc_id, section, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY rank)::INTEGER AS n, "
                                          "severity, confidence, file, line, source, rule, match, fix FROM "
                                          f"(SELECT *, {_SECTION} AS section FROM ranked) s", source_sql=_SHARED_DOCS))
 def q_file_report_shared(spark, sf):
-    return file_report(scan(_shared(spark, sf))).drop("doc_hash")
+    return _shown(file_report(scan(_shared(spark, sf))).drop("doc_hash"))
 
 
 @register("E4_corpus_report_shared_ids", W("SELECT section, confidence, file, min(n) AS first, max(n) AS last, count(*) AS rows FROM "
@@ -586,9 +594,9 @@ def q_corpus_summary_shared(spark, sf):
     return corpus_summary(_shared(spark, sf), scan(_shared(spark, sf)))
 
 
-@register("E5_clean_docs_shared_ids", W(f"SELECT {_SHARED_SQL} AS doc_id, filename FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ranked)", source_sql=_SHARED_DOCS))
+@register("E5_clean_docs_shared_ids", W(f"SELECT {_SHOWN_SQL} AS doc_id, filename FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ranked)", source_sql=_SHARED_DOCS))
 def q_clean_docs_shared(spark, sf):
-    return clean_docs(_shared(spark, sf), scan(_shared(spark, sf)))
+    return _shown(clean_docs(_shared(spark, sf), scan(_shared(spark, sf))))
 
 
 # ---------------------------------------------------------------- S2-S7: directory trees
