@@ -3,13 +3,14 @@
 A text's set are its distinct word shingles, as 64-bit hashes.  Sets meet under
 keys: with the shingles in one global order, rare ones first, two sets that are
 alike enough share one of the first few.  The shingles of a set are also hashed
-into groups, and the group counts are a point.  Keys are dealt over places; a
-place has an R-tree of the points of the sets that hold its keys.  The overlap of
+into groups, and the group counts are a point.  The sets of a key stand in an
+R-tree of their points; a key with no more sets than a leaf holds is a tree of
+one leaf, and such leaves are looked at many at a time.  The overlap of
 two sets, or of a set and all sets under a node, is at most the sum of the
 coordinate minima, so subtrees fall away; the sets that are left in pairs are
-joined, and a place hands on fewer joins than it has sets.  The few sets that are
-joined so are sent to a place of their own each cluster, once, and verified there
-on the shingles themselves, with a tree again (``linking``).
+joined, and a larger tree hands on fewer joins than it has sets.  The few sets
+that are joined so are sent to a place of their own each cluster, once, and
+verified there on the shingles themselves, with a tree again (``linking``).
 
 No pairs are made within groups of copies.  Equal sets are one class, pairs that
 are in one component by then are passed over, and only links leave a place.
@@ -32,8 +33,10 @@ from credsweep.llm.shingles import shingle_sets
 #: Hash groups of a point, between these; in a set's own vector some four shingles fall into one, in a place's tree two of a usual set's.
 FEWEST, MOST = 16, 1 << 14
 TREE_MOST = 1024
-#: Rows of keys that meet in one place, about; keys with more sets are dealt over pairs of blocks.
-PLACE, BLOCK = 512, 1024
+#: Keys with more sets are dealt over pairs of blocks.
+BLOCK = 1024
+#: Rows of keys that are looked at together, and pairs of points.
+ROWS, PAIRS = 20_000, 1 << 16
 #: The sketch of shingle frequencies: 2^22 counters, in slots of this many.
 SKETCH_BITS, SLOT = 22, 8192
 #: Sets under a leaf of an R-tree, and children of an inner node.
@@ -209,41 +212,89 @@ def place_joins(cls: np.ndarray, side: np.ndarray, vectors: list[np.ndarray], li
     return linking.stars(cls, np.arange(len(cls)), comp)
 
 
-def meetings_by_tree(sets: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs that join sets which share a key and may be alike, or that others join so.
+def leaf_joins(run: np.ndarray, cls: np.ndarray, raw: list[bytes], like: Likeness) -> list[tuple[int, int]]:
+    """Pairs that may be alike of the sets of each run, all runs being trees of one leaf.
 
-    A set is in a place once, whatever keys it has there; pairs of a place that
-    share no key are looked at, too, which joins no others than may be alike.
+    Points are compared at the groups of the shorter one, all pairs of one length at a time.
     """
+    length = np.array([(len(x) - 1) // x[0] for x in raw])
+    points: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by groups: rows, then their points
+    n, where = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+    for groups in np.unique(length).tolist():
+        rows = np.flatnonzero(length == groups)
+        found = np.array([vector(raw[i]) for i in rows.tolist()], np.int32)
+        points[groups], n[rows], where[rows] = (rows, found), found.sum(axis=1), np.arange(len(rows))
+    a, b = [], []
+    for d in range(1, LEAF):
+        i = np.flatnonzero(run[d:] == run[:-d])
+        a.append(i)
+        b.append(i + d)
+    a, b = np.concatenate(a), np.concatenate(b)
+    near = (100 * np.minimum(n[a], n[b]) >= like.percent * np.maximum(n[a], n[b])) & (cls[a] != cls[b])
+    a, b = a[near], b[near]
+    swap = cls[a] > cls[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    first = np.unique(np.stack([cls[a], cls[b]], axis=1), axis=0, return_index=True)[1] if len(a) else np.zeros(0, int)
+    a, b = a[first], b[first]
+    out = []
+    for groups in np.unique(np.minimum(length[a], length[b])).tolist():
+        for at in np.array_split(of := np.flatnonzero(np.minimum(length[a], length[b]) == groups), 1 + len(of) * groups // (PAIRS * 64)):
+            x, y = (_points(points, length[r], where[r], groups) for r in (a[at], b[at]))
+            alike = np.minimum(x, y).sum(axis=1) >= like.overlap(n[a[at]], n[b[at]])
+            out += zip(cls[a[at]][alike].tolist(), cls[b[at]][alike].tolist())
+    return out
+
+
+def _points(points: dict[int, tuple[np.ndarray, np.ndarray]], length: np.ndarray, where: np.ndarray, groups: int) -> np.ndarray:
+    """Some rows' points, folded to ``groups``."""
+    out = np.zeros((len(length), groups), np.int32)
+    for own in np.unique(length).tolist():
+        rows = length == own
+        out[rows] = points[own][1][where[rows]].reshape(int(rows.sum()), -1, groups).sum(axis=1)
+    return out
+
+
+def meetings_by_tree(sets: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs that join sets which share a key and may be alike, or that others join so."""
     keyed = sets.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
     rows = written(_shared(keyed.repartition("key").sortWithinPartitions("key", "cls")), "shared")
-    parts = 1 + rows.count() // PLACE
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("key", F.ceil(F.col("k") / (BLOCK // 2)).cast("int").alias("blocks"))
     sized = rows.join(crowded, "key", "left")
-    usual = sized.where("blocks IS NULL").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("place"), F.lit(0).alias("side"), "cls")
+    usual = sized.where("blocks IS NULL").select(F.col("key").alias("place"), F.lit(0).alias("side"), "cls")
     split = sized.where("blocks IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls")
-    vectors = sets.where("vec IS NOT NULL").select("cls", "vec")
-    placed = usual.union(split).distinct().join(vectors, "cls").repartition("place").sortWithinPartitions("place", "cls")
+    vectors = sets.where("vec IS NOT NULL").select("cls", "vec").dropDuplicates(["cls"])
+    placed = usual.union(split).join(vectors, "cls").repartition("place").sortWithinPartitions("place", "cls")
+    most = ROWS
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
-
-        def closed() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            return place_joins(np.array(list(held)), np.array([x[0] for x in held.values()]), [vector(x[1]) for x in held.values()], like)
+        held: list[tuple] = []
+
+        def looked_at(rows: list[tuple]) -> pa.RecordBatch:
+            place, cls, side = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            ends = np.append(starts[1:], len(rows))
+            out, leaf = [], np.ones(len(rows), bool)
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s > LEAF or side[s:e].any():
+                    leaf[s:e] = False
+                    one = np.unique(cls[s:e], return_index=True)[1] + s
+                    out += place_joins(cls[one], side[one], [vector(rows[i][3]) for i in one.tolist()], like)
+            at = np.flatnonzero(leaf)
+            if len(at) > 1:
+                out += leaf_joins(place[at], cls[at], [rows[i][3] for i in at.tolist()], like)
+            return linking.pair_rows(out)
 
         for batch in it:
-            out = []
-            for place, cls, side, vec in zip(*(batch.column(c).to_pylist() for c in ("place", "cls", "side", "vec"))):
-                if place != at:
-                    out += closed()
-                    at, held = place, {}
-                held.setdefault(cls, (side, vec))
-            yield linking.pair_rows(out)
-        yield linking.pair_rows(closed())
+            held += zip(*(batch.column(c).to_pylist() for c in ("place", "cls", "side", "vec")))
+            if len(held) >= most:  # all but the last place, which may go on
+                cut = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
+                if cut:
+                    yield looked_at(held[:cut])
+                    held = held[cut:]
+        if held:
+            yield looked_at(held)
 
     return placed.mapInArrow(batches, "a long, b long").distinct()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsweep.llm import bpe, collocations, fingerprints, html_extract, licenses, mixing, neighbours, ngram_join, runs, sharding, tensored, token_counts, toxicity
+from credsweep.llm import bpe, collocations, fingerprints, html_extract, licenses, linking, mixing, neighbours, ngram_join, runs, sharding, tensored, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_collocations": collocations.OP12_SQL}
+    return {
+        "op3_ngram_join": linking.components_sql(80),
+        "op11_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({linking.components_sql(85)})",
+        "op12_collocations": collocations.OP12_SQL,
+    }

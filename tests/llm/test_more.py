@@ -76,3 +76,25 @@ def test_shared_keys_across_batches(spark, size):
     got = sorted(map(tuple, nj._shared(df).collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted({r for r in rows if r[0] % 4 > 1})
+
+
+def test_leaves_join_every_alike_pair():
+    rng = np.random.default_rng(9)
+    like = nj.Likeness(80)
+    run, sets = [], []
+    for r in range(120):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 700)), dtype=np.uint64)
+        for _ in range(int(rng.integers(2, nj.LEAF + 1))):
+            run.append(r)
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(1, len(base) // 12 + 2)), dtype=np.uint64)])))
+    run, cls = np.array(run), rng.permutation(len(run))
+    got = set(nj.leaf_joins(run, cls, [nj.packed_vector(s) for s in sets], like))
+    for i in range(len(run)):
+        for j in range(i):
+            if run[i] == run[j]:
+                pair = tuple(sorted((int(cls[i]), int(cls[j]))))
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    assert pair in got
+                assert (pair in got) == (100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])) and
+                                         nj.may_be_alike(nj.vector(nj.packed_vector(sets[i])), nj.vector(nj.packed_vector(sets[j])), like))

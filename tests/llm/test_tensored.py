@@ -121,3 +121,19 @@ def test_links_grow_with_a_group_not_its_square(spark, monkeypatch):
             rows[kind, copies] = sum(n for _, n in seen)
     for kind in (ngram_join.classes, tensored.near_duplicates):
         assert rows[kind, 800] <= 6 * rows[kind, 200], rows
+
+
+def test_sql_of_both_operators(spark, tmp_path):
+    import duckdb
+
+    from credsweep.llm import ngram_join, queries
+
+    rng = random.Random(11)
+    rows = groups(rng)[:260] + [(9000, None, "s"), (9001, "", "s"), (9002, "a b c", "s"), (9003, "A  b\tc", "s")]
+    make_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for key, run in (("op3_ngram_join", ngram_join.op3), ("op11_minhash", tensored.op11)):
+        out = run(spark, str(tmp_path))
+        expected = con.sql(f"SELECT {', '.join(out.columns)} FROM ({queries.oracle_sql()[key]})").fetchall()
+        assert sorted(map(tuple, out.collect())) == sorted(expected) and len({r[2] for r in expected}) < len(rows)
