@@ -7,11 +7,12 @@ once, pairs are compared on the sets themselves, those that are in one component
 by then are passed over, and only links leave the place, fewer than it has sets.
 So no pair of a group of copies is ever a row.
 
-A cluster too large for a place is dealt out: one round links its sets to hubs,
-keys whose sets then are in one component need nothing more, and the sets of the
-others meet by key (or, for a key with too many, by pairs of blocks) in places of
-the same kind.  Every pair that shares a key and isn't in one component by then
-meets in some place.
+A cluster too large for a place is dealt over pairs of blocks, a place each, if
+that sends a set to few places.  A still larger one is dealt by key: one round
+links its sets to hubs, keys whose sets then are in one component need nothing
+more, and the sets of the others meet by key (or, for a key with too many, by
+pairs of blocks) in places of the same kind.  Every pair that shares a key and
+isn't in one component by then meets in some place.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ from credsweep.llm.shingles import set_hash, shingle_sets
 
 #: Sets, and shingles of sets, that meet in one place.
 BLOCK, LIMIT = 2048, 1 << 20
+#: The most blocks of a cluster; a set goes to as many places.
+MOST_BLOCKS = 32
 #: Keys that a task puts in order before it hands them on.
 KEYS = 1 << 19
 #: Buckets of document ids by which the texts of few documents are picked before they are shuffled.
@@ -241,13 +244,31 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, size: int, like: Li
     clusters = components(written(meetings(sets, like), "met")).withColumnRenamed("node", "cls")
     members = written(clusters.join(reps.select("cls", "n", "one"), "cls"), "members")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("shingles"))
-    large = written(sizes.where((F.col("k") > BLOCK) | (F.col("shingles") > LIMIT) & (F.col("k") > 2)).select("label"), "large")
-    small = members.join(large, "label", "left_anti") if not large.isEmpty() else members
+    large = written(sizes.where((F.col("k") > BLOCK) | (F.col("shingles") > LIMIT) & (F.col("k") > 2)).select("label", _blocks().alias("blocks")), "large")
+    if large.isEmpty():
+        small, huge = members, None
+    else:
+        small = members.join(large, "label", "left_anti")
+        huge = large.where(F.col("blocks") > MOST_BLOCKS).select("label")
     placed = small.select(F.col("label").alias("place"), F.lit(0).alias("side"), "cls", F.col("cls").alias("comp"), "one")
+    if huge is not None:
+        placed = placed.union(_block_pairs(members.join(large.where(F.col("blocks") <= MOST_BLOCKS), "label").withColumn("comp", F.col("cls")), "label"))
     found = written(_linked(_texts(docs, placed, id_col, text_col), size, like, bound), "linked")
-    if large.isEmpty():
+    if huge is None or huge.isEmpty():
         return found
-    return found.union(_dealt_links(docs, sets, members.join(large, "label", "left_semi"), size, like, bound, id_col, text_col))
+    return found.union(_dealt_links(docs, sets, members.join(huge, "label", "left_semi"), size, like, bound, id_col, text_col))
+
+
+def _blocks() -> Column:
+    """Blocks of ``k`` sets with so many ``shingles``, two of which fit a place."""
+    return F.ceil(F.greatest(2 * F.col("k") / BLOCK, 2 * F.col("shingles") / LIMIT)).cast("int")
+
+
+def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (``cls, comp, one``) of a group dealt over pairs of its ``blocks``, each pair a place."""
+    return rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("place"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "one")
 
 
 # ---------------------------------------------------------------- clusters too large for a place
@@ -279,13 +300,9 @@ def _dealt_links(docs: DataFrame, sets: DataFrame, members: DataFrame, size: int
     left = written(left.join(mixed, "key"), "mixed")
     total = left.agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("shingles")).first()
     parts = 1 + max(total["k"] * 2 // BLOCK, (total["shingles"] or 0) * 2 // LIMIT)
-    blocks = F.ceil(F.greatest(2 * F.col("k") / BLOCK, 2 * F.col("shingles") / LIMIT)).cast("int")
     hot = (F.col("k") > BLOCK) | (F.col("shingles") > LIMIT) & (F.col("k") > 2)
     usual = left.where(~hot).select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("place"), F.lit(0).alias("side"), "cls", "comp", "one")
-    split = left.where(hot).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "one")
-    placed = usual.union(split).groupBy("place", "side", "cls", "comp").agg(F.first("one").alias("one"))
+    placed = usual.union(_block_pairs(left.where(hot).withColumn("blocks", _blocks()), "key")).groupBy("place", "side", "cls", "comp").agg(F.first("one").alias("one"))
     return found.union(written(_linked(_texts(docs, placed, id_col, text_col), size, like, bound), "linked"))
 
 

@@ -71,6 +71,7 @@ def test_groups_of_near_copies(spark, monkeypatch):
     compare(spark, rows)
     # small places: the same links when clusters are dealt over many
     monkeypatch.setattr(linking, "BLOCK", 16)
+    monkeypatch.setattr(linking, "MOST_BLOCKS", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "ROWS", 50)
     compare(spark, rows)

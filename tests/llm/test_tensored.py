@@ -36,8 +36,9 @@ def test_groups_of_near_copies(spark):
     compare(spark, groups(random.Random(3)))
 
 
-@pytest.mark.parametrize(("block", "limit"), [(16, 1 << 20), (40, 900)])
-def test_clusters_too_large_for_a_place(spark, monkeypatch, block, limit):
+@pytest.mark.parametrize(("block", "limit", "blocks"), [(16, 1 << 20, 32), (16, 1 << 20, 1), (40, 900, 3)])
+def test_clusters_too_large_for_a_place(spark, monkeypatch, block, limit, blocks):
+    monkeypatch.setattr(linking, "MOST_BLOCKS", blocks)
     monkeypatch.setattr(linking, "BLOCK", block)
     monkeypatch.setattr(linking, "LIMIT", limit)
     monkeypatch.setattr(linking, "KEYS", 1000)
