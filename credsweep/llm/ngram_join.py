@@ -256,8 +256,8 @@ def _points(points: dict[int, tuple[np.ndarray, np.ndarray]], length: np.ndarray
 
 def meetings_by_tree(sets: DataFrame, like: Likeness) -> DataFrame:
     """Pairs that join sets which share a key and may be alike, or that others join so."""
-    keyed = sets.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
-    rows = written(_shared(keyed.repartition("key").sortWithinPartitions("key", "cls")), "shared")
+    keyed = sets.where(F.size("keys") > 0).select("cls", "n", F.explode("keys").alias("key"))
+    rows = written(_shared(keyed.repartition("key").sortWithinPartitions("key", "n", "cls"), like), "shared")
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("key", F.ceil(F.col("k") / (BLOCK // 2)).cast("int").alias("blocks"))
     sized = rows.join(crowded, "key", "left")
     usual = sized.where("blocks IS NULL").select(F.col("key").alias("place"), F.lit(0).alias("side"), "cls")
@@ -299,29 +299,32 @@ def meetings_by_tree(sets: DataFrame, like: Likeness) -> DataFrame:
     return placed.mapInArrow(batches, "a long, b long").distinct()
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows ``key, cls`` of keys that several sets hold; they stream by key."""
+def _shared(rows: DataFrame, like: Likeness) -> DataFrame:
+    """The rows ``key, cls`` of sets that share a key with one of a size that allows a link; they stream by key and size.
+
+    If two sets of a key are near enough in size, so are the neighbours between them.
+    """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, and whether it was handed on
         for batch in it:
             if not batch.num_rows:
                 continue
-            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+            key, cls, n = batch.column("key").to_numpy(), batch.column("cls").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
             if held:
-                key, cls = np.append(held[0], key), np.append(held[1], cls)
+                key, cls, n = np.append(held[0], key), np.append(held[1], cls), np.append(held[3], n)
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
             passed = bool(held and held[2])
-            key, cls = key[fresh], cls[fresh]
+            key, cls, n = key[fresh], cls[fresh], n[fresh]
             same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[1:] == key[:-1]
+            same[1:-1] = (key[1:] == key[:-1]) & (100 * n[:-1] >= like.percent * n[1:])
             out = same[:-1] | same[1:]
-            held = key[-1], cls[-1], bool(out[-1]) or passed and len(key) == 1
+            held = key[-1], cls[-1], bool(out[-1]) or passed and len(key) == 1, n[-1]
             if passed:
                 out[0] = False
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(cls[out])], ["key", "cls"])
 
-    return rows.select("key", "cls").mapInArrow(batches, "key long, cls long")
+    return rows.select("key", "cls", "n").mapInArrow(batches, "key long, cls long")
 
 
 # ---------------------------------------------------------------- the join

@@ -72,10 +72,11 @@ def test_shared_keys_across_batches(spark, size):
     rows = [(k, c) for k in range(60) for c in range(k % 4) for _ in range(1 + c % 2)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
-    df = spark.createDataFrame(rows, "key long, cls long").coalesce(1).sortWithinPartitions("key", "cls")
-    got = sorted(map(tuple, nj._shared(df).collect()))
+    sizes = {(k, c): 10 if k % 8 > 3 else 10 * 2 ** c for k, c in rows}
+    df = spark.createDataFrame([(k, c, sizes[k, c]) for k, c in rows], "key long, cls long, n int").coalesce(1).sortWithinPartitions("key", "n", "cls")
+    got = sorted(map(tuple, nj._shared(df, nj.Likeness(80)).collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == sorted({r for r in rows if r[0] % 4 > 1})
+    assert got == sorted({r for r in rows if r[0] % 4 > 1 and r[0] % 8 > 3})
 
 
 def test_leaves_join_every_alike_pair():
