@@ -1,0 +1,25 @@
+"""What each step may cost as the input grows: class tests, evaluations, folders, tasks."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from credsweep.functions import dialect
+from credsweep.functions import text as tx
+
+
+def test_java_classes_are_the_shared_ones(spark):
+    """The Java forms list the characters below 256, which Java keeps in one bit set, and match what the shared classes do."""
+    for marker in ("{SC}", "{WC}"):
+        plain = dialect.java(marker).removeprefix("(?d)").split("[")[0]
+        assert re.fullmatch(r"(\\x[0-9a-f]{2})+", plain)
+    codes = spark.range(0x30000).where("id < 55296 OR id >= 57344")
+    one = codes.select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    classes = ("{S}", "{NS}", "{W}", "{D}", "[{WC}.]", "[^{SC}'\"]")
+    differ = [F.count_if(F.col("c").rlike(f"^{dialect.expand(m)}\\z") != F.col("c").rlike(dialect.java(f"^{m}\\z", fold))) for m in classes for fold in (False, True)]
+    assert set(one.agg(*[d.alias(str(i)) for i, d in enumerate(differ)]).first()) == {0}
+
+
+def test_ascii_lines_are_not_translated(spark):
+    lines = spark.createDataFrame([("plain",), ("café а",), ("",), (None,)], "l string")
+    assert [r[0] for r in lines.select(tx.confusables("l")).collect()] == ["plain", "café a", "", None]
