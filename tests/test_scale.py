@@ -23,3 +23,41 @@ def test_java_classes_are_the_shared_ones(spark):
 def test_ascii_lines_are_not_translated(spark):
     lines = spark.createDataFrame([("plain",), ("café а",), ("",), (None,)], "l string")
     assert [r[0] for r in lines.select(tx.confusables("l")).collect()] == ["plain", "café a", "", None]
+
+
+def test_repeated_patterns_run_once_a_line(spark):
+    """What several steps of a line use is a column; a kind of candidate that isn't asked for isn't planned."""
+    from credsweep.operators.candidates import QUOTED_TOKEN, QUOTED_VALUE, candidate_rows
+    from credsweep.operators.lines import lines
+    from credsweep.operators.reconstruct import SPLIT_WORD
+    from credsweep.plans.scan import VALUES, line_items
+
+    docs = spark.createDataFrame([(1, "a.py", "key1 = 'abcdefghijklmnop'")], "doc_id int, filename string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    one = candidate_rows(lines(docs), ("quoted_token",))
+    assert QUOTED_VALUE not in plan(one) and [tuple(r)[1:] for r in one.collect()] == [(1, "quoted_token", 0, "abcdefghijklmnop")]
+    # the name, and the value in the branch of lines with a part
+    assert plan(line_items(lines(docs), families=VALUES)).count(SPLIT_WORD) == 2
+
+
+def test_planted_tasks_grow_with_orders(spark, tmp_path, monkeypatch):
+    from credsweep.sources import planted
+
+    spark.range(40).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(planted, "TASK_DOCS", 5)
+    assert planted.planted_docs(spark, str(tmp_path)).rdd.getNumPartitions() == 8
+
+
+def test_tree_is_on_disk_a_slice_at_a_time(spark, tmp_path, monkeypatch):
+    """No more files lie on the disk than one slice has, and every kept one is read."""
+    import os
+
+    from credsweep.sources import files
+
+    most, read = [0], files.read_tree
+    monkeypatch.setattr(files, "read_tree", lambda s, root, **k: (most.append(sum(len(f) for *_, f in os.walk(root))), read(s, root, **k))[1])
+    docs = spark.createDataFrame([(i, f"src/k{i}/a.py" if i % 3 else f".git/k{i}/a.py", f"x = {i}") for i in range(30)], "doc_id long, path string, text string")
+    got = files.through_tree([docs.where(f"doc_id % 3 = {k}") for k in range(3)], str(tmp_path))
+    assert max(most) == 10
+    assert {(r.file, r.text) for r in got.collect()} == {(f"src/k{i}/a.py", f"x = {i}") for i in range(30) if i % 3}
+    assert not [d for d in os.listdir(tmp_path) if d.startswith("files-")]
