@@ -61,3 +61,16 @@ def test_tree_is_on_disk_a_slice_at_a_time(spark, tmp_path, monkeypatch):
     assert max(most) == 10
     assert {(r.file, r.text) for r in got.collect()} == {(f"src/k{i}/a.py", f"x = {i}") for i in range(30) if i % 3}
     assert not [d for d in os.listdir(tmp_path) if d.startswith("files-")]
+
+
+def test_directories_are_listed_in_many_tasks(spark, tmp_path):
+    """The names of a level are few bytes, and still dealt out."""
+    from credsweep.sources.files import list_tree
+
+    for i in range(40):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.py").write_text("x")
+    listed = list_tree(spark, str(tmp_path))
+    assert listed.count() == 40
+    deep = [f for f in listed.inputFiles() if "/1/part-" in f]
+    assert len(deep) > 1
