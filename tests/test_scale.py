@@ -81,3 +81,18 @@ def test_sql_has_no_java_classes():
     import __spark_entry__ as e
 
     assert not [k for k, sql in e.oracle_sql().items() if "&&[" in sql]
+
+
+def test_suppression_evaluates_a_score_once(spark):
+    """A filter on a score is not pushed below what makes it."""
+    from credsweep.operators.score import rows_where
+
+    df = spark.range(100).select("id", F.expr("id % 7").alias("value")).repartition(2)
+    scored = df.select("id", tx.entropy(F.col("value").cast("string")).alias("e"), (F.col("id") + 1).alias("n"))
+    flagged = scored.select("id", "n", "e", F.when(F.col("id") % 5 == 0, None).otherwise((F.col("e") < 4) & (F.col("e") >= 0) & (F.col("n") > 50)).alias("keep"))
+    got = rows_where(flagged, "keep")
+    assert got.columns == ["id", "n", "e"]
+    assert sorted(r.id for r in got.collect()) == [i for i in range(50, 100) if i % 5]
+    plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(got).count("regexp_extract_all(") < plan(flagged.where("keep").drop("keep")).count("regexp_extract_all(")
+    assert plan(got).count("regexp_extract_all(") == 1
