@@ -96,3 +96,25 @@ def test_suppression_evaluates_a_score_once(spark):
     plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
     assert plan(got).count("regexp_extract_all(") < plan(flagged.where("keep").drop("keep")).count("regexp_extract_all(")
     assert plan(got).count("regexp_extract_all(") == 1
+
+
+def test_lambda_functions_see_few_lines(spark):
+    """What an explode is given is a column, so that only lines that have something get to the lambda functions."""
+    from credsweep.operators.candidates import candidate_rows
+    from credsweep.operators.lines import lines
+    from credsweep.operators.rules import add_rule_hits, add_rule_matches
+    from credsweep.plans.scan import evidence, line_items
+
+    docs = spark.createDataFrame([(1, "a.py", "x = 1\n\nkey1 = 'abcdefghijklmnop'\npassword = 'hunter2xK9z'\necho 'ghp_0123456789'")], "doc_id int, filename string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    last = lambda df: re.findall(r"Generate explode\((\w+)", plan(df))[0]
+    assert [last(q) for q in (candidate_rows(lines(docs)), line_items(lines(docs)), evidence(line_items(lines(docs))))] == ["cs", "items", "es"]
+    hits = add_rule_hits(lines(docs)).select("line_num", F.size("regex_hits").alias("n")).collect()
+    found = add_rule_matches(lines(docs)).select("line_num", F.size("rule_matches").alias("n")).collect()
+    assert {r.line_num: r.n for r in hits} == {r.line_num: r.n for r in found} == {1: 0, 2: 0, 3: 0, 4: 2, 5: 0}
+
+
+def test_repeated_characters_and_values_without_prefix(spark):
+    rows = spark.createDataFrame([("aabbccdd",), ("",), (None,), ("ghp_x",), ("zz",)], "v string")
+    got = rows.select(tx.entropy("v").alias("e"), tx.matching_prefixes("v").alias("p")).collect()
+    assert [r.e for r in got[:3]] == [2.0, 0.0, None] and [r.p and r.p[0].prefix for r in got[3:]] == ["ghp_", []]
