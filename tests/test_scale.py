@@ -118,3 +118,18 @@ def test_repeated_characters_and_values_without_prefix(spark):
     rows = spark.createDataFrame([("aabbccdd",), ("",), (None,), ("ghp_x",), ("zz",)], "v string")
     got = rows.select(tx.entropy("v").alias("e"), tx.matching_prefixes("v").alias("p")).collect()
     assert [r.e for r in got[:3]] == [2.0, 0.0, None] and [r.p and r.p[0].prefix for r in got[3:]] == ["ghp_", []]
+
+
+def test_lines_are_cut_without_a_pattern_where_line_feeds_are_all(spark):
+    """The same lines as by the pattern, whatever the breaks; without neighbour counts nothing of them is planned."""
+    from credsweep.operators.lines import LINE_BREAKS, line_parts, lines, split_lines
+
+    texts = ["a\nb", "a\r\nb\rc\n", "", "\n", "\n\n", "x\x85y", "x\u2028y\u2029", "caf\u00e9\n\u0430", "\x0b\x0c", "\x1c1\x1d2\x1e", "\r\r\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("filename", F.lit("a.py"))
+    by_pattern = F.split(F.coalesce("text", F.lit("")), LINE_BREAKS, -1)
+    assert docs.where(line_parts(F.col("text")) != by_pattern).count() == 0
+    expected = sorted((i, n, x) for i, t in enumerate(texts) for n, x in enumerate((t or "").splitlines(), 1))
+    assert sorted(tuple(r) for r in split_lines(docs).collect()) == expected
+    for near in (True, False):
+        assert sorted((r.doc_id, r.line_num, r.raw_line) for r in lines(docs, nearby=near).collect()) == expected
+    assert "nearby" not in lines(docs, nearby=False)._jdf.queryExecution().optimizedPlan().toString()
