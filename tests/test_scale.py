@@ -150,3 +150,15 @@ def test_only_parts_of_split_values_are_gathered(spark):
     plan = folded._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
     assert all("pname" in keys for keys in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan)) and "collect_list(it" not in plan
+
+
+def test_matches_of_all_rules_are_a_column(spark):
+    """The array that the lambda function looks through is compiled, not interpreted; so are the rows of rows_where."""
+    from credsweep.operators.lines import lines
+    from credsweep.operators.rules import add_rule_matches
+    from credsweep.operators.score import rows_where
+
+    docs = spark.createDataFrame([(1, "a.py", "password = 'hunter2xK9z'")], "doc_id int, filename string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_every" in plan(add_rule_matches(lines(docs)))
+    assert "explode(rows" in plan(rows_where(docs.withColumn("flag", F.col("doc_id") > 0), "flag"))
