@@ -135,21 +135,14 @@ def test_lines_are_cut_without_a_pattern_where_line_feeds_are_all(spark):
     assert "nearby" not in lines(docs, nearby=False)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_only_parts_of_split_values_are_gathered(spark):
-    """Other items pass by the aggregation; both sides read the items of one shuffle."""
+def test_windows_within_a_line_share_a_shuffle(spark):
     from credsweep.operators.lines import lines
-    from credsweep.plans.scan import K_RECON, fold_parts, line_items
-
-    text = "part1 = 'sk_live_'\npart2 = 'abcdefghijklmnopqrstuvwx'\nk = 'ghp_0123456789'"
-    docs = spark.createDataFrame([(i, "a.py", text) for i in range(20)], "doc_id int, filename string, text string")
-    items = line_items(lines(docs), families=("candidates", "parts"))
-    folded = fold_parts(items)
-    assert folded.columns == items.columns
-    got = folded.collect()
-    assert {r.value for r in got if r.kind == K_RECON} == {"sk_live_abcdefghijklmnopqrstuvwx"} and len({r.doc_id for r in got}) == 20
-    plan = folded._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
-    assert all("pname" in keys for keys in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan)) and "collect_list(it" not in plan
+    from credsweep.operators.score import dedup_findings, score_evidence
+    from credsweep.plans.scan import evidence, line_items, prefix_dedup
+
+    docs = spark.createDataFrame([(1, "a.py", "k = 'ghp_0123456789'")], "doc_id int, filename string, text string")
+    found = dedup_findings(score_evidence(prefix_dedup(evidence(line_items(lines(docs), families=("candidates",))))))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def test_matches_of_all_rules_are_a_column(spark):
