@@ -189,3 +189,19 @@ def test_gates_with_marks_leave_no_match_out(spark):
     assert hits[0] == hits[1] and sum("match=" in h for h in hits[0]) >= 7
     low = ls.select(gate_text(F.col("line")).alias("_low"), "line").select("line", *gate_marks(F.col("_low"))).collect()
     assert all(r[i + 1] == (c in r["line"]) for r in low for i, c in enumerate(GATE_MARKS))
+
+
+def test_placeholders_and_environment_names_are_found_without_a_pattern(spark):
+    """The plain tests find what the patterns do; two of them are left, for values that begin as theirs."""
+    from credsweep.functions.dialect import java
+
+    value = ["xxxx", "XXX", "xxxx\n", " '<<>>' ", "x*#<>y", "${A}", "${", "#{a", "%(a)s", "%(", "{{ a }}", "{{a}}\n", "{{a\nb}}", "{{", "a{{b}}", "os.environ", "my getenv(", "System.getenv", "process.env.A", "osxenviron",
+             "$(x)", "a ${b}", "GETENV", "changeme", "", "\n", "ключ", None]
+    df = spark.createDataFrame([(v,) for v in value], "v string")
+    v, low = F.col("v"), F.btrim(F.lower("v"), F.lit("'\" "))
+    by_pattern = (low.isin(*tx.PLACEHOLDER_WORDS) | low.rlike(r"(?s)^[x*#<>]{4,}\n?\z") | v.rlike(java(r"^\$\{.+\}\n?\z")) | v.rlike(java(r"^%\(.+\)s\n?\z")) | v.rlike(java(r"^\{\{.+\}\}\n?\z"))
+                  | v.startswith("${") | v.startswith("#{") | v.startswith("%(") | v.rlike(tx.VALUE_ENV_REFERENCE))
+    rows = df.select("v", by_pattern.alias("a"), tx.is_placeholder(v).alias("b"), v.rlike(tx.ENV_REFERENCE).alias("c"), tx.has_env_reference(v).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows) and {r["b"] for r in rows} == {True, False, None}
+    plan = df.select(tx.is_placeholder(v).alias("p"), tx.has_env_reference(v).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
