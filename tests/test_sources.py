@@ -127,3 +127,27 @@ def test_one_unreadable_file_is_passed_over_and_told(spark, tree, mounted, store
     told = {r.file: (r.text is None, r.error is None) for r in read_tree(spark, root, paths=listed, errors=True).collect()}
     assert told == {"src/app.py": (False, True), "gone.py": (True, False), ".gone": (True, False)}
     assert scan_files(read_tree(spark, root, paths=listed, errors=True)).select("file").distinct().count() == 1
+
+
+def test_trees_of_slices_are_placed_apart(spark, tmp_path):
+    """Every tree's folder lies in one whose folders the disk spreads; the trees are whole and gone afterwards."""
+    fcntl = pytest.importorskip("fcntl")
+
+    def flags(folder):
+        fd, got = os.open(folder, os.O_RDONLY), files.array.array("l", [0])
+        try:
+            fcntl.ioctl(fd, files.GET_FLAGS, got, True)
+        except OSError:
+            pytest.skip("a disk without flags")
+        finally:
+            os.close(fd)
+        return got[0]
+
+    flags(tmp_path)
+    rows = [(i, f"a b/k{i}/x{j}.py", f"t{i}é") for i in range(1, 30) for j in range(2)] + [(30, "top.py", None), (31, "a b/k1/deep/er/x.py", "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    base = str(tmp_path / "base")
+    got = files.through_tree([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")], f"file:{base}")
+    assert {(r.file, r.text) for r in got.collect()} == {(p, t or "") for _, p, t in rows}
+    assert os.listdir(base) == ["texts"]
+    assert flags(base) & files.UNRELATED
