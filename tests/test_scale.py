@@ -205,3 +205,23 @@ def test_placeholders_and_environment_names_are_found_without_a_pattern(spark):
     assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows) and {r["b"] for r in rows} == {True, False, None}
     plan = df.select(tx.is_placeholder(v).alias("p"), tx.has_env_reference(v).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 2
+
+
+def test_only_parts_are_gathered(spark):
+    """Items are dealt by line once, the parts of split values are read from there, and what they make joins its line."""
+    from credsweep.operators.lines import lines
+    from credsweep.plans.scan import fold_parts, line_items, scan
+
+    text = "\n".join([f'k{i}x = "AKIA1234567890ABCD{i:02d}"' for i in range(40)] + ['part2 = "cdefghij"', 'part1 = "sk_live_ab"'])
+    docs = spark.createDataFrame([(i, "a.py", f"{text}\nx = {i}") for i in range(30)], "doc_id long, filename string, text string")
+    found = scan(docs)
+    rows = found.collect()
+    assert sum(r.rule == "AWS Access Key ID" for r in rows) == 30 * 40
+    assert {(r.doc_id, r.line, r.match) for r in rows if "reconstructed" in r.source} == {
+        (i, 42, f"[split_assignment] {v}") for i in range(30) for v in ("sk_live_abcdefghij",)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1                                    # the text is read once
+    assert len(re.findall(r"- Exchange hashpartitioning", plan)) == 4           # items, parts, what they make, documents
+    items = line_items(lines(docs))
+    gathered = fold_parts(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert gathered.count("collect_list") == 1 and "collect_list(it" not in gathered
