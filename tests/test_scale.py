@@ -225,3 +225,15 @@ def test_only_parts_are_gathered(spark):
     items = line_items(lines(docs))
     gathered = fold_parts(items)._jdf.queryExecution().optimizedPlan().toString()
     assert gathered.count("collect_list") == 1 and "collect_list(it" not in gathered
+
+
+def test_characters_that_stand_once_take_no_lambda_call(spark):
+    from collections import Counter
+    from math import log2
+
+    values = ["", "a", "abcdefgh", "aab", "\n\n.", "éé\U0001F600", "0123456789abcdef0123456789abcdef", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", tx.entropy("v").alias("e"))
+    assert r"((.)\2+)" in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        own = None if r.v is None else -sum(c / len(r.v) * log2(c / len(r.v)) for c in Counter(r.v).values())
+        assert (r.e is None) == (own is None) and (own is None or abs(r.e - own) < 1e-9)
